@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import html_extract, packing, secrets, sharding, warc
+from textloom.llm import decontaminate, embedding, html_extract, jaccard, packing, quality, secrets, sharding, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -27,6 +27,11 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the convolutional network."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards of equal row counts."""
     text = F.coalesce("text", F.lit(""))
@@ -51,5 +56,39 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_html_extract, op4_feistel_shards, op5_secrets, op6_packing)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the counterfactually regularised model."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle sets of all documents, and which are linked."""
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark, with the passages."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of one label within cosine 0.93 of each other."""
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc,
+        op2_html_extract,
+        op3_quality,
+        op4_feistel_shards,
+        op5_secrets,
+        op6_packing,
+        op7_toxicity,
+        op8_jaccard_join,
+        op9_decontaminate,
+        op10_embedding_join,
+    )
+}
 ORACLES: dict[str, str] = {}
