@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from textloom.plans import oracles, queries
+
+QUERIES = queries.QUERIES
+ORACLES: dict[str, str] = oracles.ORACLES
 FLAGSHIP = "hybrid_rrf"

@@ -5,18 +5,21 @@ Sets are ordered by a global order of their tokens.  Two sets that overlap in
 for any ``l``: a longer prefix asks for correspondingly more shared tokens
 before a pair is verified.  This is used twice:
 
-1. In hash order, with ``l`` an eighth of the set.  Tokens that one document
-   alone has in its prefix cannot be shared, so that a document with fewer than
-   ``l`` others is out; most documents are.
+1. With the longest prefix, the whole set, and ``l = o``: a document of whose
+   tokens fewer than ``o`` are in any other document is out.  Most documents
+   are, since their own tokens are theirs alone.
 2. Among what is left, in order of document frequency, with ``l`` chosen for
    each document: the one with the least estimated cost, from the frequencies
    of the tokens it would add.
 
 Equal sets are one class from the start.  Before candidates are made, each
-document is verified against one leader that its min-hashes point to, and
-pairs that are connected already are not made at all: a large group of near
-copies costs a comparison for each member, not for each pair.  All other pairs
-that the prefixes allow are verified, whatever their number.
+document is verified against leaders that its min-hashes point to, and pairs
+that are connected already are not made at all: a large group of near copies
+costs a few comparisons for each member, not one for each pair.  All other
+pairs that the prefixes allow are verified, whatever their number.
+
+Tokens move in blocks: a row holds all tokens that a slice of documents has in
+one bucket, as bytes.
 """
 
 from __future__ import annotations
@@ -34,13 +37,13 @@ from textloom.llm.util import components, mix, slices, staged, word_hashes
 WORDS = 5
 #: Similarity from which documents link, in hundredths.
 SIMILAR = 75
-#: The first prefixes ask for one shared token and one more for so many tokens of the set.
-STEP = 8
 #: Matches that a document may ask for in the second prefixes, and what a verification costs in steps over a posting.
-LEVELS, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16), 40
-SEEDS = 8
-#: Tokens of a bucket of the first join, about.
-BUCKET_TOKENS = 500_000
+LEVELS, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 40
+SEEDS, ROUNDS = 8, 3
+#: Tokens of a bucket, about, and documents of a slice.
+BUCKET_TOKENS = 3_000_000
+#: Survivors up to which their ids are broadcast (eight bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def overlap(n):
@@ -48,11 +51,6 @@ def overlap(n):
     return -(-SIMILAR * n // 100)
 
 
-def asks(n):
-    """``l`` of the first prefixes."""
-    return 1 + n // STEP
-
-
 def sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sorted hashes of the distinct shingles of each text.
 
@@ -85,125 +83,159 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-# ---------------------------------------------------------------- first prefixes
+# ---------------------------------------------------------------------- blocks
 
-FIRST = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("docs", pa.binary()), ("at", pa.binary()), ("tokens", pa.binary())])
-FIRST_DDL = "bucket int, doc bigint, n int, s1 bigint, s2 bigint, docs binary, at binary, tokens binary"
-SHARED = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("token", pa.int64())])
-SHARED_DDL = "doc bigint, n int, s1 bigint, s2 bigint, token bigint"
-NOBODY = -1
+BLOCK = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("docs", pa.binary()), ("at", pa.binary()), ("tokens", pa.binary())])
+BLOCK_DDL = "bucket int, doc bigint, n int, s1 bigint, s2 bigint, docs binary, at binary, tokens binary"
+NOBODY = 65_535
 
 
-def first_prefixes(buckets: int):
-    """Rows of a document each (bucket of its id, size, sums that tell its set), and blocks of tokens by bucket.
+def as_blocks(names: np.ndarray, tokens: np.ndarray, at: np.ndarray, buckets: int, kind: type) -> pa.RecordBatch:
+    """Tokens of a slice by bucket.  ``at`` is the token's place in ``names``; ``kind`` the width that tokens keep."""
+    bucket = (tokens % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, at = bucket[order], at[order].astype(np.uint16)
+    tokens = (tokens[order] >> np.uint64(32)).astype(kind) if kind is np.uint32 else tokens[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    low = int(names.min())
+    near = int(names.max()) - low < 1 << 32
+    docs = ((names - low).astype(np.uint32) if near else names).tobytes()
+    k = len(edges) - 1
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(np.full(k, low)), pa.array(np.full(k, 4 if near else 8, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([docs] * k, pa.binary()), cut(at), cut(tokens)], schema=BLOCK)
+
+
+def of_block(batch: pa.RecordBatch, i: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, tokens, whether there is a document) of a block's row."""
+    width = np.uint32 if batch.column(2)[i].as_py() == 4 else np.int64
+    docs = np.frombuffer(batch.column(5)[i].as_buffer(), width).astype(np.int64)
+    if width is np.uint32:
+        docs = docs + batch.column(1)[i].as_py()
+    at = np.frombuffer(batch.column(6)[i].as_buffer(), np.uint16)
+    real = at != NOBODY
+    return np.where(real, docs[np.where(real, at, 0)], 0), np.frombuffer(batch.column(7)[i].as_buffer(), kind), real
+
+
+def runs(tokens: np.ndarray) -> np.ndarray:
+    """How often each of the sorted tokens occurs, at each of its places."""
+    fresh = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    size = np.diff(np.append(np.flatnonzero(fresh), len(tokens)))
+    return np.repeat(size, size)
 
-    A token that several documents of one slice have is told to be shared at
-    once; one entry without a document stands for them in its bucket.
-    """
+
+# ---------------------------------------------------------------- whole sets
+
+COUNT = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64())])
+COUNT_DDL = "doc bigint, n int, s1 bigint, s2 bigint, shared bigint"
+
+
+def token_blocks(buckets: int):
+    """A row for each document (size, and sums that tell its set), with how many of its tokens another document
+    of its slice has; and blocks of tokens.  Of a token that several documents of a slice have, one entry without a
+    document goes on, so that a token of very many documents makes no hot bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in slices(batch.column(1)):
-                found, names = sets(data, offsets), ids[i:j]
-                n = np.array([len(x) for x in found], np.int32)
-                s1 = np.array([x.sum(dtype=np.uint64) for x in found], np.uint64)
-                s2 = np.array([mix(x).sum(dtype=np.uint64) for x in found], np.uint64)
-                none = pa.nulls(len(names), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array((names % buckets).astype(np.int32)), pa.array(names), pa.array(n), pa.array(_signed(s1)), pa.array(_signed(s2)), none, none, none], schema=FIRST)
-                heads = [x[: len(x) - overlap(len(x)) + asks(len(x))] for x in found]
-                at = np.repeat(np.arange(len(heads), dtype=np.int32), [len(x) for x in heads])
-                tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
-                if not len(tokens):
-                    continue
-                order = np.argsort(tokens, kind="stable")
-                tokens, at = tokens[order], at[order]
-                fresh = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-                size = np.diff(np.append(np.flatnonzero(fresh), len(tokens)))
-                several = np.repeat(size > 1, size)
-                told, told_at = tokens[several], at[several]
-                keep = fresh.copy()
-                tokens, at = tokens[keep], np.where(several, NOBODY, at)[keep]
-                bucket = ((tokens >> np.uint64(5)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                tokens, at, bucket = tokens[order], at[order], bucket[order]
-                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                rows = [(int(bucket[a]), names, at[a:b], tokens[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-                if len(told):
-                    rows.append((int(names[0] % buckets), names, -2 - told_at, told))
-                blocks = [[], [], [], []]
-                for b, who, where, what in rows:
-                    used, where = _compact(where)
-                    blocks[0].append(b)
-                    blocks[1].append(who[used].astype(np.int64).tobytes())
-                    blocks[2].append(where.tobytes())
-                    blocks[3].append(what.tobytes())
-                k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[0], pa.int32()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), *(pa.array(x, pa.binary()) for x in blocks[1:])], schema=FIRST)
+            for a in range(0, len(ids), 60_000):
+                for i, j, data, offsets in slices(batch.column(1).slice(a, 60_000)):
+                    found, names = sets(data, offsets), ids[a + i : a + j]
+                    n = np.array([len(x) for x in found], np.int32)
+                    s1 = np.array([x.sum(dtype=np.uint64) for x in found], np.uint64)
+                    s2 = np.array([mix(x).sum(dtype=np.uint64) for x in found], np.uint64)
+                    at = np.repeat(np.arange(len(found), dtype=np.int32), n)
+                    tokens = np.concatenate(found)
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, at = tokens[order], at[order]
+                    several = runs(tokens) > 1 if len(tokens) else np.zeros(0, bool)
+                    here = np.bincount(at[several], minlength=len(names)).astype(np.int64)
+                    none = pa.nulls(len(names), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array((names % buckets).astype(np.int32)), pa.array(names), pa.array(n), pa.array(_signed(s1)), pa.array(_signed(s2)), pa.array([c.tobytes() for c in here], pa.binary()), none, none], schema=BLOCK)
+                    if len(tokens):
+                        keep = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+                        yield as_blocks(names, tokens[keep], np.where(several, NOBODY, at)[keep], buckets, np.uint32)
 
     return work
 
 
-def _compact(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents that occur, places among them); told places (-2 and below) and NOBODY stay apart."""
-    told = at <= -2
-    real = np.where(told, -2 - at, at)
-    used = np.unique(real[real >= 0])
-    place = np.searchsorted(used, real).astype(np.int32)
-    place = np.where(told, -2 - place, np.where(real >= 0, place, NOBODY)).astype(np.int32)
-    return used, place
-
-
-def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the rows of first_prefixes by bucket: documents as they are, and (document, token) of shared tokens."""
+def by_bucket(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
+    """Row batches of documents as (batch, None), and for each bucket (None, sorted tokens, documents, real)."""
     held: list[tuple] = []
     last = None
 
-    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        docs = np.concatenate([np.where(p == NOBODY, 0, np.append(d, 0)[p]) for d, p, _ in held])
-        real = np.concatenate([p != NOBODY for _, p, _ in held])
-        tokens = np.concatenate([t for _, _, t in held])
-        order = np.argsort(tokens, kind="stable")
-        tokens, docs, real = tokens[order], docs[order], real[order]
-        same = tokens[1:] == tokens[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield from told(docs[shared & real], tokens[shared & real])
-
-    def told(docs: np.ndarray, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(docs), 100_000):
-            d, t = docs[a : a + 100_000], tokens[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), *(pa.nulls(len(d), k) for k in (pa.int32(), pa.int64(), pa.int64())), pa.array(_signed(t))], schema=SHARED)
+    def done(held: list[tuple]) -> Iterator[tuple]:
+        if held:
+            docs, tokens, real = (np.concatenate([h[k] for h in held]) for k in range(3))
+            order = np.argsort(tokens, kind="stable")
+            yield None, tokens[order], docs[order], real[order]
 
     for batch in batches:
         is_doc = batch.column(7).is_null()
         rows = batch.filter(is_doc)
         if rows.num_rows:
-            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in (1, 2, 3, 4)), pa.nulls(rows.num_rows, pa.int64())], schema=SHARED)
+            yield (rows,)
         rows = batch.filter(pc.invert(is_doc))
         for i in range(rows.num_rows):
             bucket = rows.column(0)[i].as_py()
-            d, p, t = (np.frombuffer(rows.column(c)[i].as_buffer(), k) for c, k in ((5, np.int64), (6, np.int32), (7, np.uint64)))
-            if len(p) and p[0] <= -2:
-                yield from told(d[-2 - p], t)
-                continue
             if bucket != last:
                 yield from done(held)
                 held, last = [], bucket
-            held.append((d, p, t))
+            held.append(of_block(rows, i, kind))
     yield from done(held)
 
 
+def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are, and how many tokens of a bucket a document shares with documents of other slices."""
+    for part in by_bucket(batches, np.uint32):
+        if len(part) == 1:
+            rows = part[0]
+            here = np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in rows.column(5)], np.int64)
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in (1, 2, 3, 4)), pa.array(here)], schema=COUNT)
+            continue
+        _, tokens, docs, real = part
+        docs, n = np.unique(docs[real & (runs(tokens) > 1)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(docs), *(pa.nulls(len(docs), k) for k in (pa.int32(), pa.int64(), pa.int64())), pa.array(n.astype(np.int64))], schema=COUNT)
+
+
 # ---------------------------------------------------------------- second prefixes
 
+
+def set_blocks(buckets: int):
+    """Blocks of the tokens of known sets (doc, set)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+                if found:
+                    at = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+                    yield as_blocks(part.column(0).to_numpy(zero_copy_only=False), np.concatenate(found), at, buckets, np.uint64)
+
+    return work
+
+
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, tokens and frequencies (bytes) of the tokens of a bucket that more than one document has."""
+    for _, tokens, docs, _ in by_bucket(batches, np.uint64):
+        often = runs(tokens)
+        keep = np.flatnonzero(often > 1)
+        keep = keep[np.argsort(docs[keep], kind="stable")]
+        tokens, docs, often = tokens[keep], docs[keep], often[keep].astype(np.int64)
+        names, first = np.unique(docs, return_index=True)
+        ends = np.append(first[1:], len(docs))
+        for a in range(0, len(names), 2000):
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first[a : a + 2000], ends[a : a + 2000])], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 2000]), cut(tokens), cut(often)], names=["doc", "tokens", "often"])
+
+
 SECOND_DDL = "doc bigint, n int, k int, token bigint, level int, seed int"
 
 
 def second_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each document's chosen prefix with the level from which they count, and its min-hashes (level 0).
 
-    Rows in: doc, n, tokens, frequencies.
+    Rows in: doc, n, lists of tokens and of frequencies.
     """
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
 
@@ -221,21 +253,20 @@ def second_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for i in range(batch.num_rows):
             doc, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            tokens = batch.column(2)[i].values.to_numpy().view(np.uint64)
-            often = batch.column(3)[i].values.to_numpy()
-            order = np.lexsort((tokens, often))
-            tokens, often = tokens[order], often[order]
-            need = asks(overlap(n))
+            need = overlap(n)
+            tokens = np.frombuffer(b"".join(batch.column(2)[i].as_py()), np.uint64)
+            often = np.frombuffer(b"".join(batch.column(3)[i].as_py()), np.int64)
             if len(tokens) < need:
                 continue
+            order = np.lexsort((tokens, often))
+            tokens, often = tokens[order], often[order]
             steps = np.cumsum(often - 1)
             free = len(tokens) - need
-            costs = [(steps[free + k - 1] * (1 + VERIFY / k**2), k) for k in LEVELS if k <= need]
-            k = min(costs)[1]
+            k = min((steps[free + k - 1] * (1 + VERIFY / k**2), k) for k in LEVELS if k <= need)[1]
             take = free + k
             add(doc, n, k, tokens[:take], np.maximum(1, np.arange(take) - free + 1), 0)
-            low = np.array([mix(tokens ^ mix(np.array([s], np.uint64))).min() for s in range(1, SEEDS + 1)], np.uint64)
-            add(doc, n, k, low, 0, np.arange(1, SEEDS + 1))
+            low = np.array([mix(tokens ^ mix(np.array([s], np.uint64))).min() for s in range(1, SEEDS * ROUNDS + 1)], np.uint64)
+            add(doc, n, k, low, 0, np.arange(1, SEEDS * ROUNDS + 1))
         if cols[0] and sum(map(len, cols[0])) > 50_000:
             yield flush()
     if cols[0]:
@@ -286,37 +317,46 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].cast("string").alias("text"))
     here = docs.where("doc is not null")
     size = here.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    buckets = int(min(100_000, max(8, size // 16 // BUCKET_TOKENS + 1)))
-    blocks = here.mapInArrow(first_prefixes(buckets), FIRST_DDL)
-    first = staged(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_tokens, SHARED_DDL), "jaccard-shared")
+    buckets = int(max(8, size // 6 // BUCKET_TOKENS + 1))
+    blocks = here.mapInArrow(token_blocks(buckets), BLOCK_DDL)
+    first = staged(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_counts, COUNT_DDL), "jaccard-shared")
 
-    rows = first.where("token is null").drop("token")
+    rows = first.where("n is not null")
     # one document stands for each class of equal sets
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
     member = staged(rows.join(classes, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "jaccard-member")
-    reps = member.where("doc = rep and n > 0").select("doc", "n").groupBy("doc").agg(F.max("n").alias("n"))
-
-    need = F.lit(1) + F.floor(F.ceil(F.col("n") * SIMILAR / 100) / STEP)
-    shared = first.where("token is not null").select("doc", "token")
-    enough = shared.distinct().groupBy("doc").agg(F.collect_list("token").alias("tokens")).join(reps, "doc").where(F.size("tokens") >= need)
-    posts = staged(enough.select("doc", "n", F.explode("tokens").alias("token")), "jaccard-posts")
-    often = posts.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    left = posts.join(often, "token").groupBy("doc", "n").agg(F.collect_list("token").alias("tokens"), F.collect_list("often").alias("often")).where(F.size("tokens") >= need)
-    second = staged(left.select("doc", "n", "tokens", "often").mapInArrow(second_prefixes, SECOND_DDL), "jaccard-prefixes")
-
-    survivors = second.where("seed = 1").select("doc")
-    known = staged(here.join(survivors, "doc", "left_semi").mapInArrow(full_sets, "doc bigint, set binary").groupBy("doc").agg(F.max("set").alias("set")), "jaccard-sets")
-
-    # each document against the leader that most of its min-hashes point to
-    low = second.where("level = 0").select("doc", "seed", "token")
-    leader = low.groupBy("seed", "token").agg(F.min("doc").alias("leader"))
-    votes = low.join(leader, ["seed", "token"]).where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("votes"))
-    stars = votes.groupBy("doc").agg(F.max(F.struct(F.col("votes"), (-F.col("leader")).alias("l"))).alias("m")).select(F.col("doc").alias("x"), (-F.col("m.l")).alias("y"))
-    near = staged(verify(stars, known), "jaccard-stars")
-    part = components(near, "x", "y")
+    reps = member.where("doc = rep and n > 0").groupBy("doc").agg(F.max("n").alias("n"))
+    need = F.ceil(F.col("n") * SIMILAR / 100)
+    enough = first.groupBy("doc").agg(F.sum("shared").alias("shared")).join(reps, "doc").where(F.col("shared") >= need)
+    survivors = staged(enough.select("doc", "n"), "jaccard-survivors")
+    few = survivors.count()
+    chosen = F.broadcast(survivors.select("doc")) if few <= BROADCAST_IDS else survivors.select("doc")
+    texts = here.join(chosen, "doc", "left_semi")
+    known = staged(texts.mapInArrow(full_sets, "doc bigint, set binary").dropDuplicates(["doc"]), "jaccard-sets")
+
+    total = survivors.agg(F.sum("n").alias("t")).first()["t"] or 0
+    buckets = int(max(8, total // BUCKET_TOKENS + 1))
+    often = known.mapInArrow(set_blocks(buckets), BLOCK_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(frequencies, "doc bigint, tokens binary, often binary")
+    listed = often.groupBy("doc").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("often").alias("often")).join(survivors, "doc")
+    second = staged(listed.select("doc", "n", "tokens", "often").mapInArrow(second_prefixes, SECOND_DDL), "jaccard-prefixes")
+
+    # each document against the leader that most of its min-hashes point to, in a few rounds
+    near, part = None, None
+    for r in range(ROUNDS):
+        low = second.where((F.col("level") == 0) & (F.col("seed") > r * SEEDS) & (F.col("seed") <= (r + 1) * SEEDS)).select("doc", "seed", "token")
+        if part is not None:
+            low = low.join(part, "doc", "left")
+        low = low.withColumn("component", F.coalesce("component", "doc") if part is not None else F.col("doc"))
+        leader = low.groupBy("seed", "token").agg(F.min_by(F.struct("doc", "component"), F.xxhash64("doc", F.lit(r))).alias("m"))
+        met = low.join(leader, ["seed", "token"]).where(F.col("component") != F.col("m.component"))
+        votes = met.groupBy("doc", F.col("m.doc").alias("leader")).agg(F.count("*").alias("votes"))
+        stars = votes.groupBy("doc").agg(F.max(F.struct(F.col("votes"), (-F.col("leader")).alias("l"))).alias("m")).select(F.col("doc").alias("x"), (-F.col("m.l")).alias("y"))
+        found = staged(verify(stars, known), "jaccard-stars")
+        near = found if near is None else near.unionAll(found)
+        part = staged(components(near, "x", "y").withColumnRenamed("node", "doc"), "jaccard-parts")
 
     # candidates of the second prefixes between different parts
-    posting = second.where("level > 0").select("doc", "n", "k", "token", "level").join(part.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    posting = second.where("level > 0").select("doc", "n", "k", "token", "level").join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     posting = staged(posting, "jaccard-posting")
     by_part = posting.select("token", "component").distinct()
     wide = by_part.groupBy("token").agg(F.count("*").alias("parts")).where("parts > 1").select("token")
