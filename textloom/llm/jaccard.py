@@ -13,10 +13,12 @@ before a pair is verified.  This is used twice:
    of the tokens it would add.
 
 Equal sets are one class from the start.  Before candidates are made, each
-document is verified against leaders that its min-hashes point to, and pairs
-that are connected already are not made at all: a large group of near copies
-costs a few comparisons for each member, not one for each pair.  All other
-pairs that the prefixes allow are verified, whatever their number.
+document is verified against leaders that its min-hashes point to; what they
+connect is one part, and only pairs of unlike parts are candidates.  These meet
+in cells, groups of documents with tokens in common, once for all tokens of a
+cell, and are counted and verified there, block by block: a large group of near
+copies costs a few comparisons for each member and makes no row for each pair.
+No candidate that the prefixes allow is left out.
 
 Tokens move in blocks: a row holds all tokens that a slice of documents has in
 one bucket, as bytes.
@@ -40,8 +42,10 @@ SIMILAR = 75
 #: Matches that a document may ask for in the second prefixes, and what a verification costs in steps over a posting.
 LEVELS, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 40
 SEEDS, ROUNDS = 8, 3
+#: Documents and bytes of tokens of a block of a cell, about.
+CELL_DOCS, CELL_BYTES = 1000, 8 << 20
 #: Tokens of a bucket, about, and documents of a slice.
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 2_000_000
 #: Survivors up to which their ids are broadcast (eight bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -125,8 +129,8 @@ def runs(tokens: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- whole sets
 
-COUNT = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64())])
-COUNT_DDL = "doc bigint, n int, s1 bigint, s2 bigint, shared bigint"
+COUNT = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64()), ("range", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary())])
+COUNT_DDL = "doc bigint, n int, s1 bigint, s2 bigint, shared bigint, range int, docs binary, counts binary"
 
 
 def token_blocks(buckets: int):
@@ -184,17 +188,45 @@ def by_bucket(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
     yield from done(held)
 
 
-def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as they are, and how many tokens of a bucket a document shares with documents of other slices."""
-    for part in by_bucket(batches, np.uint32):
-        if len(part) == 1:
-            rows = part[0]
-            here = np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in rows.column(5)], np.int64)
-            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in (1, 2, 3, 4)), pa.array(here)], schema=COUNT)
-            continue
-        _, tokens, docs, real = part
-        docs, n = np.unique(docs[real & (runs(tokens) > 1)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(docs), *(pa.nulls(len(docs), k) for k in (pa.int32(), pa.int64(), pa.int64())), pa.array(n.astype(np.int64))], schema=COUNT)
+def shared_counts(ranges: int):
+    """Rows of documents as they are; and for each bucket and range of documents how many of the bucket's tokens
+    each document shares with documents of other slices, in one row (range, documents, counts)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bucket(batches, np.uint32):
+            if len(part) == 1:
+                rows = part[0]
+                here = np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in rows.column(5)], np.int64)
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in (1, 2, 3, 4)), pa.array(here), *(pa.nulls(len(here), COUNT.types[i]) for i in (5, 6, 7))], schema=COUNT)
+                continue
+            _, tokens, docs, real = part
+            docs, n = np.unique(docs[real & (runs(tokens) > 1)], return_counts=True)
+            which = (mix(docs.view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(which, kind="stable")
+            which, docs, n = which[order], docs[order], n[order].astype(np.int32)
+            edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]])) if len(which) else np.zeros(1, np.int64)
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(edges) - 1, COUNT.types[i]) for i in range(5)), pa.array(which[edges[:-1]]), cut(docs), cut(n)], schema=COUNT)
+
+    return work
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, shared) of rows (range, documents, counts) that come range by range."""
+    held: dict[int, list] = {}
+
+    def done() -> pa.RecordBatch:
+        docs, n = (np.concatenate([np.frombuffer(b, t) for b in x]) for x, t in zip(zip(*held.popitem()[1]), (np.int64, np.int32)))
+        names, at = np.unique(docs, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["doc", "shared"])
+
+    for batch in batches:
+        for which, docs, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and which not in held:
+                yield done()
+            held.setdefault(which, []).append((docs, n))
+    if held:
+        yield done()
 
 
 # ---------------------------------------------------------------- second prefixes
@@ -229,26 +261,23 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 2000]), cut(tokens), cut(often)], names=["doc", "tokens", "often"])
 
 
-SECOND_DDL = "doc bigint, n int, k int, token bigint, level int, seed int"
+PROFILE_DDL = "doc bigint, n int, k int, tokens binary, first array<bigint>, low array<bigint>"
 
 
-def second_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each document's chosen prefix with the level from which they count, and its min-hashes (level 0).
+def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document that may link: the matches ``k`` it asks for, its shared tokens in the global order,
+    those of them that must hold one match, and min-hashes.
 
-    Rows in: doc, n, lists of tokens and of frequencies.
+    With ``free`` tokens more than the overlap needs, a document's prefix for ``l`` matches is its first
+    ``free + l`` tokens, up to ``l = k``.  Rows in: doc, n, lists of tokens and of frequencies.
     """
-    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-
-    def add(doc, n, k, token, level, seed):
-        m = len(token)
-        for c, (x, t) in zip(cols, ((doc, np.int64), (n, np.int32), (k, np.int32), (_signed(token), np.int64), (level, np.int32), (seed, np.int32))):
-            c.append(np.full(m, x, t) if np.isscalar(x) else np.asarray(x, t))
+    out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        arrays = [pa.array(np.concatenate(c)) for c in cols]
-        for c in cols:
-            c.clear()
-        return pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "k", "token", "level", "seed"])
+        c = list(zip(*out))
+        out.clear()
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["doc", "n", "k", "tokens", "first", "low"])
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -263,13 +292,11 @@ def second_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             steps = np.cumsum(often - 1)
             free = len(tokens) - need
             k = min((steps[free + k - 1] * (1 + VERIFY / k**2), k) for k in LEVELS if k <= need)[1]
-            take = free + k
-            add(doc, n, k, tokens[:take], np.maximum(1, np.arange(take) - free + 1), 0)
             low = np.array([mix(tokens ^ mix(np.array([s], np.uint64))).min() for s in range(1, SEEDS * ROUNDS + 1)], np.uint64)
-            add(doc, n, k, low, 0, np.arange(1, SEEDS * ROUNDS + 1))
-        if cols[0] and sum(map(len, cols[0])) > 50_000:
-            yield flush()
-    if cols[0]:
+            out.append((doc, n, k, tokens.tobytes(), _signed(tokens[: free + 1]), _signed(low)))
+            if len(out) >= 500:
+                yield flush()
+    if out:
         yield flush()
 
 
@@ -280,27 +307,151 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (x, y, set of x, set of y) that link."""
+    """The pairs (x, y, size and shared tokens of x, the same of y) that link."""
     for batch in batches:
         keep = []
-        for i in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-            if len(a) > len(b):
-                a, b = b, a
-            if not len(a) or 100 * len(a) < SIMILAR * len(b):
-                continue
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if 100 * both >= SIMILAR * (len(a) + len(b) - both):
+        nx, ny = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 4))
+        for i in np.flatnonzero(100 * np.minimum(nx, ny) >= SIMILAR * np.maximum(nx, ny)).tolist():
+            a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (3, 5))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= SIMILAR * (nx[i] + ny[i] - both):
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["x", "y"])
 
 
 def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``pairs`` that link; ``known`` holds the sets."""
-    one = pairs.join(known.select(F.col("doc").alias("y"), F.col("set").alias("sy")), "y")
-    both = one.join(known.select(F.col("doc").alias("x"), F.col("set").alias("sx")), "x")
-    return both.select("x", "y", "sx", "sy").mapInArrow(verified, "x bigint, y bigint")
+    """Pairs (x, y) of ``pairs`` that link; ``known`` holds the profiles."""
+    side = lambda p: known.select(F.col("doc").alias(p), F.col("n").alias("n" + p), F.col("tokens").alias("t" + p))
+    return pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "tx", "ny", "ty").mapInArrow(verified, "x bigint, y bigint")
+
+
+def stars(known: DataFrame) -> DataFrame:
+    """Pairs (x, y): each document and the leader that most of its min-hashes point to, in each of ROUNDS rounds."""
+    low = known.select("doc", F.posexplode("low").alias("seed", "token"))
+    turn = F.expr(f"seed div {SEEDS}")
+    leader = low.groupBy("seed", "token").agg(F.min_by("doc", F.xxhash64("doc", turn)).alias("leader"))
+    votes = low.join(leader, ["seed", "token"]).where("doc <> leader").groupBy("doc", turn.alias("turn"), "leader").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("doc", "turn").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l"))).alias("m"))
+    y = -F.col("m.l")
+    return best.select(F.greatest("doc", y).alias("x"), F.least("doc", y).alias("y")).distinct()
+
+
+# ------------------------------------------------------------------- cells
+
+
+def counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of ``a`` shares with each of ``b``; none has a token twice."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    ta, tb = np.concatenate(a), np.concatenate(b)
+    known = np.intersect1d(ta, tb)
+    if not len(known):
+        return out
+
+    def placed(tokens: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        col = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        keep = np.flatnonzero(known[col] == tokens)
+        keep = keep[np.argsort(col[keep], kind="stable")]
+        return row[keep], col[keep]
+
+    sides = [placed(ta, a), placed(tb, b)]
+    for low in range(0, len(known), 4096):
+        high = min(low + 4096, len(known))
+        m = []
+        for (row, col), parts in zip(sides, (a, b)):
+            i, j = np.searchsorted(col, (low, high))
+            x = np.zeros((len(parts), high - low), np.float32)
+            x[row[i:j], col[i:j] - low] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def part_links(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Links between the parts of two blocks, as many as connect what is linked.
+
+    Documents are (part, n, k, tokens).  A pair of unlike parts is verified if
+    the sizes allow it and the prefixes for ``k`` matches, the smaller ``k`` of
+    both, share as many tokens.
+    """
+    (pl, nl, kl), (pr, nr, kr) = (np.array([x[:3] for x in side], np.int64).T for side in (left, right))
+    small, large = np.minimum(nl[:, None], nr[None, :]), np.maximum(nl[:, None], nr[None, :])
+    may = (pl[:, None] != pr[None, :]) & (100 * small >= SIMILAR * large)
+    k = np.minimum(kl[:, None], kr[None, :])
+    for level in np.unique(k[may]).tolist():
+        rows, cols = (may & (k == level)).any(1).nonzero()[0], (may & (k == level)).any(0).nonzero()[0]
+        cut = lambda side, at: [side[i][3][: len(side[i][3]) - overlap(side[i][1]) + level] for i in at.tolist()]  # noqa: B023, E731
+        few = counts(cut(left, rows), cut(right, cols)) < level
+        here = np.ix_(rows, cols)
+        may[here] &= ~(few & (k[here] == level))
+    rows, cols = may.any(1).nonzero()[0], may.any(0).nonzero()[0]
+    if not len(rows):
+        return []
+    both = counts([left[i][3] for i in rows.tolist()], [right[j][3] for j in cols.tolist()]).astype(np.int64)
+    hit = may[np.ix_(rows, cols)] & (100 * both >= SIMILAR * (nl[rows][:, None] + nr[cols][None, :] - both))
+    i, j = hit.nonzero()
+    if not len(i):
+        return []
+    pairs = np.unique(np.stack([pl[rows][i], pr[cols][j]], axis=1), axis=0)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        if (u := top(a)) != (v := top(b)):
+            above[max(u, v)] = min(u, v)
+            out.append((a, b))
+    return out
+
+
+def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of parts (x, y) from rows (cell, bi, bj, side, part, n, k, tokens) that come in this order."""
+    last, sides, out = None, ([], []), []
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+        side, part, n, k = (batch.column(c).to_pylist() for c in range(3, 7))
+        for i, key in enumerate(keys):
+            if key != last:
+                if sides[0] and sides[1]:
+                    out += part_links(*sides)
+                last, sides = key, ([], [])
+            sides[side[i]].append((part[i], n[i], k[i], np.frombuffer(batch.column(7)[i].as_py(), np.uint64)))
+    if sides[0] and sides[1]:
+        out += part_links(*sides)
+    c = list(zip(*out)) if out else ([], [])
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["x", "y"])
+
+
+def links_between(known: DataFrame, part: DataFrame) -> DataFrame:
+    """Links (x, y) between parts of documents; ``part`` has (doc, part) of those that aren't alone.
+
+    Two documents that link have one of their ``first`` tokens in common.
+    Tokens that several parts have are named after one of their documents, the
+    one with the least hash, so that tokens which the same documents have
+    become one cell and a pair meets once, not once for each token.  In a cell,
+    all documents outside its largest part meet all documents, in blocks of
+    bounded size.
+    """
+    own = known.select("doc", "first").join(part, "doc", "left").select("doc", F.coalesce("part", "doc").alias("part"), "first")
+    posting = staged(own.select("doc", "part", F.explode("first").alias("token")), "jaccard-posting")
+    named = posting.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min_by("doc", F.xxhash64("doc")).alias("cell")).where("a < b").select("token", "cell")
+    cells = staged(posting.join(named, "token").select("cell", "doc", "part").distinct().join(known.select("doc", F.octet_length("tokens").cast("long").alias("b")), "doc"), "jaccard-cells")
+    by_part = cells.groupBy("cell", "part").agg(F.count("*").alias("d"), F.sum("b").alias("b"))
+    whole = by_part.groupBy("cell").agg(F.max(F.struct("d", "b", "part")).alias("m"), F.sum("d").alias("d"), F.sum("b").alias("b"))
+    blocks = lambda d, b: F.greatest(F.ceil(d / CELL_DOCS), F.ceil(b / CELL_BYTES)).cast("int")
+    plan = whole.select("cell", F.col("m.part").alias("most"), blocks(F.col("d") - F.col("m.d"), F.col("b") - F.col("m.b")).alias("ni"), blocks(F.col("d"), F.col("b")).alias("nj"))
+    placed = cells.drop("b").join(plan, "cell")
+    at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where("part <> most").select("cell", at("ni").alias("bi"), every("nj").alias("bj"), F.lit(0).alias("side"), "doc", "part")
+    right = placed.select("cell", every("ni").alias("bi"), at("nj").alias("bj"), F.lit(1).alias("side"), "doc", "part")
+    rows = left.unionAll(right).join(known.select("doc", "n", "k", "tokens"), "doc").select("cell", "bi", "bj", "side", "part", "n", "k", "tokens")
+    return rows.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj").mapInArrow(cell_links, "x bigint, y bigint")
 
 
 # ---------------------------------------------------------------- the join
@@ -319,7 +470,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = here.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = int(max(8, size // 6 // BUCKET_TOKENS + 1))
     blocks = here.mapInArrow(token_blocks(buckets), BLOCK_DDL)
-    first = staged(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_counts, COUNT_DDL), "jaccard-shared")
+    first = staged(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_counts(buckets), COUNT_DDL), "jaccard-shared")
 
     rows = first.where("n is not null")
     # one document stands for each class of equal sets
@@ -327,7 +478,9 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = staged(rows.join(classes, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "jaccard-member")
     reps = member.where("doc = rep and n > 0").groupBy("doc").agg(F.max("n").alias("n"))
     need = F.ceil(F.col("n") * SIMILAR / 100)
-    enough = first.groupBy("doc").agg(F.sum("shared").alias("shared")).join(reps, "doc").where(F.col("shared") >= need)
+    elsewhere = first.where("range is not null").select("range", "docs", "counts").repartition(buckets, "range").sortWithinPartitions("range").mapInArrow(summed, "doc bigint, shared bigint")
+    shared = rows.select("doc", "shared").unionAll(elsewhere).groupBy("doc").agg(F.sum("shared").alias("shared"))
+    enough = shared.join(reps, "doc").where(F.col("shared") >= need)
     survivors = staged(enough.select("doc", "n"), "jaccard-survivors")
     few = survivors.count()
     chosen = F.broadcast(survivors.select("doc")) if few <= BROADCAST_IDS else survivors.select("doc")
@@ -338,38 +491,14 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = int(max(8, total // BUCKET_TOKENS + 1))
     often = known.mapInArrow(set_blocks(buckets), BLOCK_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(frequencies, "doc bigint, tokens binary, often binary")
     listed = often.groupBy("doc").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("often").alias("often")).join(survivors, "doc")
-    second = staged(listed.select("doc", "n", "tokens", "often").mapInArrow(second_prefixes, SECOND_DDL), "jaccard-prefixes")
-
-    # each document against the leader that most of its min-hashes point to, in a few rounds
-    near, part = None, None
-    for r in range(ROUNDS):
-        low = second.where((F.col("level") == 0) & (F.col("seed") > r * SEEDS) & (F.col("seed") <= (r + 1) * SEEDS)).select("doc", "seed", "token")
-        if part is not None:
-            low = low.join(part, "doc", "left")
-        low = low.withColumn("component", F.coalesce("component", "doc") if part is not None else F.col("doc"))
-        leader = low.groupBy("seed", "token").agg(F.min_by(F.struct("doc", "component"), F.xxhash64("doc", F.lit(r))).alias("m"))
-        met = low.join(leader, ["seed", "token"]).where(F.col("component") != F.col("m.component"))
-        votes = met.groupBy("doc", F.col("m.doc").alias("leader")).agg(F.count("*").alias("votes"))
-        stars = votes.groupBy("doc").agg(F.max(F.struct(F.col("votes"), (-F.col("leader")).alias("l"))).alias("m")).select(F.col("doc").alias("x"), (-F.col("m.l")).alias("y"))
-        found = staged(verify(stars, known), "jaccard-stars")
-        near = found if near is None else near.unionAll(found)
-        part = staged(components(near, "x", "y").withColumnRenamed("node", "doc"), "jaccard-parts")
-
-    # candidates of the second prefixes between different parts
-    posting = second.where("level > 0").select("doc", "n", "k", "token", "level").join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    posting = staged(posting, "jaccard-posting")
-    by_part = posting.select("token", "component").distinct()
-    wide = by_part.groupBy("token").agg(F.count("*").alias("parts")).where("parts > 1").select("token")
-    by_part = by_part.join(wide, "token", "left_semi")
-    meet = by_part.select("token", F.col("component").alias("a")).join(by_part.select("token", F.col("component").alias("b")), "token").where("a < b")
-    side = lambda c, p: posting.select("token", F.col("component").alias(c), *(F.col(x).alias(x + p) for x in ("doc", "n", "k", "level")))
-    hits = meet.join(side("a", "_x"), ["token", "a"]).join(side("b", "_y"), ["token", "b"])
-    k = F.least("k_x", "k_y")
-    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * SIMILAR) & (F.greatest("level_x", "level_y") <= k)
-    pairs = hits.where(fits).groupBy(F.col("doc_x").alias("x"), F.col("doc_y").alias("y")).agg(F.count("*").alias("shared"), F.max(k).alias("k")).where("shared >= k").select("x", "y")
-    edges = near.unionAll(verify(pairs, known))
-
-    whole = components(edges, "x", "y").select(F.col("node").alias("rep"), F.col("component"))
-    out = member.join(whole, "rep", "left").select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    profile = staged(listed.select("doc", "n", "tokens", "often").mapInArrow(profiles, PROFILE_DDL), "jaccard-profiles")
+
+    # documents that leaders connect are one part; then parts are joined by the prefixes
+    near = verify(stars(profile), profile)
+    part = staged(components(near, "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("part")), "jaccard-parts")
+    whole = components(links_between(profile, part), "x", "y").select(F.col("node").alias("part"), "component")
+
+    placed = member.join(part.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", "n", F.coalesce("part", "rep").alias("part"))
+    out = placed.join(whole, "part", "left").select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "part").alias("component_id"))
     nameless = docs.where("doc is null").mapInArrow(full_sets, "doc bigint, set binary").select(F.col("doc").alias(id_col), (F.octet_length("set") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionAll(nameless)

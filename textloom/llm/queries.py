@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, embedding, html_extract, jaccard, packing, quality, secrets, sharding, toxicity, warc
+from textloom.llm import decontaminate, embedding, html_extract, jaccard, oracles, packing, quality, secrets, sharding, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -91,4 +91,4 @@ QUERIES = {
         op10_embedding_join,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
