@@ -11,9 +11,11 @@ import zipfile
 
 import numpy as np
 import pytest
+from conftest import MEDIUM, SMALL
 from pyspark.sql import functions as F
 
 from textloom import providers
+from textloom.catalog import QUERIES
 from textloom.functions import paths, text
 from textloom.operators import bm25, chunk, fuse, knn, maintain, reconcile, records
 from textloom.sources import archive, parsers, scan
@@ -122,6 +124,16 @@ def test_knn_against_brute_force(spark):
     assert len(near & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("folder", [SMALL, MEDIUM, "/root/testdata/sf0.1"])
+def test_approximate_recall(spark, folder):
+    """The registered query finds nine tenths of the exact neighbours, over the whole table, with their scores."""
+    want = {(r["query_id"], r["vec_id"]): r["score"] for r in QUERIES["knn_exact"](spark, folder).collect()}
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in QUERIES["knn_lsh"](spark, folder).collect()}
+    both = set(want) & set(got)
+    print(folder, "recall", len(both) / len(want))
+    assert len(both) >= 0.9 * len(want) and all(abs(want[x] - got[x]) < 2e-6 for x in both)
+
+
 def test_rank_fusion(spark):
     schema = "query_id bigint, key string, rank int, score double"
     vector = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 2, 0.8)], schema)
