@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from conftest import MEDIUM, SMALL
@@ -255,6 +257,47 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df.limit(0), bench).collect() == [] and decontaminate.contaminated(df, bench.limit(0)).collect() == []
 
 
+def has_seed(match):
+    """Whether a seed lies on matching words alone."""
+    b = np.arange(1, len(match) + 1, dtype=np.uint64)
+    d = np.where(match, b, b + np.uint64(1000))
+    one = np.zeros(len(b), np.int64)
+    return any((decontaminate.seed_hashes(b, one, m)[0] == decontaminate.seed_hashes(d, one, m)[0]).any() for m in decontaminate.masks_of(len(b)))
+
+
+def accepted(match):
+    return decontaminate.best_stretch(match)[0] >= min(decontaminate.LEAST_WORDS, -(-4 * len(match) // 5))
+
+
+def test_every_accepted_overlap_has_a_seed():
+    """All patterns of short items; of longer ones, all with few substitutions and many with more."""
+    for n in range(1, 21):
+        least = 0
+        for k in range(n + 1 if n < 15 else 6):
+            for free in itertools.combinations(range(n), k):
+                match = np.ones(n, bool)
+                match[list(free)] = False
+                if accepted(match):
+                    least += 1
+                    assert has_seed(match), match.astype(int)
+        assert least
+    r = np.random.default_rng(5)
+    for n in (25, 30, 45, 59):
+        for _ in range(3000):
+            match = r.random(n) > r.uniform(0.15, 0.35)
+            assert has_seed(match) or not accepted(match), match.astype(int)
+
+
+def test_substituted_short_items_are_found(spark):
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(5, 19)}
+    subs = {n: [k] for n, k in ((5, 0), (6, 0), (7, 3), (8, 3), (9, 4), (10, 5), (11, 4), (12, 5), (13, 6), (14, 6))} | {15: [4, 9], 16: [3, 7, 11], 18: [3, 7, 11, 14]}
+    docs = {n: ["a"] * 20 + ["other" if i in subs.get(n, []) else w for i, w in enumerate(x)] + ["b"] * 20 for n, x in items.items()}
+    want = {(n, n) for n, x in items.items() if accepted(np.array([i not in subs.get(n, []) for i in range(n)]))}
+    df = spark.createDataFrame([(n, " ".join(w)) for n, w in docs.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(df, bench).collect()} == want and len(want) > 8
+
+
 def test_decontamination_finds_whole_passages(spark):
     """What holds an item's first fifty words, word for word, is found."""
     norm = lambda t: " ".join(re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()))

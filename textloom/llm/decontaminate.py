@@ -21,8 +21,25 @@ from pyspark.sql import functions as F
 
 from textloom.llm.util import mix, slices, staged, word_hashes
 
-#: Places of a run of words that count (1) or are free (0).
-MASKS = ("11101100101", "11001010111", "1111111")
+#: Places of a run of words that count (1) or are free (0).  Every
+#: stretch that is accepted below has a hit of one of them, whatever its
+#: substitutions; items with few words have their own, by their number of words.
+MASKS = ("11100100101", "1101001000101", "1110010101", "1111011")
+SHORT = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111",),
+    6: ("11111",),
+    7: ("111111", "1110111"),
+    8: ("1110111",),
+    9: ("1110111",),
+    10: ("1110111", "11101101"),
+    11: ("1110111", "111010011"),
+    12: ("1111011", "1110100011"),
+    13: ("1111101", "11101000011"),
+}
 #: Words that must match in a stretch, or four fifths of an item with few words.
 LEAST_WORDS = 13
 MISMATCH = 2
@@ -30,6 +47,11 @@ FILTER_BITS = (1 << 20, 1 << 27)
 PROBES = 3
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of ``n`` words."""
+    return SHORT.get(n, MASKS) if n else ()
+
+
 def seed_hashes(h: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first word) for each place where the mask lies within one text."""
     m = len(h) - len(mask) + 1
@@ -65,15 +87,14 @@ class Bloom:
 
 
 def seeds_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item, words (hashes), seeds (hash, place) of each item.  Items shorter than all masks have a seed of all words."""
+    """item, words (hashes), seeds (hash, place) of each item."""
     for batch in batches:
         for i, j, data, offsets in slices(batch.column(1)):
             h, doc, _, _ = word_hashes(data, offsets)
             rows = []
             for k in range(j - i):
                 own = h[doc == k]
-                masks = [m for m in MASKS if len(m) <= len(own)] or ["1" * len(own)]
-                found = [seed_hashes(own, np.zeros(len(own), np.int64), m) for m in masks if m]
+                found = [seed_hashes(own, np.zeros(len(own), np.int64), m) for m in masks_of(len(own))]
                 s = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
                 at = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
                 rows.append((own.tobytes(), len(own), s.view(np.int64), at.astype(np.int32)))
@@ -88,7 +109,7 @@ ITEMS = "item bigint, item_words binary, n int, seeds array<bigint>, places arra
 
 def suspects(bloom, lengths: list[int]):
     """Documents with a hash that passes the filter: id, word hashes, hits."""
-    masks = [*MASKS, *("1" * n for n in lengths)]
+    masks = sorted({*MASKS, *(m for n in lengths for m in SHORT[n])})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.value
@@ -162,8 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     n = flat.count()
     bits = max(FILTER_BITS[0], min(FILTER_BITS[1], 1 << (16 * max(1, n)).bit_length()))
     bloom = spark.sparkContext.broadcast(_filter(flat, bits))
-    shortest = min(map(len, MASKS))
-    lengths = [r["n"] for r in bench.where(F.col("n") < shortest).select("n").distinct().orderBy("n").collect()]
+    lengths = [r["n"] for r in bench.where(F.col("n") <= max(SHORT)).select("n").distinct().orderBy("n").collect()]
 
     found = docs.select(docs[id_col].cast("long").alias("doc"), F.lower(docs[text_col].cast("string")).alias("t")).mapInArrow(suspects(bloom, lengths), "doc bigint, words binary, seeds array<bigint>, places array<int>")
     rows = staged(found.withColumn("row", F.monotonically_increasing_id()), "suspects")
