@@ -221,6 +221,14 @@ def test_packing_edges(spark):
     assert [r["doc_id"] for r in twice] == [None, None] and all(r["ids"][-1] == 0 for r in twice)
 
 
+def test_packing_of_blanks_beside_other_white_space(spark):
+    r = random.Random(8)
+    bits = [" ", " ", "\u00a0", "\u00a0", "\n", "\t", "\x1c", "\x85", "\u2003", "\u3000", "\u202f", "\u2028", "foo", "bar", "é", "中", "\u2014", "\u201cx\u201d", "\u00e0", "'s", "12"]
+    texts = dict(enumerate(["foo \u00a0 \u00a0 bar", " \u00a0 \u00a0\u00a0 foo", "a \u00a0", "\u00a0 \u00a0 \u00a0 \u00a0", "foo\u00a0 \u00a0bar"] + ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(3000)]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    check_packing(packing.pack_documents(df, RANKS, PATTERN).collect(), texts)
+
+
 def test_packing_of_all_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
     check_packing(QUERIES["op6_packing"](spark, MEDIUM).collect(), texts, 0.05)

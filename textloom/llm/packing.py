@@ -33,16 +33,33 @@ FILL = 0.96
 CACHE_SLOTS, CACHE_IDS = 1 << 21, 1 << 23
 AS_IS = np.arange(256, dtype=np.uint8)
 BLANK = AS_IS == 32
+#: Bytes that are white space or control, and bytes that may begin or end wider white space.
+CONTROL = (AS_IS < 32) | (AS_IS == 127)
+WIDE = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
+FIRST, LAST = (np.isin(AS_IS, [w[k] for w in WIDE]) for k in (0, -1))
+
+
+def beside_white(data: np.ndarray) -> np.ndarray:
+    """Places of blanks next to white space of another kind or a control byte."""
+    at = np.flatnonzero(data == 32)
+    padded = np.concatenate([np.full(3, 65, np.uint8), data, np.full(3, 65, np.uint8)])
+    before, after = padded[at + 2], padded[at + 4]
+    found = CONTROL[before] | CONTROL[after]
+    for k in np.flatnonzero(~found & (FIRST[after] | LAST[before])):
+        i = int(at[k]) + 3
+        found[k] = padded[i - 3 : i].tobytes().endswith(tuple(WIDE)) or padded[i + 1 : i + 4].tobytes().startswith(tuple(WIDE))
+    return at[found]
 
 
 class WordEncoder:
     """Ids of whole texts by a byte-level BPE, through a bounded memory of words.
 
-    The vocabulary never merges across the start of a blank followed by ink, so
-    that a text without two blanks in a row is the sequence of its words, each
-    with the blank before it.  Words are hashed by the batch; a direct-mapped
-    table keeps the ids of words met before.  Texts with two blanks in a row or
-    a blank at the end are encoded in one piece.
+    A blank between other characters than white space always begins a new piece
+    of the pattern, and nothing merges across pieces, so that a text whose blanks
+    all stand so is the sequence of its words, each with the blank before it.
+    Words are hashed by the batch; a direct-mapped table keeps the ids of words
+    met before.  Texts with a blank next to other white space (of any kind) or a
+    control byte, or at the end, are encoded in one piece.
     """
 
     def __init__(self, ranks_file: str, pattern: str):
@@ -84,6 +101,7 @@ class WordEncoder:
         odd = np.zeros(n, bool)
         two = np.flatnonzero(is_blank[1:] & is_blank[:-1])
         odd[np.searchsorted(offsets, two, "right") - 1] = True  # two blanks in a row, or across texts
+        odd[np.searchsorted(offsets, beside_white(data), "right") - 1] = True
         last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
         odd[np.searchsorted(offsets, last[is_blank[last]], "right") - 1] = True
         h, doc, starts, ends = word_hashes(data, offsets, BLANK, AS_IS)
