@@ -76,6 +76,33 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0), ["page_id"]).collect() == []
 
 
+W = {("word", "article"): 2.0, ("word", "main"): 2.0, ("word", "body"): -1.0, ("word", "div"): -0.5}
+WORDS = "Some words of the text of this page that are enough for a run. " * 4
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='no-sidebar'", "div class='wrapper nav-open'", "div class='page-header-fixed'", "div id='post has-comments'", "form action='/x'", "div class='search'", "main class='content has-sidebar'", "main><div class='no-sidebar'"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_names_on_ancestors_keep_the_article(wrapper, tag):
+    page = f"<body>{MENU}<{wrapper}><div><{tag}><p>{WORDS}</p><aside>Advert</aside></{tag}></div></{wrapper.split()[0].split('>')[0]}></body>"
+    assert html_extract.main_text(page, W) == " ".join(WORDS.split())
+    assert html_extract.main_text(page.replace(f"<{tag}>", f"<{tag} hidden>"), W) == ""
+
+
+def test_the_run_keeps_all_elements_it_covers():
+    text = lambda p: html_extract.main_text(f"<body>{MENU}{p}<footer>Imprint</footer></body>", W)
+    body = " ".join(WORDS.split())
+    assert text(f"<main><p>intro</p><article><p>{WORDS}</p></article><p>after</p></main>") == f"intro {body} after"
+    assert text(f"<article><p>{WORDS}</p></article><p>between</p><article><p>{WORDS} second</p></article>") == f"{body} between {body} second"
+    related = f"<main><article>{WORDS}</article><aside><article>{WORDS}</article></aside></main>"
+    assert text(related) == body
+    comments = f"<main><article>{WORDS}</article><div class='comments'><article>{WORDS}</article></div></main>"
+    assert text(comments) == body
+    # a teaser in an element does not take the place of a run that lies elsewhere
+    w = W | {("word", "section"): 2.0}
+    got = html_extract.main_text(f"<body><section>{WORDS}<article>Teaser</article>{WORDS}</section></body>", w)
+    assert got == f"{body} Teaser {body}"
+
+
 def test_best_run_is_the_best():
     """The linear scan finds what trying every run finds."""
     r = random.Random(2)

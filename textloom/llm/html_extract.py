@@ -6,9 +6,12 @@ finds the contiguous run with the largest sum.  The weights are log-odds of
 being inside the article, counted over labelled pages: those whose markup
 names their article or main element.
 
-An exact check follows: if the run lies in an article or main element, the
-whole element is taken; text below menus, adverts, forms and the like is left
-out of it.
+The run decides the region.  An end that lies in an article or main element is
+moved to the border of the innermost one there; if such elements hold at least
+half of the run's words, what the run covers before the first and after the
+last is trimmed.  All between the ends stays, in page order, but for text below
+menus, adverts, forms and the like.  A form or part of a class name above an
+article or main element doesn't put it out.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ SAMPLE = 2000
 #: Elements and names of parts that aren't the article.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "select", "button", "canvas", "math", "xmp", "noembed", "noframes"}
 ASIDE = {"nav", "footer", "aside", "header", "form", "menu", "dialog", "head", "fieldset"}
+FORMS = {"form", "fieldset"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -64,32 +68,45 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
             yield tag, "", True, ""
 
 
-def holder(tag: str, attributes: str) -> tuple[str, bool]:
-    """Key of an element for weights, and whether it is known to hold no article."""
+#: What is open outside all elements: tag, key, out, open articles and mains, in an aside for certain, below such a name.
+NOTHING = ("", "body", False, (), False, False)
+
+
+def holder(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Key of an element for weights, and whether it is known to hold no article:
+    at all, by its kind (all but forms), by a whole class name or id."""
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     names = f"{named.get('class', '')} {named.get('id', '')}".strip()
-    out = tag in ASIDE or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or (bool(names) and tag not in ("html", "body") and bool(NAMED.search(names)))
-    return (f"{tag}.{names.lower().split()[0]}" if names else tag), out
+    role = named.get("role", "").lower()
+    hard = tag in ASIDE - FORMS or role in ROLES - FORMS or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
+    part = bool(names) and tag not in ("html", "body") and bool(NAMED.search(names))
+    whole = part and any((m := NAMED.search(x)) and m[1] == x for x in names.split())
+    return (f"{tag}.{names.lower().split()[0]}" if names else tag), hard or tag in FORMS or role in FORMS or part, hard, whole
 
 
 class Node:
     """A stretch of text with what is around it."""
 
-    __slots__ = ("words", "text", "key", "out", "main", "tags", "split")
+    __slots__ = ("words", "text", "key", "out", "main", "tags", "split", "chain")
 
-    def __init__(self, text: str, key: str, out: bool, main: int, tags: list[str], split: bool):
-        self.text, self.words, self.key, self.out, self.main, self.tags, self.split = text, len(text.split()), key, out, main, tags, split
+    def __init__(self, text: str, key: str, out: bool, main: int, tags: list[str], split: bool, chain: tuple[int, ...] = ()):
+        self.text, self.words, self.key, self.out, self.main, self.tags, self.split, self.chain = text, len(text.split()), key, out, main, tags, split, chain
 
 
 def nodes(page: str) -> list[Node]:
     """The texts of a page; ``tags`` are those since the text before, ``main``
-    numbers the innermost open article or main element (0: none), ``split``
-    tells if a block begins or ends in between."""
+    numbers the innermost open article or main element (0: none), ``chain`` all
+    open ones, ``split`` tells if a block begins or ends in between.
+
+    Names and forms above an article or main element count for it only where
+    they are in another such element and a whole name says so (the articles of
+    a list of comments).  Menus, asides and hidden elements always count.
+    """
     out, stack, tags, split, mains = [], [], [], True, 0
     for tag, attributes, closing, text in tokens(page):
         if not tag:
-            top = stack[-1] if stack else ("", "body", False, 0)
-            out.append(Node(html.unescape(text), top[1], top[2], top[3], tags, split))
+            top = stack[-1] if stack else NOTHING
+            out.append(Node(html.unescape(text), top[1], top[2], top[3][-1] if top[3] else 0, tags, split, top[3]))
             tags, split = [], False
             continue
         tags.append(("/" if closing else "") + tag)
@@ -102,11 +119,14 @@ def nodes(page: str) -> list[Node]:
                     del stack[i:]
                     break
         elif tag in HOLDERS or attributes:
-            key, aside = holder(tag, attributes)
+            key, aside, hard, named = holder(tag, attributes)
             if tag in HOLDERS or aside:
-                before = stack[-1] if stack else ("", "body", False, 0)
+                before = stack[-1] if stack else NOTHING
                 mains += tag in MAIN
-                stack.append((tag, key, before[2] or aside, mains if tag in MAIN else before[3]))
+                chain = (*before[3], mains) if tag in MAIN else before[3]
+                hard, named = before[4] or hard, before[5] or (named and tag != "main")
+                off = hard or (named and (tag == "article" and holder(tag, attributes)[3] or bool(before[3]))) if tag in MAIN else before[2] or aside
+                stack.append((tag, key, off, chain, hard, named and (off or tag not in MAIN)))
     return out
 
 
@@ -154,20 +174,20 @@ def main_text(page: str | None, w: dict[tuple[str, str], float]) -> str:
     """The main text of a page; empty for null, empty and textless pages."""
     parts = nodes(page or "")
     a, b = best_run(parts, w)
-    inside = Counter()
-    for p in parts[a:b]:
-        if p.main and not p.out:
-            inside[p.main] += p.words
-    chosen = range(a, b)
-    if inside:
-        which = max(inside, key=lambda k: (inside[k], -k))
-        chosen = range(next(i for i, p in enumerate(parts) if p.main == which), max(i for i, p in enumerate(parts) if p.main == which) + 1)
+    own = [i for i in range(a, b) if parts[i].main and not parts[i].out and parts[i].words]
+    if own:
+        if 2 * sum(parts[i].words for i in own) >= sum(p.words for p in parts[a:b] if not p.out):
+            a, b = own[0], own[-1] + 1
+        first, last = parts[a].main, parts[b - 1].main
+        if first:
+            a = next(i for i, p in enumerate(parts) if first in p.chain)
+        if last:
+            b = max(i for i, p in enumerate(parts) if last in p.chain) + 1
     blocks: list[list[str]] = []
-    for i in chosen:
-        p = parts[i]
+    for p in parts[a:b]:
         if p.split or not blocks:
             blocks.append([])
-        if not p.out and not (inside and not p.main):
+        if not p.out:
             blocks[-1].append(p.text)
     return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
 
