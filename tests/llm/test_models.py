@@ -80,3 +80,16 @@ def test_pipeline_stages_on_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, odd.limit(0), MEDIUM).collect() == []
         stage(spark, odd, MEDIUM).collect()
+
+
+def test_null_and_repeated_ids_in_the_pipeline(spark):
+    """Clean rows with a null id stay, repeated rows stay once, and one id with two texts keeps both."""
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    row = lambda i, t: (i, t, "en", "s", len(t) if t is not None else None)
+    rows = [row(None, text("a")), row(None, text("b")), row(None, text("b")), row(5, text("b")), row(6, text("c")), row(6, text("c")), row(7, text("d")), row(7, text("e")), row(9, text("e")), row(2, ""), row(2, ""), row(2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.one_of_each(spark, docs, SMALL).collect()), key=str)
+    assert got == sorted([(None, text("a")), (5, text("b")), (6, text("c")), (7, text("d")), (7, text("e")), (2, ""), (2, None)], key=str)
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([row(None, leak), row(None, text("a")), row(3, leak), row(3, text("b"))], docs.schema)
+    assert sorted(((r["doc_id"], r["text"]) for r in pipeline.no_benchmark(spark, docs, SMALL).collect()), key=str) == sorted([(None, text("a")), (3, text("b"))], key=str)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, jaccard, packing, quality, secrets
 from textloom.llm.queries import PATTERN, RANKS, table
-from textloom.llm.util import scratch
+from textloom.llm.util import scratch, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,16 +28,31 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score_texts(docs.select(*COLUMNS), model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Documents with a number of their own for each row, staged so that it stays; ids may be null or repeated."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), name)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; those without words all stay."""
-    kept = jaccard.link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The row with the smallest id of each group of near copies, a null id counting as the largest.
+
+    Rows are linked and kept one by one, so that rows with one id but unlike
+    texts all stay.  Of rows without words, one of those equal in all columns stays.
+    """
+    rows = numbered(docs, "rows-near")
+    links = staged(jaccard.link_documents(rows, "row"), "links-near")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))
+    kept = links.where("n_shingles > 0").join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("m")).select("m.row")
+    bare = rows.join(links.where("n_shingles = 0").select("row"), "row", "left_semi")
+    bare = bare.groupBy(F.sha2("text", 256).alias("h"), *(c for c in COLUMNS if c != "text")).agg(F.min("row").alias("row")).select("row")
+    return rows.join(kept.unionAll(bare), "row", "left_semi").select(*COLUMNS)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a passage of the benchmark, told row by row."""
+    rows = numbered(docs, "rows-leaks")
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), "row").select("row").distinct()
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
