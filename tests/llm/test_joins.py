@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import embedding, jaccard
-from textloom.llm.util import components
+from textloom.llm.util import Workspace, components
 
 
 def parts(nodes, links):
@@ -132,8 +132,31 @@ def test_embedding_edges(spark):
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, False)], key=repr)
 
 
-def test_jaccard_counts_grow_with_links_only(spark):
-    """A group of near copies makes fewer verified pairs than its square."""
-    rows = near_copies(5, 1, 120)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert jaccard.link_documents(df).where(F.col("component_id") > F.col("doc_id")).count() == 0
+def test_every_link_is_a_candidate_of_the_prefixes(spark):
+    """Linked pairs of unlike sets share as many prefix tokens as the smaller of both asks for; leaders find most of them."""
+    rows = near_copies(5, 2, 60)
+    docs = spark.createDataFrame([(i, t) for i, t in rows if t], "doc bigint, text string")
+    with Workspace(spark, "test") as space:
+        known = docs.mapInArrow(jaccard.full_sets, "doc bigint, s1 bigint, n int, set array<bigint>").where("n > 0").dropDuplicates(["s1"])
+        profile = jaccard.profiled(space.staged(known, "known"), space)
+        told = {r["doc"]: (r["k"], set(r["prefix"])) for r in profile.collect()}
+        posting = space.staged(profile.select(F.explode("prefix").alias("token"), "doc", "k"), "posting")
+        led = {frozenset(x) for x in jaccard.verify(space.staged(jaccard.met(posting), "met"), profile).collect()}
+        kept = {r["doc"] for r in known.select("doc").collect()}
+    sets = {i: shingles(t) for i, t in rows if i in kept}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(links) > 100 and any(k > 1 for k, _ in told.values())
+    for a, b in links:
+        (ka, pa), (kb, pb) = told[a], told[b]
+        assert len(pa & pb) >= min(ka, kb)
+    assert led <= {frozenset(x) for x in links}
+    by_prefix, whole = parts(sets, [tuple(x) for x in led]), parts(sets, links)
+    assert sum(by_prefix[i] != i for i in sets) > sum(whole[i] != i for i in sets) / 2
+
+
+def test_jaccard_id_with_two_texts(spark):
+    """The texts of one id join what each of them is linked with; other columns are ignored."""
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(5, a, 0), (5, b, 0), (3, a, 0), (9, b, 0), (7, "x y z", 0)]
+    got = sorted(tuple(x) for x in jaccard.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string, part int")).collect())
+    assert got == [(3, 4, 3), (5, 4, 3), (5, 4, 3), (7, 1, 7), (9, 4, 3)]

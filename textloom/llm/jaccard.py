@@ -1,27 +1,29 @@
 """Jaccard self-join of documents on word shingles, with adaptive multi-match prefixes.
 
-Sets are ordered by a global order of their tokens.  Two sets that overlap in
-``o`` tokens share at least ``l`` tokens among the first ``n - o + l`` of each,
-for any ``l``: a longer prefix asks for correspondingly more shared tokens
-before a pair is verified.  This is used twice:
-
-1. With the longest prefix, the whole set, and ``l = o``: a document of whose
-   tokens fewer than ``o`` are in any other document is out.  Most documents
-   are, since their own tokens are theirs alone.
-2. Among what is left, in order of document frequency, with ``l`` chosen for
-   each document: the one with the least estimated cost, from the frequencies
-   of the tokens it would add.
-
-Equal sets are one class from the start.  Before candidates are made, each
-document is verified against leaders that its min-hashes point to; what they
-connect is one part, and only pairs of unlike parts are candidates.  These meet
-in cells, groups of documents with tokens in common, once for all tokens of a
-cell, and are counted and verified there, block by block: a large group of near
-copies costs a few comparisons for each member and makes no row for each pair.
-No candidate that the prefixes allow is left out.
-
-Tokens move in blocks: a row holds all tokens that a slice of documents has in
-one bucket, as bytes.
+Sets are ordered by a global order of their tokens.  A set of ``n`` tokens that
+links with another shares at least ``o = ceil(0.75 n)`` tokens with it, and so
+at least ``l`` among the first ``n - o + l`` of each, for any ``l``: a longer
+prefix asks for correspondingly more shared tokens before a pair is verified.
+
+1. ``screened``: in the order of the tokens' hashes, which needs no counts, each
+   document sends the prefix for an eighth of its tokens.  Those of which fewer
+   than that eighth occur in any other document's prefix have no partner.
+2. ``profiles``: what is left is ordered by document frequency, counted over all
+   of it, and each document chooses ``l`` where the estimated cost is least: the
+   postings that its prefix reads, and the verifications that so many matches
+   leave.
+3. ``met``: (token, document) rows of these prefixes.  Each token elects leaders,
+   a document meets the leaders of its tokens, and pairs that share as many
+   prefix tokens as the smaller ``l`` asks for are verified.  What these links
+   connect is one part, so that a group of any size costs a few comparisons for
+   each member.
+4. ``links_between``: tokens that several parts have are searched without leaders:
+   their documents meet in cells, where shared prefix tokens are counted and what
+   passes is verified, in blocks of bounded size.
+
+Equal sets are one class from the start.  No pair that the prefixes allow is left
+out, and a token, class or leader that very many documents have is spread over
+tasks.
 """
 
 from __future__ import annotations
@@ -30,22 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.util import components, mix, slices, staged, word_hashes
+from textloom.llm.util import Workspace, components, mix, slices, spread_join, staged, word_hashes
 
 WORDS = 5
 #: Similarity from which documents link, in hundredths.
 SIMILAR = 75
+#: Share of a document's tokens, one in so many, that its first prefix asks to find elsewhere.
+SCREEN = 8
 #: Matches that a document may ask for in the second prefixes, and what a verification costs in steps over a posting.
 LEVELS, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 40
-SEEDS, ROUNDS = 8, 3
+#: Leaders of a token.
+SEEDS = 3
 #: Documents and bytes of tokens of a block of a cell, about.
-CELL_DOCS, CELL_BYTES = 1000, 8 << 20
-#: Tokens of a bucket, about, and documents of a slice.
-BUCKET_TOKENS = 2_000_000
+CELL_DOCS, CELL_BYTES = 400, 8 << 20
+#: Prefix tokens that a task gathers before it merges what its documents share; tokens in one row.
+SLICE_TOKENS, ROW_TOKENS = 500_000, 20_000
 #: Survivors up to which their ids are broadcast (eight bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -87,204 +91,120 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-# ---------------------------------------------------------------------- blocks
-
-BLOCK = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("docs", pa.binary()), ("at", pa.binary()), ("tokens", pa.binary())])
-BLOCK_DDL = "bucket int, doc bigint, n int, s1 bigint, s2 bigint, docs binary, at binary, tokens binary"
-NOBODY = 65_535
-
-
-def as_blocks(names: np.ndarray, tokens: np.ndarray, at: np.ndarray, buckets: int, kind: type) -> pa.RecordBatch:
-    """Tokens of a slice by bucket.  ``at`` is the token's place in ``names``; ``kind`` the width that tokens keep."""
-    bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, at = bucket[order], at[order].astype(np.uint16)
-    tokens = (tokens[order] >> np.uint64(32)).astype(kind) if kind is np.uint32 else tokens[order]
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    low = int(names.min())
-    near = int(names.max()) - low < 1 << 32
-    docs = ((names - low).astype(np.uint32) if near else names).tobytes()
-    k = len(edges) - 1
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(np.full(k, low)), pa.array(np.full(k, 4 if near else 8, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([docs] * k, pa.binary()), cut(at), cut(tokens)], schema=BLOCK)
-
-
-def of_block(batch: pa.RecordBatch, i: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, tokens, whether there is a document) of a block's row."""
-    width = np.uint32 if batch.column(2)[i].as_py() == 4 else np.int64
-    docs = np.frombuffer(batch.column(5)[i].as_buffer(), width).astype(np.int64)
-    if width is np.uint32:
-        docs = docs + batch.column(1)[i].as_py()
-    at = np.frombuffer(batch.column(6)[i].as_buffer(), np.uint16)
-    real = at != NOBODY
-    return np.where(real, docs[np.where(real, at, 0)], 0), np.frombuffer(batch.column(7)[i].as_buffer(), kind), real
-
-
-def runs(tokens: np.ndarray) -> np.ndarray:
-    """How often each of the sorted tokens occurs, at each of its places."""
-    fresh = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-    size = np.diff(np.append(np.flatnonzero(fresh), len(tokens)))
-    return np.repeat(size, size)
-
-
-# ---------------------------------------------------------------- whole sets
-
-COUNT = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64()), ("range", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary())])
-COUNT_DDL = "doc bigint, n int, s1 bigint, s2 bigint, shared bigint, range int, docs binary, counts binary"
-
-
-def token_blocks(buckets: int):
-    """A row for each document (size, and sums that tell its set), with how many of its tokens another document
-    of its slice has; and blocks of tokens.  Of a token that several documents of a slice have, one entry without a
-    document goes on, so that a token of very many documents makes no hot bucket."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(ids), 60_000):
-                for i, j, data, offsets in slices(batch.column(1).slice(a, 60_000)):
-                    found, names = sets(data, offsets), ids[a + i : a + j]
-                    n = np.array([len(x) for x in found], np.int32)
-                    s1 = np.array([x.sum(dtype=np.uint64) for x in found], np.uint64)
-                    s2 = np.array([mix(x).sum(dtype=np.uint64) for x in found], np.uint64)
-                    at = np.repeat(np.arange(len(found), dtype=np.int32), n)
-                    tokens = np.concatenate(found)
-                    order = np.argsort(tokens, kind="stable")
-                    tokens, at = tokens[order], at[order]
-                    several = runs(tokens) > 1 if len(tokens) else np.zeros(0, bool)
-                    here = np.bincount(at[several], minlength=len(names)).astype(np.int64)
-                    none = pa.nulls(len(names), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array((names % buckets).astype(np.int32)), pa.array(names), pa.array(n), pa.array(_signed(s1)), pa.array(_signed(s2)), pa.array([c.tobytes() for c in here], pa.binary()), none, none], schema=BLOCK)
-                    if len(tokens):
-                        keep = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-                        yield as_blocks(names, tokens[keep], np.where(several, NOBODY, at)[keep], buckets, np.uint32)
-
-    return work
-
-
-def by_bucket(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
-    """Row batches of documents as (batch, None), and for each bucket (None, sorted tokens, documents, real)."""
-    held: list[tuple] = []
-    last = None
-
-    def done(held: list[tuple]) -> Iterator[tuple]:
-        if held:
-            docs, tokens, real = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order = np.argsort(tokens, kind="stable")
-            yield None, tokens[order], docs[order], real[order]
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two sums that tell a set."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s).sum(dtype=np.uint64).view(np.int64))
+
+
+# ------------------------------------------------------------- first prefixes
+
+SCREEN_DDL = "doc bigint, n int, s1 bigint, s2 bigint, docs array<bigint>, here int, tokens array<bigint>"
+SCREENED = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("docs", pa.list_(pa.int64())), ("here", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
-    for batch in batches:
-        is_doc = batch.column(7).is_null()
-        rows = batch.filter(is_doc)
-        if rows.num_rows:
-            yield (rows,)
-        rows = batch.filter(pc.invert(is_doc))
-        for i in range(rows.num_rows):
-            bucket = rows.column(0)[i].as_py()
-            if bucket != last:
-                yield from done(held)
-                held, last = [], bucket
-            held.append(of_block(rows, i, kind))
-    yield from done(held)
-
-
-def shared_counts(ranges: int):
-    """Rows of documents as they are; and for each bucket and range of documents how many of the bucket's tokens
-    each document shares with documents of other slices, in one row (range, documents, counts)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bucket(batches, np.uint32):
-            if len(part) == 1:
-                rows = part[0]
-                here = np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in rows.column(5)], np.int64)
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in (1, 2, 3, 4)), pa.array(here), *(pa.nulls(len(here), COUNT.types[i]) for i in (5, 6, 7))], schema=COUNT)
-                continue
-            _, tokens, docs, real = part
-            docs, n = np.unique(docs[real & (runs(tokens) > 1)], return_counts=True)
-            which = (mix(docs.view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(which, kind="stable")
-            which, docs, n = which[order], docs[order], n[order].astype(np.int32)
-            edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]])) if len(which) else np.zeros(1, np.int64)
-            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(edges) - 1, COUNT.types[i]) for i in range(5)), pa.array(which[edges[:-1]]), cut(docs), cut(n)], schema=COUNT)
 
-    return work
+def extra(n):
+    """Tokens that the first prefix of ``n`` tokens has beyond what the overlap leaves out."""
+    return n // SCREEN + 1
 
 
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, shared) of rows (range, documents, counts) that come range by range."""
-    held: dict[int, list] = {}
+def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each set that a slice of documents holds: one of them, its size and sums, all of them, how many of
+    its prefix tokens other sets of the slice have, and the rest of its prefix tokens.
 
-    def done() -> pa.RecordBatch:
-        docs, n = (np.concatenate([np.frombuffer(b, t) for b in x]) for x, t in zip(zip(*held.popitem()[1]), (np.int64, np.int32)))
-        names, at = np.unique(docs, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["doc", "shared"])
+    A token that several sets of the slice have goes on once, in rows without
+    a document, so that a token of very many documents makes few rows.
+    """
+    held: dict[tuple, list[int]] = {}
+    prefixes: dict[tuple, np.ndarray] = {}
+    size = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        keys = list(held)
+        length = np.array([len(prefixes[k]) for k in keys], np.int64)
+        flat = np.concatenate([prefixes[k] for k in keys])
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+        times = np.diff(np.append(np.flatnonzero(fresh), len(ordered)))
+        several = np.zeros(len(flat), bool)
+        several[order] = np.repeat(times, times) > 1
+        owner = np.repeat(np.arange(len(keys)), length)
+        here = np.bincount(owner[several], minlength=len(keys)).astype(np.int32)
+        own = np.bincount(owner[~several], minlength=len(keys))
+        list_of = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+        ends = np.concatenate([[0], np.cumsum(own)])
+        docs = [held[k] for k in keys]
+        c = list(zip(*keys))
+        yield pa.RecordBatch.from_arrays([pa.array([min(d) for d in docs], pa.int64()), pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(docs, pa.list_(pa.int64())), pa.array(here), list_of(ends, _signed(flat[~several]))], schema=SCREENED)
+        shared = _signed(ordered[fresh][times > 1])
+        ends = np.append(np.arange(0, len(shared), ROW_TOKENS), len(shared))
+        if len(shared):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ends) - 1, SCREENED.field(i).type) for i in range(6)), list_of(ends, shared)], schema=SCREENED)
 
     for batch in batches:
-        for which, docs, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and which not in held:
-                yield done()
-            held.setdefault(which, []).append((docs, n))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, j, data, offsets in slices(batch.column(1)):
+            for doc, s in zip(ids[i:j].tolist(), sets(data, offsets)):
+                key = (len(s), *_sums(s))
+                if key in held:
+                    held[key].append(doc)
+                    continue
+                held[key] = [doc]
+                prefixes[key] = s[: len(s) - overlap(len(s)) + extra(len(s))].copy()
+                size += len(prefixes[key])
+            if size >= SLICE_TOKENS:
+                yield from done()
+                held, prefixes, size = {}, {}, 0
     if held:
-        yield done()
-
+        yield from done()
 
-# ---------------------------------------------------------------- second prefixes
 
+def survivors(first: DataFrame) -> DataFrame:
+    """(doc, s1) of the sets of which enough prefix tokens occur elsewhere.
 
-def set_blocks(buckets: int):
-    """Blocks of the tokens of known sets (doc, set)."""
+    A partner may have three quarters of the tokens, and then as much shorter a
+    prefix: what such a partner adds to its own is what must be found.
+    """
+    tokens = first.select("doc", "s1", F.explode("tokens").alias("token"))
+    found = tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1 and doc is not null")
+    elsewhere = found.groupBy("doc", "s1").agg(F.count("*").alias("shared")).select("doc", "s1", F.lit(0).alias("n"), "shared")
+    here = first.where("n > 0").select("doc", "s1", "n", F.col("here").cast("long").alias("shared"))
+    total = here.unionAll(elsewhere).groupBy("doc", "s1").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    least = F.expr(f"(n * {SIMILAR} + 99) div 100 div {SCREEN} + 1")
+    return total.where(F.col("shared") >= least).select("doc", "s1")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
-                if found:
-                    at = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
-                    yield as_blocks(part.column(0).to_numpy(zero_copy_only=False), np.concatenate(found), at, buckets, np.uint64)
 
-    return work
+# ------------------------------------------------------------ second prefixes
 
 
-def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, tokens and frequencies (bytes) of the tokens of a bucket that more than one document has."""
-    for _, tokens, docs, _ in by_bucket(batches, np.uint64):
-        often = runs(tokens)
-        keep = np.flatnonzero(often > 1)
-        keep = keep[np.argsort(docs[keep], kind="stable")]
-        tokens, docs, often = tokens[keep], docs[keep], often[keep].astype(np.int64)
-        names, first = np.unique(docs, return_index=True)
-        ends = np.append(first[1:], len(docs))
-        for a in range(0, len(names), 2000):
-            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first[a : a + 2000], ends[a : a + 2000])], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 2000]), cut(tokens), cut(often)], names=["doc", "tokens", "often"])
+def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, s1, n and tokens of each text."""
+    for batch in batches:
+        for i, j, data, offsets in slices(batch.column(1)):
+            found = sets(data, offsets)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[i:j], pa.array([_sums(x)[0] for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([_signed(x) for x in found], pa.list_(pa.int64()))], names=["doc", "s1", "n", "set"]
+            )
 
 
-PROFILE_DDL = "doc bigint, n int, k int, tokens binary, first array<bigint>, low array<bigint>"
+PROFILE_DDL = "doc bigint, n int, k int, tokens binary, prefix array<bigint>"
 
 
 def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document that may link: the matches ``k`` it asks for, its shared tokens in the global order,
-    those of them that must hold one match, and min-hashes.
+    """A row for each document that may link: the matches ``k`` it asks for, its shared tokens in the global order
+    and its prefix.
 
-    With ``free`` tokens more than the overlap needs, a document's prefix for ``l`` matches is its first
-    ``free + l`` tokens, up to ``l = k``.  Rows in: doc, n, lists of tokens and of frequencies.
+    With ``free`` shared tokens more than the overlap needs, the prefix for ``k``
+    matches is the first ``free + k`` of them; tokens of its own would come before
+    and match nothing.  Rows in: doc, n, list of (frequency, token).
     """
-    out: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        c = list(zip(*out))
-        out.clear()
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["doc", "n", "k", "tokens", "first", "low"])
-
     for batch in batches:
+        out: list[tuple] = []
         for i in range(batch.num_rows):
             doc, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            pairs = batch.column(2)[i].values
+            often, tokens = (pairs.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             need = overlap(n)
-            tokens = np.frombuffer(b"".join(batch.column(2)[i].as_py()), np.uint64)
-            often = np.frombuffer(b"".join(batch.column(3)[i].as_py()), np.int64)
             if len(tokens) < need:
                 continue
             order = np.lexsort((tokens, often))
@@ -292,18 +212,22 @@ def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             steps = np.cumsum(often - 1)
             free = len(tokens) - need
             k = min((steps[free + k - 1] * (1 + VERIFY / k**2), k) for k in LEVELS if k <= need)[1]
-            low = np.array([mix(tokens ^ mix(np.array([s], np.uint64))).min() for s in range(1, SEEDS * ROUNDS + 1)], np.uint64)
-            out.append((doc, n, k, tokens.tobytes(), _signed(tokens[: free + 1]), _signed(low)))
-            if len(out) >= 500:
-                yield flush()
-    if out:
-        yield flush()
+            out.append((doc, n, k, tokens.tobytes(), tokens[: free + k]))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+        c = list(zip(*out)) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["doc", "n", "k", "tokens", "prefix"])
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, data, offsets in slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([x.tobytes() for x in sets(data, offsets)], pa.binary())], names=["doc", "set"])
+def profiled(known: DataFrame, space: Workspace) -> DataFrame:
+    """Profiles of the sets (doc, s1, n, set); a token's frequency is counted over all of them."""
+    tokens = known.select("doc", "s1", "n", F.explode("set").alias("token"))
+    often = space.staged(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "frequencies")
+    told = spread_join(tokens, often, ["token"], ["doc"], often.withColumnRenamed("often", "n"))
+    listed = told.groupBy("doc", "s1", "n").agg(F.collect_list(F.struct("often", "token")).alias("tokens"))
+    return space.staged(listed.select("doc", "n", "tokens").mapInArrow(profiles, PROFILE_DDL), "profiles")
+
+
+# ------------------------------------------------------- leaders and verification
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +236,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         nx, ny = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 4))
         for i in np.flatnonzero(100 * np.minimum(nx, ny) >= SIMILAR * np.maximum(nx, ny)).tolist():
-            a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (3, 5))
+            a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (3, 5))
             both = len(np.intersect1d(a, b, assume_unique=True))
             if 100 * both >= SIMILAR * (nx[i] + ny[i] - both):
                 keep.append(i)
@@ -320,20 +244,23 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``pairs`` that link; ``known`` holds the profiles."""
+    """Pairs (x, y) of ``pairs`` that link; ``known`` holds the profiles.  Any number of pairs may have one ``y``."""
     side = lambda p: known.select(F.col("doc").alias(p), F.col("n").alias("n" + p), F.col("tokens").alias("t" + p))
-    return pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "tx", "ny", "ty").mapInArrow(verified, "x bigint, y bigint")
+    counted = pairs.groupBy("y").agg(F.count("*").alias("n"))
+    both = spread_join(pairs.join(side("x"), "x"), side("y"), ["y"], ["x"], counted, most=500)
+    return both.select("x", "y", "nx", "tx", "ny", "ty").mapInArrow(verified, "x bigint, y bigint")
 
 
-def stars(known: DataFrame) -> DataFrame:
-    """Pairs (x, y): each document and the leader that most of its min-hashes point to, in each of ROUNDS rounds."""
-    low = known.select("doc", F.posexplode("low").alias("seed", "token"))
-    turn = F.expr(f"seed div {SEEDS}")
-    leader = low.groupBy("seed", "token").agg(F.min_by("doc", F.xxhash64("doc", turn)).alias("leader"))
-    votes = low.join(leader, ["seed", "token"]).where("doc <> leader").groupBy("doc", turn.alias("turn"), "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("doc", "turn").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l"))).alias("m"))
-    y = -F.col("m.l")
-    return best.select(F.greatest("doc", y).alias("x"), F.least("doc", y).alias("y")).distinct()
+def met(posting: DataFrame) -> DataFrame:
+    """Pairs (x, y): each document and, for each seed, the leader that it shares most prefix tokens with, if these
+    are as many as the smaller ``k`` of both asks for.  ``posting`` has (token, doc, k)."""
+    lead = [F.min_by(c, F.xxhash64("doc", F.lit(s))).alias(f"{c}{s}") for s in range(SEEDS) for c in ("doc", "k")]
+    each = F.array(*(F.struct(F.lit(s).alias("seed"), F.col(f"doc{s}").alias("y"), F.col(f"k{s}").alias("ky")) for s in range(SEEDS)))
+    leaders = posting.groupBy("token").agg(F.count("*").alias("n"), *lead).where("n > 1").select("token", "n", each.alias("leaders"))
+    seen = spread_join(posting, leaders, ["token"], ["doc"]).select("doc", "k", F.explode("leaders").alias("l")).where("doc <> l.y")
+    shared = seen.groupBy("doc", "l.seed", "l.y").agg(F.count("*").alias("c"), F.max("k").alias("k"), F.max("l.ky").alias("ky"))
+    best = shared.where(F.col("c") >= F.least("k", "ky")).groupBy("doc", "seed").agg(F.max_by("y", "c").alias("y"))
+    return best.select(F.col("doc").alias("x"), "y").distinct()
 
 
 # ------------------------------------------------------------------- cells
@@ -370,9 +297,9 @@ def counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def part_links(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
     """Links between the parts of two blocks, as many as connect what is linked.
 
-    Documents are (part, n, k, tokens).  A pair of unlike parts is verified if
-    the sizes allow it and the prefixes for ``k`` matches, the smaller ``k`` of
-    both, share as many tokens.
+    Documents are (part, n, k, tokens).  A pair of unlike parts is a candidate
+    if the sizes allow it and its prefixes for ``k`` matches, the smaller ``k``
+    of both, share as many tokens; candidates are verified on all tokens.
     """
     (pl, nl, kl), (pr, nr, kr) = (np.array([x[:3] for x in side], np.int64).T for side in (left, right))
     small, large = np.minimum(nl[:, None], nr[None, :]), np.maximum(nl[:, None], nr[None, :])
@@ -420,36 +347,35 @@ def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sides[0] and sides[1]:
                     out += part_links(*sides)
                 last, sides = key, ([], [])
-            sides[side[i]].append((part[i], n[i], k[i], np.frombuffer(batch.column(7)[i].as_py(), np.uint64)))
+            sides[side[i]].append((part[i], n[i], k[i], np.frombuffer(batch.column(7)[i].as_py(), np.int64)))
     if sides[0] and sides[1]:
         out += part_links(*sides)
     c = list(zip(*out)) if out else ([], [])
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["x", "y"])
 
 
-def links_between(known: DataFrame, part: DataFrame) -> DataFrame:
+def links_between(posting: DataFrame, known: DataFrame, part: DataFrame, space: Workspace) -> DataFrame:
     """Links (x, y) between parts of documents; ``part`` has (doc, part) of those that aren't alone.
 
-    Two documents that link have one of their ``first`` tokens in common.
-    Tokens that several parts have are named after one of their documents, the
-    one with the least hash, so that tokens which the same documents have
-    become one cell and a pair meets once, not once for each token.  In a cell,
-    all documents outside its largest part meet all documents, in blocks of
-    bounded size.
+    Tokens that several parts have in their prefixes are named after one of
+    their documents, the one with the least hash, so that tokens which the same
+    documents have become one cell and a pair meets once, not once for each
+    token.  In a cell, all documents outside its largest part meet all
+    documents, in blocks of bounded size.
     """
-    own = known.select("doc", "first").join(part, "doc", "left").select("doc", F.coalesce("part", "doc").alias("part"), "first")
-    posting = staged(own.select("doc", "part", F.explode("first").alias("token")), "jaccard-posting")
-    named = posting.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min_by("doc", F.xxhash64("doc")).alias("cell")).where("a < b").select("token", "cell")
-    cells = staged(posting.join(named, "token").select("cell", "doc", "part").distinct().join(known.select("doc", F.octet_length("tokens").cast("long").alias("b")), "doc"), "jaccard-cells")
+    own = space.staged(posting.join(part, "doc", "left").select("token", "doc", F.coalesce("part", "doc").alias("part")), "postings")
+    named = own.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min_by("doc", F.xxhash64("doc")).alias("cell"), F.count("*").alias("n")).where("a < b").select("token", "cell", "n")
+    placed = spread_join(own, named, ["token"], ["doc"]).select("cell", "doc", "part").distinct()
+    cells = space.staged(placed.join(known.select("doc", F.octet_length("tokens").cast("long").alias("b")), "doc"), "cells")
     by_part = cells.groupBy("cell", "part").agg(F.count("*").alias("d"), F.sum("b").alias("b"))
     whole = by_part.groupBy("cell").agg(F.max(F.struct("d", "b", "part")).alias("m"), F.sum("d").alias("d"), F.sum("b").alias("b"))
     blocks = lambda d, b: F.greatest(F.ceil(d / CELL_DOCS), F.ceil(b / CELL_BYTES)).cast("int")
-    plan = whole.select("cell", F.col("m.part").alias("most"), blocks(F.col("d") - F.col("m.d"), F.col("b") - F.col("m.b")).alias("ni"), blocks(F.col("d"), F.col("b")).alias("nj"))
-    placed = cells.drop("b").join(plan, "cell")
+    plan = whole.select("cell", F.col("m.part").alias("most"), blocks(F.col("d") - F.col("m.d"), F.col("b") - F.col("m.b")).alias("ni"), blocks(F.col("d"), F.col("b")).alias("nj"), F.col("d").alias("n"))
+    dealt = spread_join(cells.drop("b"), plan, ["cell"], ["doc"])
     at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.where("part <> most").select("cell", at("ni").alias("bi"), every("nj").alias("bj"), F.lit(0).alias("side"), "doc", "part")
-    right = placed.select("cell", every("ni").alias("bi"), at("nj").alias("bj"), F.lit(1).alias("side"), "doc", "part")
+    left = dealt.where("part <> most").select("cell", at("ni").alias("bi"), every("nj").alias("bj"), F.lit(0).alias("side"), "doc", "part")
+    right = dealt.select("cell", every("ni").alias("bi"), at("nj").alias("bj"), F.lit(1).alias("side"), "doc", "part")
     rows = left.unionAll(right).join(known.select("doc", "n", "k", "tokens"), "doc").select("cell", "bi", "bj", "side", "part", "n", "k", "tokens")
     return rows.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj").mapInArrow(cell_links, "x bigint, y bigint")
 
@@ -461,44 +387,45 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_shingles, component_id) of every row of ``df``.
 
     Null and empty texts have no shingles and link with nothing.  Rows with one
-    id are one node of the graph; equal rows each come back.  A null id links
-    with nothing and has itself (null) as component.  Further columns are
-    ignored; an empty table gives an empty one.
+    id are one node of the graph, which has the links of all their texts; each
+    row comes back, also equal ones, with the size of its own set.  A null id
+    links with nothing and has itself (null) as component.  Texts of any length
+    are read whole.  Further columns are ignored; an empty table gives an empty
+    one.
     """
     docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].cast("string").alias("text"))
     here = docs.where("doc is not null")
-    size = here.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    buckets = int(max(8, size // 6 // BUCKET_TOKENS + 1))
-    blocks = here.mapInArrow(token_blocks(buckets), BLOCK_DDL)
-    first = staged(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_counts(buckets), COUNT_DDL), "jaccard-shared")
-
-    rows = first.where("n is not null")
-    # one document stands for each class of equal sets
-    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
-    member = staged(rows.join(classes, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "jaccard-member")
-    reps = member.where("doc = rep and n > 0").groupBy("doc").agg(F.max("n").alias("n"))
-    need = F.ceil(F.col("n") * SIMILAR / 100)
-    elsewhere = first.where("range is not null").select("range", "docs", "counts").repartition(buckets, "range").sortWithinPartitions("range").mapInArrow(summed, "doc bigint, shared bigint")
-    shared = rows.select("doc", "shared").unionAll(elsewhere).groupBy("doc").agg(F.sum("shared").alias("shared"))
-    enough = shared.join(reps, "doc").where(F.col("shared") >= need)
-    survivors = staged(enough.select("doc", "n"), "jaccard-survivors")
-    few = survivors.count()
-    chosen = F.broadcast(survivors.select("doc")) if few <= BROADCAST_IDS else survivors.select("doc")
-    texts = here.join(chosen, "doc", "left_semi")
-    known = staged(texts.mapInArrow(full_sets, "doc bigint, set binary").dropDuplicates(["doc"]), "jaccard-sets")
-
-    total = survivors.agg(F.sum("n").alias("t")).first()["t"] or 0
-    buckets = int(max(8, total // BUCKET_TOKENS + 1))
-    often = known.mapInArrow(set_blocks(buckets), BLOCK_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(frequencies, "doc bigint, tokens binary, often binary")
-    listed = often.groupBy("doc").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("often").alias("often")).join(survivors, "doc")
-    profile = staged(listed.select("doc", "n", "tokens", "often").mapInArrow(profiles, PROFILE_DDL), "jaccard-profiles")
-
-    # documents that leaders connect are one part; then parts are joined by the prefixes
-    near = verify(stars(profile), profile)
-    part = staged(components(near, "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("part")), "jaccard-parts")
-    whole = components(links_between(profile, part), "x", "y").select(F.col("node").alias("part"), "component")
-
-    placed = member.join(part.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", "n", F.coalesce("part", "rep").alias("part"))
-    out = placed.join(whole, "part", "left").select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "part").alias("component_id"))
-    nameless = docs.where("doc is null").mapInArrow(full_sets, "doc bigint, set binary").select(F.col("doc").alias(id_col), (F.octet_length("set") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionAll(nameless)
+    with Workspace(df.sparkSession, "jaccard") as space:
+        first = space.staged(here.mapInArrow(screened, SCREEN_DDL), "screened")
+        # one document stands for each class of equal sets
+        rep = F.when(F.col("n") > 0, F.min("doc").over(Window.partitionBy("n", "s1", "s2"))).otherwise(F.col("doc"))
+        member = space.staged(first.where("doc is not null").select("doc", "n", "s1", "s2", "docs").withColumn("rep", rep), "members")
+        left = survivors(first).join(member.where("n > 0 and doc = rep").select("doc", "s1"), ["doc", "s1"], "left_semi")
+        left = space.staged(left, "survivors")
+        few = left.count()
+        chosen = F.broadcast(left) if few <= BROADCAST_IDS else left
+        texts = here.join(F.broadcast(left.select("doc")) if few <= BROADCAST_IDS else left.select("doc"), "doc", "left_semi")
+        full = texts.mapInArrow(full_sets, "doc bigint, s1 bigint, n int, set array<bigint>").join(chosen, ["doc", "s1"], "left_semi")
+        known = space.staged(full, "sets")
+        if known.count() > few:  # rows that repeat an id and its text
+            known = space.staged(known.dropDuplicates(["doc", "s1"]), "sets")
+
+        profile = profiled(known, space)
+        posting = space.staged(profile.select(F.explode("prefix").alias("token"), "doc", "k"), "prefixes")
+        near = verify(space.staged(met(posting), "pairs"), profile)
+        part = space.staged(components(near, "x", "y", space).select(F.col("node").alias("doc"), F.col("component").alias("part")), "parts")
+        between = links_between(posting, profile, part, space)
+        # an id with several texts is in several classes
+        each = member.where("n > 0").select("rep", F.explode("docs").alias("doc"))
+        several = each.groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
+        several = several.select("doc").join(each, "doc").select(F.col("doc").alias("x"), F.col("rep").alias("y"))
+        named = lambda c: several.join(part.select(F.col("doc").alias(c), "part"), c, "left").select(F.coalesce("part", c).alias("p"), *(o for o in "xy" if o != c))
+        joined = named("x").withColumnRenamed("p", "x").join(part.withColumnRenamed("doc", "y"), "y", "left").select("x", F.coalesce("part", "y").alias("y"))
+        whole = components(between.unionAll(joined), "x", "y", space).select(F.col("node").alias("part"), "component")
+
+        placed = member.join(part.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("part", F.coalesce("part", "rep")).join(whole, "part", "left")
+        out = placed.select(F.explode("docs").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "part").alias("c"))
+        out = out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col(id_col)).alias("component_id"))
+        result = staged(out, "jaccard-result")
+    nameless = docs.where("doc is null").mapInArrow(full_sets, "doc bigint, s1 bigint, n int, set array<bigint>").select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return result.unionAll(nameless)

@@ -1,4 +1,4 @@
-"""What several operators share: staged tables, word hashing, components."""
+"""What several operators share: staged tables, joins on hot keys, components, word hashing."""
 
 from __future__ import annotations
 
@@ -19,11 +19,16 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    Where that setting is absent a temporary folder is used if all runs on one
+    machine; on a cluster that is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.TemporaryDirectory(prefix="textloom-")
@@ -35,8 +40,14 @@ _LOCAL: tempfile.TemporaryDirectory | None = None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of the application's own."""
+    return f"{shared_root(spark)}/textloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -44,43 +55,105 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage in a way that outlives executors, so that a later action
     reads rows instead of repeating the work (or repeating it differently).
+    The table stays for as long as its rows may be asked for.
     """
-    path = scratch(df.sparkSession, name)
+    return _stage(df, scratch(df.sparkSession, name))
+
+
+def _stage(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Staged tables of one run of an operator, all deleted when it is left.
+
+    What is given back must not read them: stage the result outside.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.number = spark, scratch(spark, name), 0
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, self.path)
+
+    def fresh(self, name: str) -> str:
+        self.number += 1
+        return f"{self.path}/{self.number}-{name}"
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        return _stage(df, self.fresh(name))
+
+
+# --------------------------------------------------------------------------
+# Joins on hot keys
+# --------------------------------------------------------------------------
+
+#: Rows of a key from which they are spread, and keys that are spread at most, the largest ones: what is broadcast
+#: has a row of a key and a number for each.
+HOT_ROWS, HOT_KEYS = 5_000, 100_000
+
+
+def hot_keys(counted: DataFrame, keys: list[str], n: str, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys of ``counted`` (a row for each, with its number of rows ``n``) that are spread, and over how many copies."""
+    top = counted.where(F.col(n) > rows).orderBy(F.desc(n), *keys).limit(HOT_KEYS)
+    return top.select(*keys, F.ceil(F.col(n) / rows).cast("int").alias("__copies"))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], counted: DataFrame | None = None, n: str = "n", how: str = "inner", most: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``facts`` on ``keys``, where a key may hold any share of ``rows``.
+
+    ``counted`` (``facts`` itself, if it has the column ``n``) tells how many
+    rows each key has.  Rows of a hot key are dealt to salts by the columns
+    ``by``; its facts are copied to each salt.
+    """
+    few = F.broadcast(hot_keys(facts if counted is None else counted, keys, n, most))  # HOT_KEYS bounds it
+    salt = F.when(F.col("__copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__copies"))).cast("int")
+    left = rows.join(few, keys, "left").withColumn("__salt", salt).drop("__copies")
+    right = facts.join(few, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__copies"), F.lit(1)) - 1))).drop("__copies")
+    return left.join(right.drop(n) if counted is None else right, [*keys, "__salt"], how).drop("__salt")
+
+
 # --------------------------------------------------------------------------
 # Connected components
 # --------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, space: Workspace | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of an edge.
 
     Alternating large-star and small-star rounds; each is a grouping on node
-    ids with map-side ``min``.  The state is staged after each round, and the
-    loop ends when a round changes nothing.  Rounds grow with the logarithm of
-    the number of nodes.  Null ends and self loops are ignored.
+    ids with map-side ``min``, whose counts tell the hot nodes, the centres of
+    large stars.  The state is staged after each round and the one before it
+    deleted; the loop ends when a round changes nothing.  Rounds grow with the
+    logarithm of the number of nodes.  Null ends and self loops are ignored.
+    What is given back is read from ``space``, if there is one.
     """
+    spark = edges.sparkSession
+    fresh = space.fresh if space else lambda name: scratch(spark, name)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = staged(e, "cc")
-    before = None
+    path = fresh("components")
+    e, before = _stage(e, path), None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
         # large star: greater neighbours move to the smallest node around
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = spread_join(both, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours and the node itself do
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         e = (
-            e.join(low, "u")
+            spread_join(e, low, ["u"], ["v"])
             .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
             .select("s.u", "s.v")
             .where("u <> v")
             .distinct()
         )
-        e = staged(e, "cc")
+        old, path = path, fresh("components")
+        e = _stage(e, path)
+        discard(spark, old)
         after = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if after == before:
             break
