@@ -6,6 +6,7 @@ import base64
 import hashlib
 import itertools
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -119,6 +120,34 @@ def test_best_run_is_the_best():
         assert value(a, b) + tags <= most + 1e-9 and value(a, b) >= most - 2 * 1.1 - 1e-9
 
 
+PROBES = {
+    '<article><div title="the hidden gem"><p>one two three four</p></div></article>': "one two three four",
+    "<article><p>one two three</p><button>Go<p>four five six</p></article>": "one two three four five six",
+    "<article><p>one two three</p><select><option>Go<p>four five six</p></article>": "one two three four five six",
+    "<article><p>one two three</p><svg/>four five six</article>": "one two three four five six",
+    '<article class="search"><p>alpha beta gamma</p></article>': "alpha beta gamma",
+    "<article><span class=ad><span>buy</span> this</span> alpha beta gamma</article>": "alpha beta gamma",
+    "<article>alpha beta <script>var x = '<p>'</article>": "alpha beta",
+    "<article>alpha 1 < 2 beta <!-- gone --> gamma <a title='a > b'>delta</a></article>": "alpha 1 < 2 beta gamma delta",
+    "<article>alpha beta gamma <article class='comment'>never</article></article>": "alpha beta gamma",
+    "<body><nav>Home News</nav><div class='content'><p>alpha beta gamma</p><p>delta epsilon</p></div><footer>Imprint</footer></body>": "alpha beta gamma delta epsilon",
+    "<h1>alpha beta</h1><p>gamma &eacute; delta": "alpha beta gamma \u00e9 delta",
+}
+
+
+@pytest.mark.parametrize("page", PROBES)
+def test_odd_pages(page):
+    """Broken markup, names in attributes, and pages that name no article, under weights of other pages."""
+    assert html_extract.main_text(page, W) == PROBES[page]
+
+
+@pytest.mark.parametrize("broken", ["<a x ", '<a "', '<a x="', "<article>", '<b ">', "</div>", "<script>", "<div class=x>", "<!--", "<", "<p '>\"", "<svg>"])
+def test_broken_markup_is_read_in_linear_time(broken):
+    begin = time.process_time()
+    html_extract.main_text(broken * 100_000, W)
+    assert time.process_time() - begin < 5
+
+
 # ---------------------------------------------------------------------- shards
 
 

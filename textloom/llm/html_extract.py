@@ -6,12 +6,10 @@ finds the contiguous run with the largest sum.  The weights are log-odds of
 being inside the article, counted over labelled pages: those whose markup
 names their article or main element.
 
-The run decides the region.  An end that lies in an article or main element is
-moved to the border of the innermost one there; if such elements hold at least
-half of the run's words, what the run covers before the first and after the
-last is trimmed.  All between the ends stays, in page order, but for text below
-menus, adverts, forms and the like.  A form or part of a class name above an
-article or main element doesn't put it out.
+The run alone decides the region: all between its ends stays, in page order, but
+for text in menus, adverts, forms and the like.  A form or part of a class name
+above an article or main element doesn't put it out.  Reading is linear in the
+page, however broken its markup.
 """
 
 from __future__ import annotations
@@ -29,84 +27,141 @@ from pyspark.sql import functions as F
 #: Labelled pages that weights are counted over, about.
 SAMPLE = 2000
 #: Elements and names of parts that aren't the article.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "select", "button", "canvas", "math", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
+UNSEEN = {"noscript", "template", "object", "canvas"}
+SMALL = {"button", "select", "svg", "math"}
 ASIDE = {"nav", "footer", "aside", "header", "form", "menu", "dialog", "head", "fieldset"}
 FORMS = {"form", "fieldset"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 HOLDERS = ASIDE | MAIN | {"body", "div", "section", "td"}
+#: Elements that end an open button, select, svg or math.
+BLOCKS = HOLDERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "hr", "address", "details"}
 NAMED = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
+COMMENTS = {"comment", "comments", "disqus", "respond", "replies"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(tag, attributes, closing, text) in page order; text has an empty tag.
 
-    What raw elements, comments and declarations hold is skipped.  A ``<`` that
-    opens no tag is text.
+    What raw elements, comments and declarations hold is skipped; a raw element
+    that is never closed ends with what is around it.  A ``<`` that opens no tag
+    is text.  A ``>`` in quotes ends no tag, unless none outside them does.
     """
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            yield "", "", False, page[at:]
-            return
-        if m.start() > at:
-            yield "", "", False, page[at : m.start()]
-        at = m.end()
-        if m[2] is None:
+    n, last, quoted, absent = len(page), page.rfind(">"), True, set()
+
+    def end_of_tag(at: int) -> int:
+        nonlocal quoted
+        first = page.find(">", at)
+        while quoted:
+            at = PLAIN.match(page, at).end()
+            if at == n:
+                quoted = False  # what follows is read without quotes, so that no part is read again and again
+            elif page[at] == ">":
+                return at + 1
+            elif page[at] in absent or (close := page.find(page[at], at + 1)) < 0:
+                absent.add(page[at])
+                at += 1
+            else:
+                at = close + 1
+        return first + 1
+
+    at = text = 0
+    while 0 <= (i := page.find("<", at)) < last:
+        if page.startswith("<!--", i):
+            close = page.find("-->", i + 4)
+            tag, end = "", close + 3 if close >= 0 else n
+        elif page[i + 1] in "!?":
+            tag, end = "", page.find(">", i) + 1
+        elif m := NAME.match(page, i + 1):
+            tag, end = m[2].lower(), end_of_tag(m.end())
+        else:
+            at = i + 1
             continue
-        tag = m[2].lower()
-        yield tag, m[3], bool(m[1]), ""
-        if tag in RAW and not m[1] and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+        if i > text:
+            yield "", "", False, page[text:i]
+        at = text = end
+        if not tag:
+            continue
+        attributes = page[m.end() : end - 1]
+        yield tag, attributes, bool(m[1]), ""
+        if tag in RAW and not m[1] and not attributes.rstrip().endswith("/"):
+            close = None if tag in absent else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close is None:
+                absent.add(tag)
+                close = page.find("</", at)
+                at = text = close if close >= 0 else n
+            else:
+                at = text = close.end()
             yield tag, "", True, ""
+    if text < n:
+        yield "", "", False, page[text:]
 
 
-#: What is open outside all elements: tag, key, out, open articles and mains, in an aside for certain, below such a name.
-NOTHING = ("", "body", False, (), False, False)
-
-
-def holder(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+def holder(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
     """Key of an element for weights, and whether it is known to hold no article:
-    at all, by its kind (all but forms), by a whole class name or id."""
-    named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+    at all, by its kind (all but forms), by a whole class name or id, by one of readers' comments."""
+    named: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1]:
+            named.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = f"{named.get('class', '')} {named.get('id', '')}".strip()
     role = named.get("role", "").lower()
     hard = tag in ASIDE - FORMS or role in ROLES - FORMS or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
     part = bool(names) and tag not in ("html", "body") and bool(NAMED.search(names))
-    whole = part and any((m := NAMED.search(x)) and m[1] == x for x in names.split())
-    return (f"{tag}.{names.lower().split()[0]}" if names else tag), hard or tag in FORMS or role in FORMS or part, hard, whole
+    wholes = {x.lower() for x in names.split() if (m := NAMED.search(x)) and m[1] == x} if part else set()
+    return (f"{tag}.{names.lower().split()[0]}" if names else tag), hard or tag in FORMS or role in FORMS or part, hard, bool(wholes), bool(wholes & COMMENTS)
 
 
 class Node:
     """A stretch of text with what is around it."""
 
-    __slots__ = ("words", "text", "key", "out", "main", "tags", "split", "chain")
+    __slots__ = ("words", "text", "key", "out", "main", "tags", "split")
+
+    def __init__(self, text: str, key: str, out: bool, main: str, tags: list[str], split: bool):
+        self.text, self.words, self.key, self.out, self.main, self.tags, self.split = text, len(text.split()), key, out, main, tags, split
+
+
+class Open:
+    """An open element that matters: what its text is, and how often its tag was opened in it since."""
+
+    __slots__ = ("tag", "key", "out", "main", "hard", "named", "again")
 
-    def __init__(self, text: str, key: str, out: bool, main: int, tags: list[str], split: bool, chain: tuple[int, ...] = ()):
-        self.text, self.words, self.key, self.out, self.main, self.tags, self.split, self.chain = text, len(text.split()), key, out, main, tags, split, chain
+    def __init__(self, tag: str = "", key: str = "body", out: bool = False, main: str = "", hard: bool = False, named: bool = False):
+        self.tag, self.key, self.out, self.main, self.hard, self.named, self.again = tag, key, out, main, hard, named, 0
 
 
 def nodes(page: str) -> list[Node]:
     """The texts of a page; ``tags`` are those since the text before, ``main``
-    numbers the innermost open article or main element (0: none), ``chain`` all
-    open ones, ``split`` tells if a block begins or ends in between.
+    names the innermost open article or main element, ``key`` begins with it,
+    ``split`` tells if a block begins or ends in between.
 
     Names and forms above an article or main element count for it only where
     they are in another such element and a whole name says so (the articles of
-    a list of comments).  Menus, asides and hidden elements always count.
+    a list of comments); its own name counts if it tells readers' comments.
+    Menus, asides and hidden elements always count.
     """
-    out, stack, tags, split, mains = [], [], [], True, 0
+    out, stack, open_, tags, split = [], [Open()], Counter(), [], True
+
+    def leave(depth: int) -> None:
+        for x in stack[depth:]:
+            open_[x.tag] -= 1
+        del stack[depth:]
+
+    def push(x: Open) -> None:
+        stack.append(x)
+        open_[x.tag] += 1
+
     for tag, attributes, closing, text in tokens(page):
+        top = stack[-1]
         if not tag:
-            top = stack[-1] if stack else NOTHING
-            out.append(Node(html.unescape(text), top[1], top[2], top[3][-1] if top[3] else 0, tags, split, top[3]))
+            out.append(Node(html.unescape(text), f"{top.main} {top.key}" if top.main else top.key, top.out, top.main, tags, split))
             tags, split = [], False
             continue
         tags.append(("/" if closing else "") + tag)
@@ -114,19 +169,30 @@ def nodes(page: str) -> list[Node]:
         if tag in VOID or tag in RAW:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag in HOLDERS or attributes:
-            key, aside, hard, named = holder(tag, attributes)
+            if open_[tag]:
+                i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                if i == len(stack) - 1 and top.again:
+                    top.again -= 1
+                else:
+                    leave(i)
+            continue
+        if tag in BLOCKS and top.tag in SMALL:
+            while stack[-1].tag in SMALL:
+                leave(len(stack) - 1)
+            top = stack[-1]
+        if tag in UNSEEN or tag in SMALL:
+            if not attributes.rstrip().endswith("/"):
+                push(Open(tag, tag, True, top.main, True, top.named))
+            continue
+        if tag in HOLDERS or attributes:
+            key, aside, hard, named, comment = holder(tag, attributes)
             if tag in HOLDERS or aside:
-                before = stack[-1] if stack else NOTHING
-                mains += tag in MAIN
-                chain = (*before[3], mains) if tag in MAIN else before[3]
-                hard, named = before[4] or hard, before[5] or (named and tag != "main")
-                off = hard or (named and (tag == "article" and holder(tag, attributes)[3] or bool(before[3]))) if tag in MAIN else before[2] or aside
-                stack.append((tag, key, off, chain, hard, named and (off or tag not in MAIN)))
+                hard, named = top.hard or hard, top.named or (named and tag not in MAIN) or comment
+                off = hard or bool(named and (comment or top.main)) if tag in MAIN else top.out or aside
+                push(Open(tag, key, off, tag if tag in MAIN else top.main, hard, named and (off or tag not in MAIN)))
+                continue
+        if tag == top.tag:
+            top.again += 1
     return out
 
 
@@ -139,7 +205,8 @@ def count(pages: Iterator[str]) -> Counter:
             continue
         for p in parts:
             inside = bool(p.main) and not p.out
-            seen["word", p.key, inside] += p.words
+            for key in {p.key, p.key.split(" ")[0]}:
+                seen["word", key, inside] += p.words
             for t in p.tags:
                 seen["tag", t, inside] += 1
     return seen
@@ -154,17 +221,21 @@ def weights(seen: Counter) -> dict[tuple[str, str], float]:
     return out
 
 
-UNSEEN_WORD, UNSEEN_TAG, ASIDE_WORD = 0.5, -0.5, -2.0
+UNSEEN_WORD, UNSEEN_TAG, ASIDE_WORD = 1.0, -0.5, -2.0
+
 
+def best_run(parts: list[Node], w: dict[tuple[str, str], float], told: bool = True) -> tuple[int, int]:
+    """(first, last + 1) of the run of texts with the largest sum; (0, 0) if none is above zero.
 
-def best_run(parts: list[Node], w: dict[tuple[str, str], float]) -> tuple[int, int]:
-    """(first, last + 1) of the run of texts with the largest sum; (0, 0) if none is above zero."""
+    An element that no labelled page has in an article counts as the article does.  Unless ``told``, all words score
+    alike: where a page names no article, the labelled pages tell nothing of its elements.
+    """
     best, at, run, start = 0.0, (0, 0), 0.0, 0
     for i, p in enumerate(parts):
         run += sum(w.get(("tag", t), UNSEEN_TAG) for t in p.tags)
         if run <= 0:
             run, start = 0.0, i
-        run += p.words * (ASIDE_WORD if p.out else w.get(("word", p.key), UNSEEN_WORD))
+        run += p.words * (ASIDE_WORD if p.out else w.get(("word", p.key), w.get(("word", p.key.split(" ")[0]), UNSEEN_WORD)) if told else UNSEEN_WORD)
         if run > best:
             best, at = run, (start, i + 1)
     return at
@@ -173,16 +244,7 @@ def best_run(parts: list[Node], w: dict[tuple[str, str], float]) -> tuple[int, i
 def main_text(page: str | None, w: dict[tuple[str, str], float]) -> str:
     """The main text of a page; empty for null, empty and textless pages."""
     parts = nodes(page or "")
-    a, b = best_run(parts, w)
-    own = [i for i in range(a, b) if parts[i].main and not parts[i].out and parts[i].words]
-    if own:
-        if 2 * sum(parts[i].words for i in own) >= sum(p.words for p in parts[a:b] if not p.out):
-            a, b = own[0], own[-1] + 1
-        first, last = parts[a].main, parts[b - 1].main
-        if first:
-            a = next(i for i, p in enumerate(parts) if first in p.chain)
-        if last:
-            b = max(i for i, p in enumerate(parts) if last in p.chain) + 1
+    a, b = best_run(parts, w, any(p.main for p in parts))
     blocks: list[list[str]] = []
     for p in parts[a:b]:
         if p.split or not blocks:
@@ -193,9 +255,10 @@ def main_text(page: str | None, w: dict[tuple[str, str], float]) -> str:
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict[tuple[str, str], float]:
-    """Weights from about ``sample`` labelled pages, chosen by a hash of their markup."""
+    """Weights from at most ``2 * sample`` labelled pages, those with the least hashes of their markup, equal ones once."""
     step = max(1, pages.count() // sample)
-    some = pages.where(F.pmod(F.xxhash64(html_col), F.lit(step)) == 0).select(html_col).limit(2 * sample)
+    some = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(html_col).alias("h")).where(F.pmod("h", F.lit(step)) == 0)
+    some = some.dropDuplicates(["h"]).orderBy("h").limit(2 * sample).repartition(16, "h").select("html")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
