@@ -2,10 +2,14 @@
 
 A text is the set of its words and of their beginnings.  Features that go with
 the label more than chance allows enter a logistic model.  For each labelled
-text that names an identity group, the text with its identity terms swapped for
-those of another group is scored too, and the squared change of the score is
-added to the loss: a neutral mention of a group moves the score as little as
-any other does.
+text that names a group, the text with its group terms swapped for others of
+their kind is scored too, and the squared change of the score is added to the
+loss: a neutral mention of a group moves the score as little as any other does.
+
+Which terms name groups is a fixed list, the start, and what the labelled texts
+themselves show: words that are frequent, that stand between the same words as
+others do, and that go with neither label.  The fixed terms alone would leave the
+penalty idle on a corpus that names no such group.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.labelled import BYTES, ROWS, fold, sample
 from textloom.llm.quality import THRESHOLD, score_only
-from textloom.llm.util import mix, powers, word_hashes
+from textloom.llm.util import PIECE, mix, pieces, powers, word_hashes
 
 FOLDS, HELD_OUT = 4, 2
 #: Bytes of a word's beginnings that are features, beside the word.
@@ -41,16 +45,63 @@ IDENTITY = (
     ("deaf", "blind", "disabled", "autistic", "elderly", "young"),
 )
 SWAPS = {t: group[(i + 1) % len(group)] for group in IDENTITY for i, t in enumerate(group)}
-TERM = re.compile(r"\b(" + "|".join(sorted(SWAPS, key=len, reverse=True)) + r")\b", re.I)
+WORD = re.compile(r"[^\W\d_]+")
+#: Learned terms: share of texts and number of texts with either label they are in at least, log-odds over its error at
+#: most, likeness of the words around them at least; words looked at, words around that count, and terms of a kind.
+TERM_SHARE, TERM_TEXTS, TERM_SIGNAL, TERM_LIKENESS = 0.02, 5, 1.0, 0.9
+TERM_WORDS, AROUND_WORDS, KIND_TERMS = 200, 100, 8
 
 # Letters, digits and the bytes of letters beyond ASCII make words here.
 APART = np.ones(256, bool)
 APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def counterfactual(text: str) -> str:
-    """The text with each identity term swapped for the next of its kind."""
-    return TERM.sub(lambda m: SWAPS[m[0].lower()], text)
+def counterfactual(text: str, swaps: dict[str, str] = SWAPS) -> str:
+    """The text with each group term swapped for the next of its kind; a capital first letter stays one."""
+
+    def other(m: re.Match) -> str:
+        found = swaps.get(m[0].lower())
+        return m[0] if found is None else found.capitalize() if m[0][0].isupper() else found
+
+    return WORD.sub(other, text)
+
+
+def learned_terms(texts: list[str], y: np.ndarray) -> list[list[str]]:
+    """Kinds of terms, two to KIND_TERMS each, that the labelled texts use alike and with either label."""
+    split = [[w.lower() for w in WORD.findall(t)] for t in texts]
+    toxic, clean, often = Counter(), Counter(), Counter()
+    for words, label in zip(split, y):
+        (toxic if label > 0.5 else clean).update(set(words))
+        often.update(words)
+    p, q = float((y > 0.5).sum()), float((y <= 0.5).sum())
+    terms = []
+    for w, n in sorted((toxic + clean).items(), key=lambda x: (-x[1], x[0])):
+        a, b = toxic[w], clean[w]
+        if n < TERM_SHARE * len(texts) or len(terms) == TERM_WORDS:
+            break
+        error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (p - a + 0.5) + 1 / (q - b + 0.5))
+        odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (q - b + 0.5))
+        if len(w) > 2 and min(a, b) >= TERM_TEXTS and abs(odds) <= TERM_SIGNAL * error:
+            terms.append(w)
+    if len(terms) < 2:
+        return []
+    at = {w: i for i, w in enumerate(terms)}
+    around = {w: i for i, (w, _) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:AROUND_WORDS])}
+    seen = np.zeros((len(terms), 2 * AROUND_WORDS))
+    for words in split:
+        for left, word, right in zip(["", *words], words, [*words[1:], ""]):
+            if word in at:
+                if left in around:
+                    seen[at[word], around[left]] += 1
+                if right in around:
+                    seen[at[word], AROUND_WORDS + around[right]] += 1
+    unit = np.sqrt(seen / np.maximum(seen.sum(1, keepdims=True), 1))
+    like = unit @ unit.T
+    kinds: list[list[int]] = []
+    for i in range(len(terms)):
+        best = max((k for k in kinds if len(k) < KIND_TERMS and like[i, k].min() >= TERM_LIKENESS), key=lambda k: like[i, k].min(), default=None)
+        kinds.append([i]) if best is None else best.append(i)
+    return [[terms[i] for i in k] for k in kinds if len(k) > 1]
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +136,7 @@ class Model:
         self.keys, self.weights, self.intercept = keys, weights, intercept
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(keys >> np.uint64(48)).astype(np.int64)] = True
+        self.swaps, self.named, self.counterfactuals = dict(SWAPS), 0, 0
 
     def present(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(feature, text) pairs, once each."""
@@ -99,13 +151,19 @@ class Model:
         return both % len(self.keys), both // len(self.keys)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        f, doc = self.present(data, offsets)
+        if len(offsets) == 2 and len(data) > PIECE:
+            # a long text is read in pieces, cut between words
+            parts = [self.present(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data, APART, PIECE)]
+            f = np.unique(np.concatenate(parts))
+            doc = np.zeros(len(f), np.int64)
+        else:
+            f, doc = self.present(data, offsets)
         logit = self.intercept + np.bincount(doc, weights=self.weights[f], minlength=len(offsets) - 1)
         return 1 / (1 + np.exp(-logit))
 
 
-def choose(texts: list[str], y: np.ndarray) -> np.ndarray:
-    """Hashes of the features whose log-odds stand out, and of all identity terms in the texts."""
+def choose(texts: list[str], y: np.ndarray, swaps: dict[str, str]) -> np.ndarray:
+    """Hashes of the features whose log-odds stand out, and of all group terms in the texts."""
     with_label, in_all = Counter(), Counter()
     for a in range(0, len(texts), 200):
         h, doc = features(*coded(texts[a : a + 200]))
@@ -125,19 +183,25 @@ def choose(texts: list[str], y: np.ndarray) -> np.ndarray:
             z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (p - a + 0.5) + 1 / (q - b + 0.5))
             if z > LEAST_SIGNAL and odds > 1.5:
                 scored.append((-z, k))
-    terms = word_hashes(*coded(list(SWAPS)), APART)[0].tolist()
+    terms = word_hashes(*coded(sorted(swaps)), APART)[0].tolist()
     kept = {k for _, k in sorted(scored)[:MOST_FEATURES]} | {k for k in terms if in_all[k]}
     return np.array(sorted(kept), np.uint64)
 
 
 def train(texts: list[str], labels: list[float], penalty: float = PENALTY) -> Model:
-    """Full-batch Adam; both classes weigh the same.  Without both classes the score is the class's share."""
+    """Full-batch Adam; both classes weigh the same.  Without both classes the score is the class's share.
+
+    The model tells what its penalty rests on: ``swaps``, and how many texts name a term of the fixed list and any.
+    """
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if not len(y) else (4.0 if y[0] > 0.5 else -4.0))
-    other = [i for i, t in enumerate(texts) if TERM.search(t)]
-    swapped = [counterfactual(texts[i]) for i in other]
-    keys = np.unique(np.concatenate([choose(texts, y), word_hashes(*coded([SWAPS[m.lower()] for i in other for m in TERM.findall(texts[i])]), APART)[0]]))
+    swaps = {t: k[(i + 1) % len(k)] for k in learned_terms(texts, y) for i, t in enumerate(k)} | SWAPS
+    swapped = [counterfactual(t, swaps) for t in texts]
+    other = [i for i, t in enumerate(swapped) if t != texts[i]]
+    named = sum(any(w.lower() in SWAPS for w in WORD.findall(texts[i])) for i in other)
+    swapped = [swapped[i] for i in other]
+    keys = choose(texts, y, swaps)
     model = Model(keys, np.zeros(len(keys)), 0.0)
     f, d = model.present(*coded(texts))
     g, e = model.present(*coded(swapped))
@@ -164,7 +228,9 @@ def train(texts: list[str], labels: list[float], penalty: float = PENALTY) -> Mo
         s += 0.001 * (step * step - s)
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
         w, c = w - move[:-1], c - move[-1]
-    return Model(keys, w, float(c))
+    model = Model(keys, w, float(c))
+    model.swaps, model.named, model.counterfactuals = swaps, named, len(other)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYTES) -> Model:
@@ -173,6 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYTES)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; null texts count as empty, equal rows each give a row."""
+    """doc_id, held_out, score, predicted of every document.
+
+    A null text is scored as an empty one, texts of any length in pieces; equal
+    rows each give a row with the same score, a null id falls in the fold of an
+    empty text, further columns are ignored.  Without labels, or with labels of
+    one kind, all scores are equal.
+    """
     scored = score_only(docs, fit(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
