@@ -5,10 +5,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import MEDIUM, SMALL
 
-from textloom.llm import pipeline, quality, toxicity
+from textloom.llm import labelled, pipeline, quality, toxicity, util
 from textloom.llm.queries import QUERIES
 
 LARGE = "/root/testdata/sf0.1"
@@ -53,11 +54,75 @@ def test_swapped_groups_score_alike():
     assert gap(toxicity.train(texts, y, 20.0)) < gap(toxicity.train(texts, y, 0.0))
 
 
-def test_long_texts_score_as_their_parts():
-    """Max pooling over pieces of a text of any length: a mark at its end counts."""
-    net = quality.train(["good words here " * 5 + f"{i}" for i in range(60)] + ["zq#" * 30 + f"{i}" for i in range(60)], [1.0] * 60 + [0.0] * 60)
-    s = lambda t: net.scores(*toxicity.coded([t]))[0]
-    assert s("good words here " * 2000) > 0.5 > s("zq#" * 9000)
+def labelled_texts(sf_dir, label):
+    docs, labels = (pd.read_parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    rows = docs.merge(labels, on="doc_id").dropna(subset=[label]).sort_values("doc_id")
+    return list(rows.text.fillna("")), rows[label].to_numpy(float)
+
+
+def test_penalty_acts_on_the_data():
+    """On the driver's texts, which name no group of the fixed list, learned terms make counterfactuals: the penalty
+    changes the model and lessens what a swap changes, and no clean text turns toxic for it."""
+    texts, y = labelled_texts(MEDIUM, "toxic")
+    some = np.arange(len(texts)) % 4 != 2
+    fit = lambda penalty: toxicity.train([t for t, k in zip(texts, some) if k], y[some].tolist(), penalty)
+    with_it, without = fit(toxicity.PENALTY), fit(0.0)
+    assert with_it.named == 0 and with_it.counterfactuals > 100
+    assert not np.allclose(with_it.weights, without.weights)
+    held = toxicity.coded([t for t, k in zip(texts, some) if not k])
+    other = toxicity.coded([toxicity.counterfactual(t, with_it.swaps) for t, k in zip(texts, some) if not k])
+    gap = lambda m: np.abs(m.scores(*held) - m.scores(*other)).mean()
+    assert gap(with_it) < 0.8 * gap(without)
+    wrong = lambda m: ((m.scores(*held) >= 0.3) & (y[~some] < 0.5)).sum()
+    assert wrong(with_it) <= wrong(without)
+
+
+def test_learned_terms_are_alike_and_neutral():
+    r = np.random.default_rng(1)
+    texts, y = [], []
+    for i in range(300):
+        group, bad = ("aldans", "borims", "celids")[i % 3], r.random() < 0.4
+        texts.append(f"we saw {group} there today" + (" vile scum" if bad else " fine bread"))
+        y.append(float(bad))
+    found = toxicity.learned_terms(texts, np.array(y))
+    assert sorted(found[0]) == ["aldans", "borims", "celids"] and not {"vile", "scum"} & {w for k in found for w in k}
+    assert toxicity.counterfactual("Aldans, aldans!", {"aldans": "borims"}) == "Borims, borims!"
+
+
+@pytest.mark.parametrize("piece", [64, 1000 * 8])
+def test_long_texts_score_as_their_pieces(monkeypatch, piece):
+    """Pieces of a text give the score of the whole, and a text's neighbours in a batch don't matter."""
+    net, r = quality.Network(3), np.random.default_rng(0)
+    texts = ["".join(r.choice(list("abc defg\u00e9"), n)) for n in (0, 1, 7, 8, 9, 63, 64, 65, 5003)] + ["xyz " * 700]
+    each = lambda: np.concatenate([net.scores(*toxicity.coded([t])) for t in texts])
+    whole = each()
+    assert np.allclose(net.scores(*toxicity.coded(texts)), whole, atol=1e-6)
+    monkeypatch.setattr(quality, "PIECE", piece)
+    assert np.allclose(each(), whole, atol=1e-6)
+
+
+def test_words_of_long_texts_hash_as_in_pieces(monkeypatch):
+    r = np.random.default_rng(0)
+    texts = ["a bb ccc  ddd", "", "   ", "xx" * 200 + " y", "".join(r.choice(list("abc  "), 5000)), "z" * 70_000 + " a", "z" * 70_001]
+    data, offsets = toxicity.coded(texts)
+    whole = util.word_hashes(data, offsets)
+    assert len(set(whole[0][-3:].tolist())) == 3
+    monkeypatch.setattr(util, "PIECE", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, util.word_hashes(data, offsets)))
+    model = toxicity.train(["vile scum here", "fine day"] * 20, [1.0, 0.0] * 20)
+    long = "fine word " * 3000 + "scum vile"
+    want = model.scores(*toxicity.coded([long]))
+    monkeypatch.setattr(toxicity, "PIECE", 1000)
+    assert np.allclose(model.scores(*toxicity.coded([long])), want)
+
+
+def test_sample_passes_over_what_does_not_fit(spark):
+    """A text too long for the bound, or a class that would fill it, leaves room for the rest; ids repeat freely."""
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 10 == 0 else 50)) for i in range(100)] + [(1, "x" * 60)] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(100)], "doc_id bigint, b boolean").selectExpr("doc_id", "cast(b as int) as quality")
+    texts, y = labelled.sample(docs, labels, "quality", 5, 0, most=4000)
+    assert texts == ["x" * 50] or set(map(len, texts)) <= {50, 60}
+    assert labelled.sample(docs.limit(0), labels, "quality", 5, 0) == ([], [])
 
 
 def test_pipeline(spark):

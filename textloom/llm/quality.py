@@ -23,8 +23,11 @@ from textloom.llm.labelled import ROWS, fold, sample
 from textloom.llm.util import slices
 
 HALF, WIDTH, FILTERS = 8, 4, 24
-#: Periods, in bytes, at which a chunk may repeat what is before it.
+#: Periods, in bytes, at which a chunk may repeat what is before it; halves between two texts.
 PERIODS = range(2, 41)
+APART = 5
+#: Bytes of a text that are read at once, a multiple of a half.
+PIECE = 1 << 20
 EPOCHS, BATCH, RATE, DECAY = 20, 32, 0.015, 1e-4
 #: Bytes of text that the network is fitted on.
 FIT_BYTES = 10_000_000
@@ -32,20 +35,24 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(half chunks of bytes, repetition of each chunk, first half chunk of each text).
+def chunks(data: np.ndarray, offsets: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(half chunks of bytes, repetition of each chunk, first and last + 1 chunk of each text).
 
     Texts are padded with zero bytes to whole halves and one more, so that
-    chunk ``i`` is the halves ``i`` and ``i + 1`` and none spans two texts.
+    chunk ``i`` is the halves ``i`` and ``i + 1`` and none spans two texts, and
+    stand so far apart that no text repeats another.  The first ``before`` bytes
+    (whole halves) of each are only what the rest may repeat.
     """
     sizes = np.diff(offsets)
     halves = -(-sizes // HALF) + 1
-    firsts = np.concatenate([[0], np.cumsum(halves)])
-    flat = np.zeros((int(firsts[-1]) + 1) * HALF, np.uint8)
+    firsts = np.concatenate([[0], np.cumsum(halves + APART)]) + APART
+    flat = np.zeros(int(firsts[-1]) * HALF, np.uint8)
     for a, b, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), (firsts[:-1] * HALF).tolist()):
         flat[at : at + b - a] = data[a:b]
-    # padding must not look like a repetition
-    plain = np.where(flat == 0, (np.arange(len(flat)) * 37 % 251).astype(np.uint8), flat)
+    # padding must look like nothing, itself included
+    plain = flat.astype(np.uint16)
+    empty = flat == 0
+    plain[empty] = (256 + np.arange(len(flat)) % 64).astype(np.uint16)[empty]
     same, sums = np.zeros(len(flat), np.uint8), np.zeros(len(flat) // HALF, np.uint64)
     best = np.zeros_like(sums)
     for lag in PERIODS:
@@ -55,7 +62,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         np.maximum(best, sums, out=best)
     best >>= np.uint64(56)
     best[:-1] += best[1:]
-    return flat.reshape(-1, HALF), (best / (2.0 * HALF)).astype(np.float32), firsts
+    return flat.reshape(-1, HALF), (best / (2.0 * HALF)).astype(np.float32), firsts[:-1] + before // HALF, firsts[:-1] + halves
 
 
 class Network:
@@ -81,11 +88,24 @@ class Network:
         z += repeats[: len(z), None] * self.r
         return z
 
-    def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Largest rectified answer of each filter in each text."""
-        halves, repeats, firsts = chunks(data, offsets)
+    def largest(self, data: np.ndarray, offsets: np.ndarray, before: int = 0, after: int = 0) -> np.ndarray:
+        """Largest answer of each filter in each text; ``after`` chunks at its end belong to the next piece."""
+        halves, repeats, first, last = chunks(data, offsets, before)
         z = self.answers(halves, repeats)
-        return np.maximum(np.maximum.reduceat(z, firsts[:-1]) + self.b, 0)
+        bounds = np.stack([first, np.minimum(last - after, len(z))], axis=1).ravel()
+        return np.maximum.reduceat(np.vstack([z, np.full((1, FILTERS), -np.inf, np.float32)]), bounds)[::2]
+
+    def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Largest rectified answer of each filter in each text; a long text is read in pieces."""
+        if len(offsets) > 2 or len(data) <= PIECE:
+            return np.maximum(self.largest(data, offsets) + self.b, 0)
+        top = np.full((1, FILTERS), -np.inf, np.float32)
+        for a in range(0, len(data), PIECE):
+            # with what the piece may repeat before it, and the half that its last chunk reaches into
+            low, high = max(0, a - APART * HALF), min(len(data), a + PIECE + HALF)
+            if a == 0 or high - a > HALF:
+                top = np.maximum(top, self.largest(data[low:high], np.array([0, high - low]), a - low, 2 if high < len(data) else 0))
+        return np.maximum(top + self.b, 0)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
@@ -108,9 +128,9 @@ def train(texts: list[str], labels: list[float], seed: int = 7) -> Network:
         for rows in np.array_split(r.permutation(len(y)), max(1, len(y) // BATCH)):
             data = np.frombuffer(b"".join(coded[i] for i in rows), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(coded[i]) for i in rows])])
-            halves, repeats, firsts = chunks(data, offsets)
+            halves, repeats, first, last = chunks(data, offsets)
             z = net.answers(halves, repeats)
-            at = np.stack([a + z[a:b].argmax(0) if b > a else np.full(FILTERS, a) for a, b in zip(firsts[:-1], np.minimum(firsts[1:], len(z)))])
+            at = np.stack([a + z[a:b].argmax(0) for a, b in zip(first, np.minimum(last, len(z)))])
             top = z[at, np.arange(FILTERS)] + net.b
             pool = np.maximum(top, 0)
             d = (1 / (1 + np.exp(-(pool @ net.v + net.c))) - y[rows]) * weight[rows] / len(rows)
@@ -157,7 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = FIT_BY
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; equal rows each give a row, further columns are ignored."""
+    """doc_id, held_out, score, predicted of every document.
+
+    A null text is scored as an empty one, texts of any length in pieces of
+    bounded size; equal rows each give a row with the same score, a null id
+    falls in the fold of an empty text, further columns are ignored.  Without
+    labels, or with labels of one kind, all scores are equal.
+    """
     scored = score_only(docs, fit(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

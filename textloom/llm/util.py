@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,23 +207,49 @@ def slices(column: pa.Array, most: int = 2_000_000):
         i = j
 
 
-_POWERS = np.ones(1, np.uint64)
+#: Bytes of a word after which its powers start anew, and bytes of text that are hashed at once.
+PERIOD, PIECE = 1 << 16, 4 << 20
 
 
 def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS)), _BASE, np.uint64)
-        grown[0] = 1
-        _POWERS = np.cumprod(grown, dtype=np.uint64)
-    return _POWERS
+    """Factors of the first ``n`` bytes of a word; ``n`` is at most PERIOD."""
+    return _POWERS[:n]
+
+
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PERIOD - 1, _BASE, np.uint64)]), dtype=np.uint64)
+
+
+def pieces(data: np.ndarray, space: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of pieces of at least ``most`` bytes that end where a byte of ``space`` begins the next."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + most)
+        while b < n:
+            found = np.flatnonzero(space[data[b : b + most]])
+            if len(found):
+                b += int(found[0])
+                break
+            b = min(n, b + most)
+        yield a, b
+        a = b
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, document, start, end) of each word ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; bytes, end exclusive.
 
     ``space`` and ``fold`` tell for each byte whether it parts words and what it counts as.
+    Long texts are hashed piece by piece, cut between words.
     """
+    if len(data) <= PIECE:
+        return _hashes(data, offsets, space, fold)
+    found = []
+    for a, b in pieces(data, space, PIECE):
+        h, doc, starts, ends = _hashes(data[a:b], np.clip(offsets - a, 0, b - a), space, fold)
+        found.append((h, doc, starts + a, ends + a))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(data):
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
@@ -242,7 +269,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     at = np.arange(starts[0], len(data), dtype=np.int32)
     at -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(data))))
     rest = data[starts[0] :]
-    values = (fold[rest].astype(np.uint64) + np.uint64(1)) * powers(int((ends - starts).max()) + 1)[np.minimum(at, int((ends - starts).max()))]
+    # a word beyond the period goes on with the same powers of another value, which no short word has
+    longest = int((ends - starts).max())
+    values = fold[rest].astype(np.uint64) + np.uint64(1)
+    if longest > PERIOD:
+        values += (at >> 16).astype(np.uint64) << np.uint64(9)
+        at &= PERIOD - 1
+    else:
+        np.minimum(at, longest - 1, out=at)
+    values *= _POWERS[at]
     values[~ink[starts[0] :]] = 0
     h = np.add.reduceat(values, starts - starts[0])
     h = mix(h + (ends - starts).astype(np.uint64))
