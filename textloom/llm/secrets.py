@@ -10,10 +10,10 @@ DataFrame functions only.  Values never leave the scan, only their hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.util import staged
+from textloom.llm.util import spread_join, staged
 
 # What counts as a candidate.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,58 +22,50 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex")
 
-#: Distinct owners from which a value counts as a copied example.
-EXAMPLE_OWNERS = 3
+#: Distinct owners from which a value counts as a copied example; repositories from which one of two owners does.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
 #: Length and distinct characters from which a value looks live.
 LIVE_LENGTH, LIVE_DISTINCT = 12, 8
 #: Words of made-up values in documentation.
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your[_-]?|xxxx|\*\*\*\*|redacted"
 
 
-def _located(text: Column, found: Column, kind: int) -> Column:
-    """Spans (start, end in code points) of the matches ``found``, given in order.
+def _joined(spans: Column, names: Column) -> Column:
+    """Spans as text, equal ones once."""
+    told = F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(F.array_distinct(told), ",")
 
-    None of the patterns looks around itself, so that a match cannot start
-    before the first occurrence of its own text after the last match.
-    """
 
-    def step(s: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, s["pos"])
-        start = at - 1
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), m.alias("match"))
-        return F.struct((at + F.length(m)).alias("pos"), F.concat(s["out"], F.array(span)).alias("out"))
+MATCHES = "array<struct<gap:int,length:int,kept:boolean,before:int,value_hash:string,live:boolean>>"
 
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    return F.aggregate(found, F.struct(F.lit(1).alias("pos"), empty.alias("out")), step, lambda s: s["out"])
 
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """What a pattern finds, in order: characters since the match before, length, whether it is a candidate, characters
+    before its value, and the value's hash and look.  The text between matches gives their places in one pass."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern).alias("gap"))
 
-def _joined(spans: Column, names: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    def told(x: Column) -> Column:
+        value = F.regexp_extract(x["m"], pattern, 1) if kind == 0 else x["m"]
+        n = F.length(x["m"])
+        kept = F.length(value) >= LEAST_VALUE if kind == 0 else F.lit(True)
+        return F.struct(F.length(x["gap"]).alias("gap"), n.alias("length"), kept.alias("kept"), (n - F.length(value)).alias("before"), F.sha2(value, 256).alias("value_hash"), looks_live(value).alias("live"))
+
+    return F.transform(F.filter(found, lambda x: x["m"].isNotNull()), told)
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``candidates``: array of (start, kind, end, value, value_start), by start and kind.
+    """``df`` with ``matches``: for each of KINDS its matches (MATCHES) in order; null if there are none at all.
 
-    ``kind`` indexes KINDS.  Null and empty texts have none.  Assignments whose
-    value is shorter than six characters are dropped after matching, since a
-    dropped match still consumes its characters.
+    Null and empty texts have none.  Assignments whose value is shorter than six
+    characters are matches but no candidates, since they still consume their
+    characters.  What can't match is told by a plain search first.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    found = (
-        df.withColumn("__t", t)
-        .withColumn("__0", F.regexp_extract_all("__t", F.lit(ASSIGN), F.lit(0)))
-        .withColumn("__1", F.when(F.instr("__t", "AKIA") > 0, F.regexp_extract_all("__t", F.lit(ACCESS), F.lit(0))).otherwise(F.array().cast("array<string>")))
-        .withColumn("__2", F.regexp_extract_all("__t", F.lit(HEX), F.lit(0)))
-    )
-    spans = [F.when(F.size(f"__{k}") > 0, _located(F.col("__t"), F.col(f"__{k}"), k)).otherwise(empty) for k in range(3)]
-    value = lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["match"], ASSIGN, 1)).otherwise(s["match"])
-    valued = F.transform(
-        F.concat(*spans),
-        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), value(s).alias("value"), (s["end"] - F.length(value(s))).alias("value_start")),
-    )
-    kept = F.array_sort(F.filter(valued, lambda s: (s["kind"] != 0) | (F.length(s["value"]) >= LEAST_VALUE)))
-    return found.withColumn("candidates", kept).drop("__t", "__0", "__1", "__2")
+    patterns = (ASSIGN, ACCESS, HEX)
+    may = (t.rlike(ASSIGN), t.contains("AKIA"), t.rlike(HEX))
+    none = F.array().cast(MATCHES)
+    found = F.array(*(F.when(m, _matches(t, p, k)).otherwise(none) for k, (m, p) in enumerate(zip(may, patterns))))
+    return df.withColumn("matches", F.when(may[0] | may[1] | may[2], found))
 
 
 def looks_live(value: Column) -> Column:
@@ -84,14 +76,16 @@ def looks_live(value: Column) -> Column:
 def ownership(candidates: DataFrame) -> DataFrame:
     """value_hash → owners, repositories, uses, class, from rows (value_hash, live, owner, repository).
 
-    Class: ``example`` (EXAMPLE_OWNERS owners or more), ``live`` (one owner and
-    live-looking), ``review`` (the rest).  Counted in steps that each merge
+    Class: ``example`` (EXAMPLE_OWNERS owners or more, or two of them in
+    EXAMPLE_REPOSITORIES repositories or more), ``live`` (one owner, however many
+    of its repositories, and live-looking), ``review`` (the rest).  Counted in steps that each merge
     before they shuffle, so that a value in a third of all rows makes no hot task.
     """
     by_repo = candidates.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("uses"), F.max("live").alias("live"))
     by_owner = by_repo.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("uses").alias("uses"), F.max("live").alias("live"))
     by_value = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("uses").alias("uses"), F.max("live").alias("live"))
-    kind = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("review")
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") == 2) & (F.col("repositories") >= EXAMPLE_REPOSITORIES))
+    kind = F.when(copied, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("review")
     return by_value.withColumn("class", kind)
 
 
@@ -100,26 +94,30 @@ def owned_secrets(df: DataFrame, owner: Column, repository: Column, text: str =
 
     Every row of ``df`` comes back once, also equal rows, null texts and rows
     without candidates (empty array).  Null owners and repositories count as
-    one owner and one repository each.  Columns of ``df`` named ``secrets`` or
-    ``candidates`` are replaced.  Without ``keep_text`` the texts are left out
-    as soon as they are scanned.
+    one owner and one repository each.  Texts of any length are scanned whole.
+    Columns of ``df`` named ``secrets`` or ``matches`` are replaced.  Without
+    ``keep_text`` the texts are left out as soon as they are scanned.  Only rows
+    with matches take part in joins.
     """
-    few = df.drop("secrets", "candidates")
+    few = df.drop("secrets", "matches")
     found = scan(few.withColumns({"__owner": F.coalesce(owner.cast("string"), F.lit("")), "__repository": F.coalesce(repository.cast("string"), F.lit(""))}), text)
-    hashed = F.transform(
-        "candidates",
-        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value_start"].alias("value_start"), F.sha2(s["value"], 256).alias("value_hash"), looks_live(s["value"]).alias("live")),
-    )
     if not keep_text:
         found = found.drop(text)
-    rows = staged(found.withColumn("candidates", hashed).withColumn("__row", F.monotonically_increasing_id()), "secrets")
-    each = rows.where(F.size("candidates") > 0).select("__row", F.col("__owner").alias("owner"), F.col("__repository").alias("repository"), F.explode("candidates").alias("c"))
-    flat = each.select("__row", "owner", "repository", "c.*")
+    rows = staged(found.withColumn("__row", F.monotonically_increasing_id()), "secrets")
+    some = rows.where("matches is not null")
+    each = some.select("__row", F.col("__owner").alias("owner"), F.col("__repository").alias("repository"), F.posexplode("matches").alias("kind", "m"))
+    each = each.select("__row", "owner", "repository", "kind", F.posexplode("m").alias("place", "m")).select("__row", "owner", "repository", "kind", "place", "m.*")
+    end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("__row", "kind").orderBy("place"))
+    flat = each.withColumn("end", end.cast("int")).where("kept").withColumn("start", F.col("end") - F.col("length"))
+    flat = flat.select("__row", "owner", "repository", "kind", "start", "end", (F.col("start") + F.col("before")).alias("value_start"), "value_hash", "live")
     counts = ownership(flat.select("value_hash", "live", "owner", "repository")).select("value_hash", "owners", "repositories", "uses", "class")
-    told = flat.join(counts, "value_hash").select("__row", F.struct("start", "kind", "end", "value_start", "owners", "repositories", "uses", "class", "value_hash").alias("s"))
+    told = spread_join(flat, counts.withColumn("n", F.col("uses")), ["value_hash"], ["__row", "start"])
+    told = told.select("__row", F.struct("start", "kind", "end", "value_start", "owners", "repositories", "uses", "class", "value_hash").alias("s"))
     per_row = told.groupBy("__row").agg(F.array_sort(F.collect_list("s")).alias("secrets"))
     none = F.array().cast(per_row.schema["secrets"].dataType)
-    return rows.join(per_row, "__row", "left").withColumn("secrets", F.coalesce("secrets", none)).drop("__row", "__owner", "__repository", "candidates")
+    helpers = ("__row", "__owner", "__repository", "matches")
+    hit = some.join(per_row, "__row", "left").withColumn("secrets", F.coalesce("secrets", none)).drop(*helpers)
+    return hit.unionByName(rows.where("matches is null").withColumn("secrets", none).drop(*helpers))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -139,7 +137,7 @@ def digest(df: DataFrame) -> DataFrame:
             "n_access": count(1),
             "n_hex": count(2),
             "base_sha256": F.sha2(_joined(base, names), 256),
-            "spans": _joined(F.array_sort(F.array_distinct(F.concat(base, more))), names),
+            "spans": _joined(F.array_sort(F.concat(base, more)), names),
         }
     )
 

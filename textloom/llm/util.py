@@ -98,20 +98,20 @@ class Workspace:
 HOT_ROWS, HOT_KEYS = 5_000, 100_000
 
 
-def hot_keys(counted: DataFrame, keys: list[str], n: str, rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(counted: DataFrame, keys: list[str], n: str, rows: int) -> DataFrame:
     """Keys of ``counted`` (a row for each, with its number of rows ``n``) that are spread, and over how many copies."""
     top = counted.where(F.col(n) > rows).orderBy(F.desc(n), *keys).limit(HOT_KEYS)
     return top.select(*keys, F.ceil(F.col(n) / rows).cast("int").alias("__copies"))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], counted: DataFrame | None = None, n: str = "n", how: str = "inner", most: int = HOT_ROWS) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], counted: DataFrame | None = None, n: str = "n", how: str = "inner", most: int | None = None) -> DataFrame:
     """``rows`` joined with ``facts`` on ``keys``, where a key may hold any share of ``rows``.
 
     ``counted`` (``facts`` itself, if it has the column ``n``) tells how many
     rows each key has.  Rows of a hot key are dealt to salts by the columns
     ``by``; its facts are copied to each salt.
     """
-    few = F.broadcast(hot_keys(facts if counted is None else counted, keys, n, most))  # HOT_KEYS bounds it
+    few = F.broadcast(hot_keys(facts if counted is None else counted, keys, n, most or HOT_ROWS))  # HOT_KEYS bounds it
     salt = F.when(F.col("__copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__copies"))).cast("int")
     left = rows.join(few, keys, "left").withColumn("__salt", salt).drop("__copies")
     right = facts.join(few, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__copies"), F.lit(1)) - 1))).drop("__copies")
