@@ -18,7 +18,7 @@ from conftest import MEDIUM, SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import decontaminate, html_extract, packing, secrets, sharding, warc
+from textloom.llm import decontaminate, html_extract, packing, secrets, sharding, util, warc
 from textloom.llm.queries import PATTERN, QUERIES, RANKS
 from textloom.llm.util import scratch
 
@@ -49,6 +49,23 @@ def test_warc_round_trip(spark):
     assert listed(manifest) == listed(again) and len(listed(manifest)) > 3
 
 
+def test_ranges_with_an_outlier_are_cut_again(spark):
+    """One far page does not put all others in one shard; shards are in the order of the pages."""
+    ids = [*range(1, 3001), 1 << 62, -(1 << 62), None]
+    keys = spark.createDataFrame([(warc.NONE if i is None else i, hashlib.sha1(str(i).encode()).hexdigest(), 99) for i in ids], "page bigint, sha1 string, size bigint")
+    shard, n = warc._shards(keys, 10_000)
+    got = keys.select("page", shard.alias("s")).collect()
+    each = Counter(r["s"] for r in got)
+    assert max(each) < n and max(each.values()) <= 101 and len(each) >= 30
+    ordered = [r["s"] for r in sorted(got) if r["page"] != warc.NONE]
+    assert ordered == sorted(ordered)
+
+
+def test_urls_are_percent_encoded(spark):
+    df = spark.createDataFrame([(1, "http://x.org/é b\r\n?q=%20&a=[1]", "h")], "page_id bigint, url string, html string")
+    assert warc.round_trip(df).first()["url"] == "http://x.org/%C3%A9%20b%0D%0A?q=%20&a=[1]"
+
+
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.round_trip(df).collect() == []
@@ -231,6 +248,19 @@ def test_ownership_classes(spark):
     assert found[3]["secrets"][0]["class"] == "example" and found[3]["secrets"][0]["owners"] == 5 and found[3]["text"] == copied
     assert found[9]["secrets"][0]["class"] == "review" and found[10]["text"] == "plain" and found[10]["secrets"] == []
     assert secrets.owned_secrets(spark.createDataFrame([], "text string"), F.lit(1), F.lit(1)).collect() == []
+    rows = [(o, f"{o}/{k}", live) for o in ("p", "q") for k in range(3)] + [("r", "r/0", copied), ("s", "s/0", copied)]
+    found = secrets.owned_secrets(spark.createDataFrame(rows, "o string, r string, text string"), F.col("o"), F.col("r")).collect()
+    assert {(r["text"], r["secrets"][0]["class"], r["secrets"][0]["repositories"]) for r in found} == {(live, "example", 6), (copied, "review", 2)}
+
+
+def test_many_matches_in_one_text_and_one_value_in_many_texts(spark, monkeypatch):
+    """Places come in one pass; a value that most rows have is dealt to salts."""
+    monkeypatch.setattr(util, "HOT_ROWS", 3)
+    long = "".join(f"é token=secretvalue{i:07d} " for i in range(20_000))
+    df = spark.createDataFrame([(0, long)] + [(i, "x password=samesame1234") for i in range(1, 40)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.owned_secrets(df, F.lit("o"), F.lit("r"))).collect()}
+    assert len(got) == 40 and all(r["n_assign"] == 1 and r["secrets"][0]["uses"] == 39 for i, r in got.items() if i)
+    assert got[0]["base_sha256"] == hashlib.sha256(as_text(brute_base(long)).encode()).hexdigest()
 
 
 # --------------------------------------------------------------------- packing

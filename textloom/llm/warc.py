@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are dealt to shards by ranges of their key that hold about equal
-bytes, found from exact byte counts and so the same in every run.  A shard is
+bytes, found from exact byte counts and so the same in every run: ranges of equal
+width first, those that hold too much cut again and again.  A shard is
 written in key order by one task, which rolls to a new file once the
 compressed size passes a limit, regenerates all headers and digests, and gives
 a file its final name only when it is complete.  The files of a run are listed
@@ -15,21 +16,25 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.util import scratch, staged
+from textloom.llm.util import scratch, spread_join, staged
 
 #: A shard holds a 256th of all payload bytes, within these bounds: the data alone decide.
 SHARDS, LEAST_BYTES, MOST_BYTES = 256, 4 << 20, 1 << 30
 #: Compressed bytes after which a file is closed.
 FILE_BYTES = 256 << 20
 LEVEL = 1
-#: Cells of the key's histogram, at most; the driver holds a row for each.
-CELLS = 1_000
+#: Cells that a range of the key is cut into, and ranges that are cut again on each level; the driver holds a row for
+#: each cell.
+CELLS, CUT_AGAIN = 1_000, 16
+#: Characters of a URI that stay as they are; all others are percent-encoded.
+SAFE = "%!#$&'()*+,/:;=?@[]~-._"
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "name string, shard bigint, sequence bigint, records bigint, bytes bigint, sha1 string"
 NONE = -(1 << 63)
@@ -57,7 +62,7 @@ def render(page: int | None, url: str | None, payload: bytes, digest: str, keep:
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(page, digest, n)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {(url or '').encode('ascii', 'backslashreplace').decode().replace(chr(13), '%0D').replace(chr(10), '%0A')}",
+        f"WARC-Target-URI: {quote(url or '', safe=SAFE)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
     ]
@@ -107,7 +112,8 @@ def _page(c: Column) -> Column:
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, file_bytes: int = FILE_BYTES) -> str:
     """Write (page_id, url, html) as WARC below ``folder``; the manifest's path.
 
-    A null html is an empty payload, a null url an empty target, a null page_id
+    A url is written as a URI: what isn't allowed in one, blanks and letters
+    beyond ASCII among it, is percent-encoded.  A null html is an empty payload, a null url an empty target, a null page_id
     comes before all others and is left out of the headers.  Of records with
     equal payloads the one with the largest page_id is the response; among
     equal (page_id, payload) rows the first by url is, and the others revisit
@@ -118,11 +124,11 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, fi
     keys = staged(rows.select("page", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.octet_length("html").cast("long").alias("size")), "warc-keys")
     total = keys.agg(F.sum(F.col("size") + 1).alias("b")).first()["b"] or 0
     shard_bytes = shard_bytes or min(MOST_BYTES, max(LEAST_BYTES, total // SHARDS))
-    shard = _shards(keys, shard_bytes)
+    shard, shards = _shards(keys, shard_bytes)
 
     # a digest's largest page is merged before it is shuffled; only rows that revisit another page go on
-    largest = keys.groupBy("sha1").agg(F.max("page").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = keys.join(largest, "sha1").where("page < keep").select("page", "sha1", "keep").distinct()
+    largest = keys.groupBy("sha1").agg(F.max("page").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    told = spread_join(keys.select("page", "sha1"), largest, ["sha1"], ["page"]).where("page < keep").select("page", "sha1", "keep").distinct()
 
     # each such row travels just before the pages it is about
     stream = rows.select("page", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.lit(1).alias("kind"), "url", F.encode("html", "UTF-8").alias("html"), F.lit(None).cast("long").alias("keep"))
@@ -156,7 +162,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, fi
 
     target, base = _open(folder)
     target.create_dir(f"{base}/_tmp", recursive=True)
-    ordered = dealt.repartition(int(total // shard_bytes + 1), "shard").sortWithinPartitions("shard", "page", "sha1", "kind", F.col("url").asc_nulls_first())
+    # a shard's number is its task's
+    ordered = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "page", "sha1", "kind", F.col("url").asc_nulls_first())
     manifest = f"{folder}/manifest-{uuid.uuid4().hex}"
     ordered.mapInArrow(work, MANIFEST).write.parquet(manifest)
     target.delete_dir(f"{base}/_tmp")
@@ -166,32 +173,72 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, fi
     return manifest
 
 
-def _shards(keys: DataFrame, shard_bytes: int) -> Column:
-    """Shard of a row by its page and payload hash, from exact bytes in equal ranges of the pages.
+def _shards(keys: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """Shard of a row by its page and payload hash, from exact bytes in ranges of the pages, and how many there are.
 
-    The driver sees one row for each range, CELLS at most.  A range that alone
-    holds more than a shard is split by the payload's hash.
+    The pages' range is cut into CELLS of equal width; the CUT_AGAIN heaviest
+    that alone hold more than a shard are cut again, until a cell is one page.
+    The driver sees a row for each cell.  What still holds more than a shard is
+    split by the payload's hash.
     """
     low, high = keys.where(F.col("page") != NONE).agg(F.min("page"), F.max("page")).first()
     if low is None:
         low = high = 0
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.when(F.col("page") == NONE, -1).otherwise(F.expr(f"(page - ({low})) div {width}")).cast("long")
-    held = {r["cell"]: r["b"] for r in keys.groupBy(cell.alias("cell")).agg(F.sum(F.col("size") + 1).alias("b")).collect()}
-    first, split, n, filled = [], [], 0, 0
-    for c in range(-1, (high - low) // width + 1):
-        b = held.get(c, 0)
-        if filled and filled + b > shard_bytes:
+    page = F.col("page")
+    if high - low >= 1 << 63:
+        page, low, high = F.shiftright(page, 1), low >> 1, high >> 1
+    listed = lambda xs: F.from_json(F.lit(f"[{','.join(map(str, xs))}]"), "array<bigint>")
+    # block and offset of a row on each level; what has no page is a block of its own
+    levels, width, blocks = [], high - low + 1, 1
+    block = F.when(F.col("page") != NONE, F.lit(0)).cast("long")
+    offset = F.when(F.col("page") != NONE, page - F.lit(low)).cast("long")
+    weight = [F.sum(F.col("size") + 1).alias("b"), F.count("*").alias("n")]
+    none = tuple(keys.where(F.col("page") == NONE).agg(*weight).first())
+    while blocks:
+        width = -(-width // CELLS)
+        cell = (block * CELLS + F.call_function("div", offset, F.lit(width))).cast("int")
+        held = {r["cell"]: (r["b"], r["n"]) for r in keys.groupBy(cell.alias("cell")).agg(*weight).collect() if r["cell"] is not None}
+        heavy = sorted((c for c, (b, rows) in held.items() if b > shard_bytes and rows > 1), key=lambda c: (-held[c][0], c))[:CUT_AGAIN] if width > 1 else []
+        again = {c: i for i, c in enumerate(sorted(heavy))}
+        levels.append((held, again, blocks, cell))
+        at = listed(again.get(c, "null") for c in range(blocks * CELLS))
+        block, offset, blocks = F.get(at, cell), offset % F.lit(width), len(again)
+
+    n, filled = 0, 0
+    first = [[0] * (blocks * CELLS) for _, _, blocks, _ in levels]
+    split = [[1] * (blocks * CELLS) for _, _, blocks, _ in levels]
+
+    def deal(b: int | None, rows: int) -> tuple[int, int]:
+        """First shard and number of shards, no more than rows, of the next ``b`` bytes in order."""
+        nonlocal n, filled
+        parts = max(1, min(rows, -(-(b or 0) // shard_bytes)))
+        if filled and (parts > 1 or filled + b > shard_bytes):
             n, filled = n + 1, 0
-        parts = max(1, -(-b // shard_bytes))
-        first.append(n)
-        split.append(parts)
+        at = n
         if parts > 1:
             n, filled = n + parts, 0
         else:
-            filled += b
-    at = lambda xs: F.element_at(F.lit(xs), (cell + 2).cast("int"))
-    return (at(first) + F.pmod(F.crc32("sha1"), at(split))).cast("long")
+            filled += b or 0
+        return at, parts
+
+    nameless = deal(*none)
+
+    def walk(level: int, block: int) -> None:
+        held, again, _, _ = levels[level]
+        for c in range(block * CELLS, (block + 1) * CELLS):
+            if c in again:
+                walk(level + 1, again[c])
+            elif c in held:
+                first[level][c], split[level][c] = deal(*held[c])
+
+    walk(0, 0)
+    shard = F.lit(0)
+    for (_, again, _, cell), at, parts in reversed(list(zip(levels, first, split))):
+        # a cell that was cut again has no shard of its own
+        own = F.get(listed("null" if c in again else x for c, x in enumerate(at)), cell) + F.pmod(F.crc32("sha1"), F.get(listed(parts), cell))
+        shard = F.coalesce(own, shard)
+    shard = F.when(F.col("page") == NONE, nameless[0] + F.pmod(F.crc32("sha1"), F.lit(nameless[1]))).otherwise(shard)
+    return shard.cast("long"), n + 1
 
 
 def read_warc(spark: SparkSession, manifest: str, payloads: bool = False) -> DataFrame:
