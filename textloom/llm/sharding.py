@@ -72,16 +72,15 @@ def number_rows(df: DataFrame, key: str, column: str = "row_number") -> tuple[Da
     """``df`` with a global row number 0 .. N-1 that depends on its rows alone, and N.
 
     ``key`` is a whole number (null counts as -1).  Rows are dealt to cells by
-    a hash of the key, cells follow one another, and a cell is ordered by key
-    and then by the other columns.  Equal rows are merged with a count before
+    a hash of all columns, so that one key, or null, makes no hot cell; cells
+    follow one another, and a cell is ordered by key and then by the others.  Equal rows are merged with a count before
     they are dealt, so that repeats make no hot cell; they get neighbouring
     numbers.  Pass the few columns that matter, not the texts.
     """
     cols = df.columns
     total = df.count()
     cells = max(1, min(MAX_CELLS, total // CELL_ROWS))
-    spread = (F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(-1)), F.lit(PRIME)) * F.lit(69621) + F.lit(12345)) % F.lit(PRIME)
-    groups = df.groupBy(*cols).agg(F.count("*").alias("__n")).withColumn("__cell", spread % F.lit(cells))
+    groups = df.groupBy(*cols).agg(F.count("*").alias("__n")).withColumn("__cell", F.pmod(F.xxhash64(*cols), F.lit(cells)))
     # a row for each cell: MAX_CELLS bounds what is held here
     sizes = groups.groupBy("__cell").agg(F.sum("__n").alias("__rows"))
     before = F.sum("__rows").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
