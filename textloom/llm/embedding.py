@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.util import components, staged
+from textloom.llm.util import Workspace, components, spread_join, staged
 
 #: Vectors of a cell, pivots in all (bounds what is broadcast), vectors of a block.
 CELL, MOST_PIVOTS, BLOCK = 2000, 4096, 2048
+#: Vectors of a cell where there are few, up to 64 pivots in all.
+LEAST_CELL = 32
 SLACK = 1e-9
 
 
@@ -121,31 +123,34 @@ def near_duplicates(df: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
-    # the key of a class: label, and two hashes of the vector
-    keyed = rows.where("sound").select("id", "v", F.xxhash64("label", F.size("v")).alias("part"), F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
-    classes = staged(keyed.groupBy("part", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "embedding-classes")
-
-    total = classes.count()
-    share = min(MOST_PIVOTS, total // CELL) / max(1, total)
-    # about share * m pivots for a part of m classes, chosen by hash
-    few = F.pmod(F.xxhash64("part", "h1", "h2"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
-    chosen: dict[int, list] = {}
-    for r in classes.where(few).select("part", "v").limit(2 * MOST_PIVOTS).collect():
-        chosen.setdefault(r["part"], []).append(r["v"])
-    pivots = spark.sparkContext.broadcast({p: unit(np.array(sorted(v), np.float64)) for p, v in chosen.items() if len(v) > 1})
-
-    dealt = staged(classes.select("rep", "n", "part", "v").mapInArrow(deal(pivots, least), "part bigint, cell int, home boolean, rep bigint, n bigint, vector binary"), "embedding-cells")
-    blocks = dealt.groupBy("part", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).alias("homes"), F.ceil(F.count("*") / BLOCK).alias("alls"))
-    placed = dealt.join(blocks, ["part", "cell"]).withColumns({"bi": F.pmod(F.xxhash64("rep"), "homes"), "bj": F.pmod(F.xxhash64("rep"), "alls")})
-    as_home = placed.where("home").select("part", "cell", "bi", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("bj"), F.lit(0).alias("side"), "rep", "n", "vector")
-    as_any = placed.where("homes > 0").select("part", "cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("bi"), "bj", F.lit(1).alias("side"), "rep", "n", "vector")
-    links = as_home.unionByName(as_any).groupBy("part", "cell", "bi", "bj").applyInPandas(join_block(least), "rep bigint, links bigint, other bigint")
-    links = staged(links, "embedding-links")
-
-    linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    whole = components(links, "rep", "other").withColumnRenamed("node", "rep")
-    told = classes.select("part", "h1", "h2", "rep", "n").join(linked, "rep", "left").join(whole, "rep", "left")
-    told = told.select("part", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = keyed.drop("v").join(told, ["part", "h1", "h2"]).select("id", "n_links", "component_id")
-    rest = rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.unionAll(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    with Workspace(spark, "embedding") as space:
+        # the key of a class: label, and two hashes of the vector
+        keyed = rows.where("sound").select("id", "v", F.xxhash64("label", F.size("v")).alias("part"), F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
+        classes = space.staged(keyed.groupBy("part", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "embedding-classes")
+
+        total = classes.count()
+        share = min(MOST_PIVOTS, max(total // CELL, min(total // LEAST_CELL, 64))) / max(1, total)
+        # about share * m pivots for a part of m classes, chosen by hash
+        few = F.pmod(F.xxhash64("part", "h1", "h2"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+        chosen: dict[int, list] = {}
+        for r in classes.where(few).select("part", "v").limit(2 * MOST_PIVOTS).collect():
+            chosen.setdefault(r["part"], []).append(r["v"])
+        pivots = spark.sparkContext.broadcast({p: unit(np.array(sorted(v), np.float64)) for p, v in chosen.items() if len(v) > 1})
+
+        dealt = space.staged(classes.select("rep", "n", "part", "v").mapInArrow(deal(pivots, least), "part bigint, cell int, home boolean, rep bigint, n bigint, vector binary"), "embedding-cells")
+        blocks = dealt.groupBy("part", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).alias("homes"), F.ceil(F.count("*") / BLOCK).alias("alls"))
+        placed = dealt.join(blocks, ["part", "cell"]).withColumns({"bi": F.pmod(F.xxhash64("rep"), "homes"), "bj": F.pmod(F.xxhash64("rep"), "alls")})
+        as_home = placed.where("home").select("part", "cell", "bi", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("bj"), F.lit(0).alias("side"), "rep", "n", "vector")
+        as_any = placed.where("homes > 0").select("part", "cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("bi"), "bj", F.lit(1).alias("side"), "rep", "n", "vector")
+        links = as_home.unionByName(as_any).groupBy("part", "cell", "bi", "bj").applyInPandas(join_block(least), "rep bigint, links bigint, other bigint")
+        links = space.staged(links, "embedding-links")
+
+        linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
+        whole = components(links, "rep", "other", space).withColumnRenamed("node", "rep")
+        told = classes.select("part", "h1", "h2", "rep", "n").join(linked, "rep", "left").join(whole, "rep", "left")
+        told = told.select("part", "h1", "h2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        told = space.staged(told, "embedding-told")
+        good = spread_join(keyed.drop("v"), told, ["part", "h1", "h2"], ["id"]).select("id", "n_links", "component_id")
+        rest = rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        result = staged(good.unionAll(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")), "embedding-result")
+    return result
