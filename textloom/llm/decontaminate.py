@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.util import mix, slices, staged, word_hashes
+from textloom.llm.util import Workspace, mix, slices, spread_join, staged, word_hashes
 
 #: Places of a run of words that count (1) or are free (0).  Every
 #: stretch that is accepted below has a hit of one of them, whatever its
@@ -152,19 +152,37 @@ def best_stretch(match: np.ndarray) -> tuple[int, int, int]:
     return int(match[start:end].sum()), start, end
 
 
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a document that each of its lines (item, shift, n) lays an item over: (row, doc, item, shift, from, words)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row, doc = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            words = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+            lines = batch.column(3)[i].values
+            item, shift, n = (lines.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+            low, high = np.maximum(shift, 0), np.minimum(shift + n, len(words))
+            for a in range(0, len(item), 10_000):
+                part = slice(a, a + 10_000)
+                cut = [words[x:y].tobytes() for x, y in zip(low[part].tolist(), high[part].tolist())]
+                k = len(cut)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * k, pa.int64()), pa.array([doc] * k, pa.int64()), pa.array(item[part]), pa.array(shift[part]), pa.array(low[part]), pa.array(cut, pa.binary())], names=["row", "doc", "item", "shift", "low", "words"])
+
+
+STRETCHES = "row bigint, doc bigint, item bigint, shift bigint, low bigint, words binary"
+
+
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified rows of (row, doc, item, shift, words, item_words)."""
+    """Verified rows of (row, doc, item, shift, low, words, item_words)."""
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
-            d, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
-            shift = batch.column(3)[i].as_py()
-            lo, hi = max(0, -shift), min(len(b), len(d) - shift)
-            if hi <= lo:
+            d, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (5, 6))
+            shift, low = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
+            if not len(d):
                 continue
-            n, start, end = best_stretch(d[lo + shift : hi + shift] == b[lo:hi])
+            n, start, end = best_stretch(d == b[low - shift : low - shift + len(d)])
             if n >= min(LEAST_WORDS, -(-4 * len(b) // 5)):
-                out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), n, len(b), start + lo + shift, end + lo + shift))
+                out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), n, len(b), start + low, end + low))
         c = list(zip(*out)) if out else [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["row", "doc", "item", "matched", "item_words", "start", "end"])
 
@@ -178,33 +196,36 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     given back, further columns are ignored.
     """
     spark = docs.sparkSession
-    bench = staged(items.select(items[item_col].cast("long").alias("item"), F.lower(items[item_text].cast("string")).alias("t")).mapInArrow(seeds_of_items, ITEMS).where("n > 0"), "items")
-    flat = bench.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item", F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_at"))
-    n = flat.count()
-    bits = max(FILTER_BITS[0], min(FILTER_BITS[1], 1 << (16 * max(1, n)).bit_length()))
-    bloom = spark.sparkContext.broadcast(_filter(flat, bits))
-    lengths = [r["n"] for r in bench.where(F.col("n") <= max(SHORT)).select("n").distinct().orderBy("n").collect()]
-
-    found = docs.select(docs[id_col].cast("long").alias("doc"), F.lower(docs[text_col].cast("string")).alias("t")).mapInArrow(suspects(bloom, lengths), "doc bigint, words binary, seeds array<bigint>, places array<int>")
-    rows = staged(found.withColumn("row", F.monotonically_increasing_id()), "suspects")
-    hits = rows.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
-    lines = hits.join(flat, "seed").select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    both = lines.join(rows.select("row", "doc", "words"), "row").join(bench.select("item", "item_words"), "item")
-    told = both.select("row", "doc", "item", "shift", "words", "item_words").mapInArrow(overlaps, "row bigint, doc bigint, item bigint, matched bigint, item_words bigint, start bigint, end bigint")
-    best = told.groupBy("row", "item").agg(F.max_by(F.struct("doc", "matched", "item_words", "start", "end"), F.struct("matched", (-F.col("start")).alias("s"))).alias("b"))
-    return best.select(F.col("b.doc").alias(id_col), F.col("item").alias(item_col), "b.matched", "b.item_words", "b.start", "b.end")
+    with Workspace(spark, "decontaminate") as space:
+        bench = space.staged(items.select(items[item_col].cast("long").alias("item"), F.lower(items[item_text].cast("string")).alias("t")).mapInArrow(seeds_of_items, ITEMS).where("n > 0"), "items")
+        flat = bench.select("item", "n", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item", F.col("n").alias("words_n"), F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_at"))
+        n = flat.count()
+        bits = max(FILTER_BITS[0], min(FILTER_BITS[1], 1 << (16 * max(1, n)).bit_length()))
+        bloom = spark.sparkContext.broadcast(_filter(flat, bits))
+        lengths = [r["n"] for r in bench.where(F.col("n") <= max(SHORT)).select("n").distinct().orderBy("n").collect()]
+
+        found = docs.select(docs[id_col].cast("long").alias("doc"), F.lower(docs[text_col].cast("string")).alias("t")).mapInArrow(suspects(bloom, lengths), "doc bigint, words binary, seeds array<bigint>, places array<int>")
+        rows = space.staged(found.withColumn("row", F.monotonically_increasing_id()), "suspects")
+        hits = rows.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+        # a seed that very many documents or items have is dealt to salts, as is such an item; a document is read once
+        lines = spread_join(hits, flat, ["seed"], ["row", "at"], hits.groupBy("seed").agg(F.count("*").alias("n")))
+        lines = space.staged(lines.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift"), "words_n").distinct(), "lines")
+        per_row = lines.groupBy("row").agg(F.collect_list(F.struct("item", "shift", "words_n")).alias("lines"))
+        cut = rows.select("row", "doc", "words").join(per_row, "row").select("row", "doc", "words", "lines").mapInArrow(stretches, STRETCHES)
+        both = spread_join(cut, bench.select("item", "item_words"), ["item"], ["row", "shift"], lines.groupBy("item").agg(F.count("*").alias("n")))
+        told = both.select("row", "doc", "item", "shift", "low", "words", "item_words").mapInArrow(overlaps, "row bigint, doc bigint, item bigint, matched bigint, item_words bigint, start bigint, end bigint")
+        best = told.groupBy("row", "item").agg(F.max_by(F.struct("doc", "matched", "item_words", "start", "end"), F.struct("matched", (-F.col("start")).alias("s"))).alias("b"))
+        result = staged(best.select(F.col("b.doc").alias(id_col), F.col("item").alias(item_col), "b.matched", "b.item_words", "b.start", "b.end"), "overlaps")
+    return result
 
 
 def _filter(flat: DataFrame, bits: int) -> Bloom:
-    """The filter of all seeds: tasks fill their own, the driver joins them (a fixed size each)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bloom(np.zeros(0, np.uint64), bits)
-        for b in batches:
-            own.data |= Bloom(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits).data
-        yield pa.RecordBatch.from_arrays([pa.array([own.data.tobytes()], pa.binary())], names=["bits"])
-
+    """The filter of all seeds: each of its 64-bit words is put together by a grouping; the driver gets at most
+    FILTER_BITS in all."""
+    place = [F.shiftrightunsigned("seed", 17 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]
+    each = flat.select("seed").distinct().select(F.explode(F.array(*place)).alias("p"))
+    words = each.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
     whole = Bloom(np.zeros(0, np.uint64), bits)
-    for r in flat.select("seed").coalesce(4).mapInArrow(work, "bits binary").toLocalIterator():
-        whole.data |= np.frombuffer(r["bits"], np.uint8)
+    told = words.toArrow()
+    whole.data.view(np.uint64)[told.column(0).to_numpy()] = told.column(1).to_numpy().view(np.uint64)
     return whole
