@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, jaccard, packing, quality, secrets
 from textloom.llm.queries import PATTERN, RANKS, table
-from textloom.llm.util import scratch, staged
+from textloom.llm.util import discard, scope, scratch, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the classifier's threshold.
+    """Documents whose score reaches the classifier's threshold: null texts count as empty ones, equal rows fare alike,
+    ids play no part.
 
     The network is fitted on the labelled documents of the raw table, which
     are the ones that labels are about.
@@ -49,21 +50,24 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark, told row by row."""
+    """Documents without a passage of the benchmark, told row by row: another row of the same id, or of none, stays."""
     rows = numbered(docs, "rows-leaks")
     found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), "row").select("row").distinct()
     return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; values of secrets are replaced, except copied examples. n_chars follows the text."""
+    """All documents, equal rows and null texts too; values of secrets are replaced, except copied examples.
+
+    ``n_chars`` follows the text where it changes.
+    """
     found = secrets.redact(secrets.owned_secrets(docs.select(*COLUMNS), F.col("source"), F.concat_ws("/", "source", "lang")))
     changed = F.exists("secrets", lambda s: s["class"] != "example")
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens; a null text is empty, equal rows are packed each."""
     return packing.pack_documents(docs, RANKS, PATTERN)
 
 
@@ -80,10 +84,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; what a stage needed is deleted once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +57,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage in a way that outlives executors, so that a later action
     reads rows instead of repeating the work (or repeating it differently).
-    The table stays for as long as its rows may be asked for.
+    The table stays for as long as its rows may be asked for: until the scope
+    that it was made in ends, or with the application's folder.
     """
-    return _stage(df, scratch(df.sparkSession, name))
+    path = scratch(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return _stage(df, path)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that was staged in it; results must have been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            discard(spark, path)
 
 
 def _stage(df: DataFrame, path: str) -> DataFrame:
