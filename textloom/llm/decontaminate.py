@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.util import Workspace, mix, slices, spread_join, staged, word_hashes
+from textloom.llm.util import Workspace, mix, slices, small_batches, spread_join, staged, word_hashes
 
 #: Places of a run of words that count (1) or are free (0).  Every
 #: stretch that is accepted below has a hit of one of them, whatever its
@@ -196,6 +196,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     given back, further columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with Workspace(spark, "decontaminate") as space:
         bench = space.staged(items.select(items[item_col].cast("long").alias("item"), F.lower(items[item_text].cast("string")).alias("t")).mapInArrow(seeds_of_items, ITEMS).where("n > 0"), "items")
         flat = bench.select("item", "n", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item", F.col("n").alias("words_n"), F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_at"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.util import small_batches
+
 #: Labelled pages that weights are counted over, about.
 SAMPLE = 2000
 #: Elements and names of parts that aren't the article.
@@ -279,6 +281,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html", w: dict |
     long pages are read whole.  Of the columns only ``keep`` and ``html_col``
     are read; ones called text or n_chars give way.
     """
+    small_batches(pages.sparkSession)
     w = w or fit(pages, html_col)
     kept = [c for c in keep if c not in ("text", "n_chars")]
     source = pages.select(*kept, F.col(html_col).cast("string").alias("__html"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.util import Workspace, components, mix, slices, spread_join, staged, word_hashes
+from textloom.llm.util import Workspace, components, mix, slices, small_batches, spread_join, staged, word_hashes
 
 WORDS = 5
 #: Similarity from which documents link, in hundredths.
@@ -393,6 +393,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are read whole.  Further columns are ignored; an empty table gives an empty
     one.
     """
+    small_batches(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].cast("string").alias("text"))
     here = docs.where("doc is not null")
     with Workspace(df.sparkSession, "jaccard") as space:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.labelled import ROWS, fold, sample
-from textloom.llm.util import slices
+from textloom.llm.util import slices, small_batches
 
 HALF, WIDTH, FILTERS = 8, 4, 24
 #: Periods, in bytes, at which a chunk may repeat what is before it; halves between two texts.
@@ -157,6 +157,7 @@ def score_texts(df: DataFrame, model, text_col: str = "text", column: str = "sco
 
     ``model`` has ``scores(bytes, offsets)`` and is broadcast; its size is fixed.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop(column)
     names, at = df.columns, df.columns.index(text_col)
@@ -190,6 +191,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def score_only(docs: DataFrame, model) -> DataFrame:
     """doc_id and score; texts stay in the workers."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

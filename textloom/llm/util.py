@@ -108,6 +108,18 @@ class Workspace:
         return _stage(df, self.fresh(name))
 
 
+#: Rows of an Arrow batch between executor and Python worker, where rows hold whole texts or sets.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows for each Arrow batch to BATCH_ROWS, unless it has a value of its own: ten thousand texts,
+    the default, take hundreds of megabytes in each worker where some are very long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 # --------------------------------------------------------------------------
 # Joins on hot keys
 # --------------------------------------------------------------------------
