@@ -190,32 +190,56 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PROFILE_DDL = "doc bigint, n int, k int, tokens binary, prefix array<bigint>"
 
 
-def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document that may link: the matches ``k`` it asks for, its shared tokens in the global order
-    and its prefix.
+def chosen_prefix(n: int, tokens: np.ndarray, often: np.ndarray) -> tuple[int, np.ndarray] | None:
+    """The matches ``k`` that a set of ``n`` tokens asks for and its prefix, from its shared tokens in the global order.
 
     With ``free`` shared tokens more than the overlap needs, the prefix for ``k``
     matches is the first ``free + k`` of them; tokens of its own would come before
-    and match nothing.  Rows in: doc, n, list of (frequency, token).
+    and match nothing.  None if too few are shared for any link.
     """
-    for batch in batches:
-        out: list[tuple] = []
-        for i in range(batch.num_rows):
-            doc, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            pairs = batch.column(2)[i].values
-            often, tokens = (pairs.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            need = overlap(n)
-            if len(tokens) < need:
-                continue
-            order = np.lexsort((tokens, often))
-            tokens, often = tokens[order], often[order]
-            steps = np.cumsum(often - 1)
-            free = len(tokens) - need
-            k = min((steps[free + k - 1] * (1 + VERIFY / k**2), k) for k in LEVELS if k <= need)[1]
-            out.append((doc, n, k, tokens.tobytes(), tokens[: free + k]))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    need = overlap(n)
+    if len(tokens) < need:
+        return None
+    steps = np.cumsum(often - 1)
+    free = len(tokens) - need
+    k = min((steps[free + k - 1] * (1 + VERIFY / k**2), k) for k in LEVELS if k <= need)[1]
+    return k, tokens[: free + k]
+
+
+def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document that may link, from rows (doc, s1, n, frequency, token) that come set by set and in the
+    global order: its size, matches to ask for, shared tokens and prefix."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    out: list[tuple] = []
+
+    def put(c: list[np.ndarray]) -> None:
+        found = chosen_prefix(int(c[2][0]), c[4], c[3])
+        if found:
+            out.append((int(c[0][0]), int(c[2][0]), found[0], c[4].tobytes(), found[1]))
+
+    def flush() -> pa.RecordBatch:
         c = list(zip(*out)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["doc", "n", "k", "tokens", "prefix"])
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["doc", "n", "k", "tokens", "prefix"])
+
+    held: list[list[np.ndarray]] = []  # parts of the set that the last batch ended in
+    for batch in batches:
+        c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if not len(c[0]):
+            continue
+        cuts = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])) + 1
+        edges = [0, *cuts.tolist(), len(c[0])]
+        for a, b in zip(edges, edges[1:]):
+            part = [x[a:b] for x in c]
+            if held and (held[-1][0][0] != part[0][0] or held[-1][1][0] != part[1][0]):
+                put([np.concatenate(x) for x in zip(*held)])
+                held = []
+            held.append([x.copy() for x in part])
+        if len(out) >= 500:
+            yield flush()
+    if held:
+        put([np.concatenate(x) for x in zip(*held)])
+    yield flush()
 
 
 def profiled(known: DataFrame, space: Workspace) -> DataFrame:
@@ -223,8 +247,8 @@ def profiled(known: DataFrame, space: Workspace) -> DataFrame:
     tokens = known.select("doc", "s1", "n", F.explode("set").alias("token"))
     often = space.staged(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "frequencies")
     told = spread_join(tokens, often, ["token"], ["doc"], often.withColumnRenamed("often", "n"))
-    listed = told.groupBy("doc", "s1", "n").agg(F.collect_list(F.struct("often", "token")).alias("tokens"))
-    return space.staged(listed.select("doc", "n", "tokens").mapInArrow(profiles, PROFILE_DDL), "profiles")
+    ordered = told.select("doc", "s1", "n", "often", "token").repartition("doc", "s1").sortWithinPartitions("doc", "s1", "often", "token")
+    return space.staged(ordered.mapInArrow(profiles, PROFILE_DDL), "profiles")
 
 
 # ------------------------------------------------------- leaders and verification
