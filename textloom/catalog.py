@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.plans import oracles, queries
+from textloom.plans import oracles, queries, state
 
-QUERIES = queries.QUERIES
-ORACLES: dict[str, str] = oracles.ORACLES
+QUERIES = queries.QUERIES | state.QUERIES
+ORACLES: dict[str, str] = oracles.ORACLES | state.ORACLES
 FLAGSHIP = "hybrid_rrf"

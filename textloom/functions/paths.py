@@ -97,6 +97,24 @@ def parse_source(c: Column) -> Column:
     return F.struct(F.when(kind != "", kind).otherwise("local").alias("type"), F.trim(value).alias("value"))
 
 
+def source_order(vault_id: Column, sources: Column, path: Column) -> Column:
+    """What a request searches or reads: its vault, else its list of sources, else its path, each as (type, value)."""
+    one = lambda c: F.array(c)
+    vault = F.struct(F.lit("vault").alias("type"), vault_id.cast("string").alias("value"))
+    return F.when(vault_id.isNotNull(), one(vault)).when(F.size(F.coalesce(sources, F.array().cast("array<string>"))) > 0, F.transform(sources, parse_source)).when(path.isNotNull(), one(parse_source(path))).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
+
+
+def vault_name(value: Column) -> Column:
+    """A vault's name: the last part of its path."""
+    return F.element_at(F.split(F.regexp_replace(F.replace(value, F.lit("\\"), F.lit("/")), "/+$", ""), "/"), -1)
+
+
+def filter_precedence(request: Column, vault: Column, settings: Column) -> Column:
+    """The list that a scan filters by: the request's, else the vault's, else the settings'; an empty one is none."""
+    given = lambda c: F.when(F.size(c) > 0, c)
+    return F.coalesce(given(request), given(vault), settings)
+
+
 def file_status(is_current: Column, failed: Column, has_note: Column) -> Column:
     """State of a file: indexing before error before indexed before pending."""
     return F.when(F.coalesce(is_current, F.lit(False)), "indexing").when(F.coalesce(failed, F.lit(False)), "error").when(F.coalesce(has_note, F.lit(False)), "indexed").otherwise("pending")

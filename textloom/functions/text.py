@@ -142,6 +142,23 @@ def epoch_ms(c: Column) -> Column:
     return F.unix_millis(c.cast("timestamp"))
 
 
+def elapsed_ms(started: Column, now: Column) -> Column:
+    """Milliseconds that a run took so far; null before it started."""
+    return epoch_ms(now) - epoch_ms(started)
+
+
+def profile_params(c: Column) -> Column:
+    """A profile's parameters from JSON; bad text gives none."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def chunk_meta(base: Column, breadcrumb: Column, heading: Column, extra: Column) -> Column:
+    """A chunk's metadata (map of texts): breadcrumb and heading if they say something; ``extra`` overrides all."""
+    said = lambda k, c: F.when(F.coalesce(c, F.lit("")) != "", F.create_map(F.lit(k), c)).otherwise(F.create_map().cast("map<string,string>"))
+    own = F.map_concat(base, said("breadcrumb", breadcrumb), said("heading", heading))
+    return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(extra, k)), extra)
+
+
 def flat_meta(c: Column) -> Column:
     """A nested value as JSON text."""
     return F.to_json(c)
@@ -163,10 +180,17 @@ def fence(c: Column) -> Column:
     return F.concat(mark, F.lit("\n"), c, F.lit("\n"), mark)
 
 
-def is_image_shell(c: Column) -> Column:
-    """True if nothing but image references is left below the breadcrumb."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^\[[^\]]*\]\n", ""), r"!\[[^\]]*\]\([^)]*\)", "")
-    return strip(bare) == ""
+def is_image_shell(c: Column, breadcrumb: Column | None = None) -> Column:
+    """True if nothing but image references is left below the chunk's own breadcrumb; a null one is none.
+
+    Without ``breadcrumb`` a first line in brackets counts as one.
+    """
+    if breadcrumb is None:
+        below = F.regexp_replace(c, r"^\[[^\]]*\]\n", "")
+    else:
+        head = F.concat(F.lit("["), breadcrumb, F.lit("]\n"))
+        below = F.when(F.coalesce(c.startswith(head), F.lit(False)), F.substring(c, F.length(head) + 1, F.length(c))).otherwise(c)
+    return strip(F.regexp_replace(below, r"!\[[^\]]*\]\([^)]*\)", "")) == ""
 
 
 def data_url(c: Column) -> Column:

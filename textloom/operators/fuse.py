@@ -27,6 +27,30 @@ def pool_column(k: Column, times: int = POOL[0], low: int = POOL[1], high: int =
     return F.least(F.greatest(k * times, F.lit(low)), F.lit(high))
 
 
+def vector_pool(k: int, lexical: bool, reranker: bool) -> int:
+    """Candidates of the vector recall: as many as asked for where nothing comes after it."""
+    return pool_size(k) if lexical or reranker else k
+
+
+def candidate_key(vector_id: Column, note_id: Column, document: Column) -> Column:
+    """What tells a candidate: its vector, else its note and text."""
+    return F.coalesce(F.nullif(vector_id, F.lit("")), F.concat_ws(":", note_id.cast("string"), document))
+
+
+#: Decimals of the scores that a tool shows, and the least and most hits it may be asked for.
+DECIMALS = {"score": 4, "bm25_score": 6, "fusion_score": 6, "rerank_score": 4}
+TOOL_K = (1, 50)
+
+
+def tool_scores(hits: DataFrame) -> DataFrame:
+    """Hits with their scores rounded as a tool shows them; nulls stay."""
+    return hits.withColumns({c: F.round(c, n) for c, n in DECIMALS.items() if c in hits.columns})
+
+
+def tool_k(k: Column) -> Column:
+    return F.least(F.greatest(k, F.lit(TOOL_K[0])), F.lit(TOOL_K[1]))
+
+
 def hybrid(vector: DataFrame, lexical: DataFrame, query_id: str, key: str, k: int) -> DataFrame:
     """Reciprocal-rank fusion of two recalls (query, key, rank, score).
 

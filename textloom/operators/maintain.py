@@ -19,7 +19,7 @@ def index_rows(docs: DataFrame, limit: int = 800) -> DataFrame:
     Chunks that hold nothing but image references are left out before they are
     numbered; ``chunk_index`` keeps the splitter's number.
     """
-    cut = chunks(docs, "content", F.col("format"), ["vault_id", "note_id"], limit).where(~is_image_shell(F.col("text")))
+    cut = chunks(docs, "content", F.col("format"), ["vault_id", "note_id"], limit).where(~is_image_shell(F.col("text"), F.col("breadcrumb")))
     whole = cut.groupBy("vault_id", "note_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", "char_start", "char_end", "breadcrumb", "heading"))).alias("c"))
     out = whole.select("vault_id", "note_id", F.posexplode("c").alias("idx", "c")).select("vault_id", "note_id", "idx", "c.*")
     return out.withColumn("vector_id", vector_id(F.col("vault_id"), F.col("note_id"), F.col("idx")))

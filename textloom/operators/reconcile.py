@@ -44,10 +44,12 @@ def plan(seen: DataFrame, known: DataFrame) -> DataFrame:
     return rest.select("action", old.alias("old_path"), new.alias("new_path")).unionByName(m.select(F.lit("move").alias("action"), "old_path", "new_path"))
 
 
-def blocked(known: Column, deletes: Column, force: Column, prune: Column, scan_complete: Column, ratio: float = RATIO) -> Column:
-    """Why deletions are held back, or null: pruning off, an incomplete scan, too large a share of what is known."""
+def blocked(known: Column, deletes: Column, force: Column, prune: Column, scan_complete: Column, ratio: float = RATIO, available: Column | None = None) -> Column:
+    """Why deletions are held back, or null: no source, pruning off, an incomplete scan, too large a share of what is
+    known; the first of these."""
     over = ~force & (known > 0) & (deletes / F.when(known > 0, known) > ratio)
-    return F.when(~prune, "prune_disabled").when(~scan_complete, "scan_incomplete").when(F.coalesce(over, F.lit(False)), "over_ratio")
+    gone = F.lit(False) if available is None else ~available
+    return F.when(gone, "source_unavailable").when(~prune, "prune_disabled").when(~scan_complete, "scan_incomplete").when(F.coalesce(over, F.lit(False)), "over_ratio")
 
 
 def summary(planned: DataFrame, known_count: int | None = None, force: bool = False, prune: bool = True, scan_complete: bool = True, ratio: float = RATIO) -> DataFrame:
@@ -62,6 +64,34 @@ def summary(planned: DataFrame, known_count: int | None = None, force: bool = Fa
     return counted.withColumn("blocked_reason", blocked(known, F.col("deletes"), F.lit(force), F.lit(prune), F.lit(scan_complete), ratio))
 
 
+ORDER = ("move", "add", "update", "delete")
+
+
+def apply_plan(planned: DataFrame, failed: DataFrame, held_back: Column) -> DataFrame:
+    """A plan as it is carried out: step, action, paths and outcome (done, failed, blocked) of every file but unchanged ones.
+
+    Moves come first, then adds and updates, then deletes; a file in ``failed``
+    (rel_path) is recorded and the run goes on; deletes that the guard
+    ``held_back`` are blocked.
+    """
+    bad = failed.select(F.col("rel_path").alias("__path"), F.lit(True).alias("__bad")).distinct()
+    step = F.when(F.col("action") == "move", 1).when(F.col("action") == "delete", 3).otherwise(2)
+    joined = planned.where(F.col("action").isin(*ORDER)).withColumn("__path", F.coalesce("new_path", "old_path")).join(bad, "__path", "left")
+    outcome = F.when((F.col("action") == "delete") & held_back, "blocked").when(F.col("__bad"), "failed").otherwise("done")
+    return joined.select(step.alias("step"), "action", "old_path", "new_path", outcome.alias("outcome"))
+
+
+def applied_notes(notes: DataFrame, done: DataFrame, seen: DataFrame) -> DataFrame:
+    """Signatures (rel_path, size_bytes, mtime_ns, content_hash) of the index after a plan: only what was done counts."""
+    ok = done.where("outcome = 'done'")
+    columns = ("rel_path", "size_bytes", "mtime_ns", "content_hash")
+    moved = ok.where("action = 'move'").select(F.col("old_path").alias("rel_path"), "new_path")
+    kept = notes.select(*columns).join(ok.where("action in ('update', 'delete')").select(F.col("old_path").alias("rel_path")), "rel_path", "left_anti")
+    kept = kept.join(moved, "rel_path", "left").withColumn("rel_path", F.coalesce("new_path", "rel_path")).select(*columns)
+    fresh = seen.select(*columns).join(ok.where("action in ('add', 'update')").select(F.col("new_path").alias("rel_path")), "rel_path", "left_semi")
+    return kept.unionByName(fresh)
+
+
 SAMPLES = 10
 
 

@@ -126,6 +126,35 @@ def run_detail(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"plan": F.when(over & F.col("dry_run"), counts), "result": F.when(over & ~F.col("dry_run"), counts), "prune_blocked": prune_blocked, "cancelling": F.col("cancel_requested") & ~over})
 
 
+def newest(rows: DataFrame, by: list[str], limit: int, most: int = 200) -> DataFrame:
+    """The newest rows first; ``limit`` is from 1 to ``most`` (lists of conversations ask for 50, of runs for 20)."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit is from 1 to {most}")
+    return rows.orderBy(*[F.desc(c) for c in by]).limit(limit)
+
+
+def run_table(runs: DataFrame, status: str = "status", started: str = "started_at", run: str = "run_id", only_status: str | None = None, since: Column | None = None) -> DataFrame:
+    """Runs with their place in the task list: active ones first, then the newest; by status and from a time on."""
+    rows = runs.where(F.col(status) == only_status) if only_status else runs
+    rows = rows.where(F.col(started) >= since) if since is not None else rows
+    return rows.withColumn("active", F.col(status).isin(*ACTIVE)).orderBy(F.desc("active"), F.desc(started), F.desc(run))
+
+
+def global_counts(vaults: DataFrame, profiles: DataFrame) -> DataFrame:
+    """kind and n: vaults, and profiles of each kind."""
+    return vaults.agg(F.count("*").alias("n")).select(F.lit("vaults").alias("kind"), "n").unionByName(profiles.groupBy("kind").agg(F.count("*").alias("n")))
+
+
+def embed_profile(explicit: Column, vault: Column) -> Column:
+    """Which profile embeds: the one asked for, else the vault's, else the one of the environment."""
+    return F.coalesce(F.nullif(explicit, F.lit("")), F.nullif(vault, F.lit("")), F.lit("env"))
+
+
+def writes_back(status: Column, dry_run: Column) -> Column:
+    """Whether a run's end changes its vault's embedding state."""
+    return status.isin("success", "partial") & ~dry_run
+
+
 # --------------------------------------------------------------- profiles
 
 
@@ -166,7 +195,7 @@ def public_profiles(profiles: DataFrame) -> DataFrame:
 
 def used_profiles(profiles: DataFrame, vaults: DataFrame) -> DataFrame:
     """Profiles that a vault uses or was ever indexed with."""
-    used = vaults.select(F.explode(F.array_union(F.coalesce("embed_indexed_profiles", F.array().cast("array<int>")), F.array("embed_profile_id"))).cast("long").alias("id")).where("id is not null").distinct()
+    used = vaults.select(F.explode(F.array_union(F.coalesce("embed_indexed_profiles", F.array().cast("array<int>")), F.array("embed_profile_id"))).alias("id")).where("id is not null").select(F.col("id").cast("long").alias("id")).distinct()
     return profiles.join(used, "id", "left_semi")
 
 

@@ -28,7 +28,15 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 A_EMBED = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
-MONO = re.compile(r"courier|consolas|menlo|monaco|mono|source code|fira code|cascadia|inconsolata", re.I)
+# Monospaced fonts by their whole name without blanks, hyphens and underscores; others are told by a part.
+MONO_NAMES = {"monaco", "menlo", "hack", "inconsolata", "fira", "cascadiacode", "sourcecodepro", "lucidaconsole", "andale", "ptmono"}
+MONO_PART = re.compile(r"^courier|consol|mono$")
+
+
+def monospaced(font: str) -> bool:
+    """Whether a font of this name has letters of one width."""
+    bare = font.lower().translate({ord(c): None for c in " \t-_"})
+    return bare in MONO_NAMES or bool(MONO_PART.search(bare))
 
 
 class NotAvailable(RuntimeError):
@@ -167,7 +175,7 @@ def is_code(p: ElementTree.Element) -> bool:
         return True
     runs = [r for r in p.iter(f"{W}r") if "".join(t.text or "" for t in r.iter(f"{W}t")).strip()]
     fonts = [r.find(f"{W}rPr/{W}rFonts") for r in runs]
-    return bool(runs) and all(f is not None and MONO.search(f.get(f"{W}ascii") or "") for f in fonts)
+    return bool(runs) and all(f is not None and monospaced(f.get(f"{W}ascii") or "") for f in fonts)
 
 
 def coalesce(items: list[tuple[str, str]]) -> Iterator[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,13 +72,21 @@ def deduplicated(events: DataFrame, keys: list[str], at: str = "ts", late: str =
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def every(stream: DataFrame, seconds: int | None, job: Callable[[DataFrame, int], None], checkpoint: str, active: Callable[[], bool] = lambda: False):
-    """Run a job over each micro-batch: each ``seconds``, or once over what is there.  A batch is skipped while a
-    run is active; its rows are then the job's to find again."""
+def every(stream: DataFrame, seconds: int | None, job: Callable[[DataFrame, int], None], checkpoint: str, active: Callable[[], bool] = lambda: False, patience: float = 3600):
+    """Run a job over each micro-batch: each ``seconds``, or once over what is there.
+
+    While another run is active a batch waits for it, ``patience`` seconds at
+    most, and then fails: it isn't committed, so that its rows come again when
+    the stream is started anew.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        if not active():
-            job(df, number)
+        until = time.monotonic() + patience
+        while active():
+            if time.monotonic() > until:
+                raise TimeoutError(f"batch {number} waited {patience} seconds for an active run")
+            time.sleep(0.1)
+        job(df, number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
