@@ -245,7 +245,7 @@ def pack_documents(
         enc = encoder(ranks_file, pattern)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i, j, data, offsets in slices(batch.column(1), 1_000_000):
+            for i, j, data, offsets in slices(batch.column(1), 300_000):
                 out = []
                 all_ids, edges = enc.encode(data, offsets)
                 for name, a, b in zip(names[i:j], edges[:-1].tolist(), edges[1:].tolist()):

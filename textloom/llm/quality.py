@@ -164,7 +164,7 @@ def score_texts(df: DataFrame, model, text_col: str = "text", column: str = "sco
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.scores(data, offsets) for _, _, data, offsets in slices(batch.column(at), 1_000_000)]
+            parts = [shared.value.scores(data, offsets) for _, _, data, offsets in slices(batch.column(at), 300_000)]
             out = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, column])
 
@@ -196,7 +196,7 @@ def score_only(docs: DataFrame, model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(1), 1_000_000):
+            for i, j, data, offsets in slices(batch.column(1), 300_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(shared.value.scores(data, offsets), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(work, "doc_id bigint, score double")

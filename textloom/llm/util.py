@@ -108,6 +108,9 @@ class Workspace:
         return _stage(df, self.fresh(name))
 
 
+# What Arrow frees goes back to the system, not to a pool that each worker would keep for as long as it lives.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows of an Arrow batch between executor and Python worker, where rows hold whole texts or sets.
 BATCH_ROWS = 1000
 
@@ -228,7 +231,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 2_000_000):
+def slices(column: pa.Array, most: int = 500_000):
     """(first row, last row, bytes, offsets) pieces of about ``most`` bytes; texts stay whole."""
     data, offsets = text_bytes(column)
     n, i = len(offsets) - 1, 0
@@ -239,7 +242,7 @@ def slices(column: pa.Array, most: int = 2_000_000):
 
 
 #: Bytes of a word after which its powers start anew, and bytes of text that are hashed at once.
-PERIOD, PIECE = 1 << 16, 4 << 20
+PERIOD, PIECE = 1 << 16, 1 << 20
 
 
 def powers(n: int) -> np.ndarray:
