@@ -299,3 +299,25 @@ def test_debounced_stream(spark, tmp_path):
     assert sorted((r["path"], r["changes"]) for r in spark.table("bursts").collect()) == [("a.md", 1), ("a.md", 2), ("b.md", 1)]
     batch = jobs.debounce(df, "path", late=None)
     assert sorted((r["path"], r["changes"]) for r in batch.collect()) == [("a.md", 1), ("a.md", 2), ("b.md", 1), ("z", 1)]
+
+
+def test_packs_are_the_longest_ranges_that_fit():
+    rnd = random.Random(3)
+    for _ in range(300):
+        sizes = [rnd.randint(1, 9) for _ in range(rnd.randint(0, 12))]
+        room, gap, tail = rnd.randint(1, 20), rnd.randint(0, 2), rnd.randint(0, 4)
+        found = list(chunk.packs(sizes, room, gap, tail))
+        assert [k for i, j in found for k in range(i, j)] == list(range(len(sizes)))
+        carried = 0
+        for i, j in found:
+            size = lambda end, i=i, carried=carried: carried + sum(sizes[i:end]) + gap * (end - i - 1)
+            assert j == i + 1 or size(j) <= room
+            assert j == len(sizes) or size(j + 1) > room
+            carried = min(tail, size(j)) + gap if tail else 0
+
+
+def test_tables_are_cut_between_rows_below_their_head():
+    table = "|a|\n|-|\n" + "".join(f"|{k}|\n" for k in range(10))
+    pieces = chunk.split_table(table, 16, 100)
+    assert [p.text for p in pieces] == ["|a|\n|-|\n" + f"|{k}|\n|{k + 1}|" for k in range(0, 10, 2)]
+    assert [p.start for p in pieces] == [100, 116, 124, 132, 140]
