@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textloom.llm.sharding import PRIME, round_keys
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: SHA-1 in base32: forty hex digits as bits, five at a time.
@@ -57,4 +59,68 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, p.component_id, v.vec_id =
 FROM v JOIN parts p ON v.vec_id = p.x LEFT JOIN degree d ON v.vec_id = d.x
 """
 
-ORACLES = {"op1_warc": OP1, "op8_jaccard_join": OP8, "op10_embedding_join": OP10}
+#: Rows are numbered in one cell below 100,000 of them, by key, size and checksum; the permutation is walked a round at
+#: a time.  The checksum goes byte by byte through a table that is made from the polynomial.
+OP4 = f"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 AS bytes, list_transform(regexp_extract_all(h, '..'), lambda x: (16 * (strpos('0123456789ABCDEF', x[1]) - 1) + strpos('0123456789ABCDEF', x[2]) - 1)::BIGINT) AS l FROM d),
+c AS (
+  SELECT doc_id, bytes + 1 AS size, xor(list_reduce(list_concat([4294967295::BIGINT], l), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32
+  FROM b, tab),
+x AS (SELECT *, row_number() OVER (ORDER BY coalesce(doc_id, -1), size, text_crc32) - 1 AS rn, count(*) OVER () AS n FROM c),
+w AS (SELECT rn, n, greatest(2, length(bin(n - 1))) AS bits, greatest(1, (length(bin(n - 1)) + 1) // 2) AS half FROM x),
+k AS (SELECT {[a for a, _ in round_keys(1)]}::BIGINT[] AS a, {[b for _, b in round_keys(1)]}::BIGINT[] AS b),
+walk AS (
+  SELECT rn, n, bits - half AS lw, half AS rw, rn >> half AS l, rn & ((1::BIGINT << half) - 1) AS r, 0 AS i FROM w
+  UNION ALL
+  SELECT rn, n, lw, rw,
+    CASE WHEN i % 2 = 0 THEN xor(l, (((f.t * f.t + f.a) % {PRIME}) >> 3) & ((1::BIGINT << lw) - 1)) ELSE l END,
+    CASE WHEN i % 2 = 1 THEN xor(r, (((f.t * f.t + f.a) % {PRIME}) >> 3) & ((1::BIGINT << rw) - 1)) ELSE r END,
+    i % 6 + 1
+  FROM (
+    SELECT v.*, a, ((CASE WHEN v.i % 2 = 0 THEN r ELSE l END) % {PRIME} * a + b) % {PRIME} AS t
+    FROM (SELECT rn, n, lw, rw, l, r, i % 6 AS i FROM walk WHERE n > 1 AND NOT (i = 6 AND (l << rw) + r < n)) v,
+      LATERAL (SELECT k.a[v.i + 1] AS a, k.b[v.i + 1] AS b FROM k)) f),
+p AS (SELECT rn, CASE WHEN n > 1 THEN (l << rw) + r ELSE rn END AS p FROM walk WHERE n = 1 OR (i = 6 AND (l << rw) + r < n))
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p % 16)::INT AS shard, (p // 16)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM x JOIN p USING (rn)
+"""
+
+ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your[_-]?|xxxx|\*\*\*\*|redacted"
+
+#: Matches and what lies between them give the places; values are judged by distinct owners and repositories.
+OP5 = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+found AS (
+  SELECT id, 0 AS kind, owner, repository, regexp_extract_all(t, '{ASSIGN}', 0) AS m, regexp_split_to_array(t, '{ASSIGN}') AS gaps FROM d
+  UNION ALL SELECT id, 1, owner, repository, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT id, 2, owner, repository, regexp_extract_all(t, '[0-9a-f]+', 0), regexp_split_to_array(t, '[0-9a-f]+') FROM d),
+each AS (SELECT id, kind, owner, repository, unnest(m) AS m, unnest(gaps[:len(m)]) AS gap, generate_subscripts(m, 1) AS place FROM found WHERE len(m) > 0),
+placed AS (
+  SELECT id, kind, owner, repository, m, sum(length(gap) + length(m)) OVER (PARTITION BY id, kind ORDER BY place) AS stop,
+    CASE WHEN kind = 0 THEN regexp_extract(m, '{ASSIGN}', 1) ELSE m END AS value
+  FROM each),
+base AS (SELECT id, kind, owner, repository, stop - length(m) AS start, stop, stop - length(value) AS value_start, value FROM placed WHERE length(value) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
+classes AS (
+  SELECT value, CASE WHEN count(DISTINCT owner) >= 3 OR (count(DISTINCT owner) = 2 AND count(DISTINCT (owner, repository)) >= 5) THEN 4
+    WHEN count(DISTINCT owner) = 1 AND length(value) >= 12 AND len(list_distinct(regexp_extract_all(value, '.'))) >= 8 AND NOT regexp_matches(value, '{PLACEHOLDER}') THEN 3 END AS class
+  FROM base GROUP BY value),
+spans AS (
+  SELECT id, kind, start, stop FROM base
+  UNION SELECT id, class, value_start, stop FROM base JOIN classes USING (value) WHERE class IS NOT NULL),
+told AS (
+  SELECT id, kind, start, stop, ['assign', 'access', 'hex', 'live', 'example'][kind + 1] || ':' || start || ':' || stop AS told FROM spans),
+sums AS (
+  SELECT id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(told, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(told, ',' ORDER BY start, kind, stop) AS spans
+  FROM told GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums USING (id)
+"""
+
+ORACLES = {"op1_warc": OP1, "op4_feistel_shards": OP4, "op5_secrets": OP5, "op8_jaccard_join": OP8, "op10_embedding_join": OP10}
