@@ -123,4 +123,46 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN sums USING (id)
 """
 
-ORACLES = {"op1_warc": OP1, "op4_feistel_shards": OP4, "op5_secrets": OP5, "op8_jaccard_join": OP8, "op10_embedding_join": OP10}
+#: All orders are listed, and each step counts the masks that fail its filter and none before it.
+OP11 = """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (
+  SELECT part, coalesce(l.quality = 1, false)::INT AS good, coalesce(l.toxic = 1, false)::INT AS toxic,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask
+  FROM w LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+letters AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, e.f, g.f] AS o FROM letters a, letters b, letters c, letters e, letters g
+  WHERE len(list_distinct([a.f, b.f, c.f, e.f, g.f])) = 5),
+steps AS (
+  SELECT list_aggregate(list_transform(o, lambda x: 'ABCDE'[x + 1]), 'string_agg', '') AS filter_order, s AS step, (1 << o[s]) AS own,
+    coalesce(list_sum(list_transform(o[1:s - 1], lambda x: 1 << x)), 0)::BIGINT AS before
+  FROM orders, range(1, 6) r(s)),
+told AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own, before)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM told
+"""
+
+#: Every anchor against every row.
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, list_inner_product(a.q, e.q)::BIGINT AS score
+  FROM v a, v e WHERE a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
+
+ORACLES = {"op1_warc": OP1, "op4_feistel_shards": OP4, "op5_secrets": OP5, "op8_jaccard_join": OP8, "op10_embedding_join": OP10, "op11_filter_audit": OP11, "op13_hard_negatives": OP13}

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, embedding, html_extract, jaccard, oracles, packing, quality, secrets, sharding, toxicity, warc
+from textloom.llm import config_packing, decontaminate, embedding, filter_audit, hard_negatives, html_extract, jaccard, oracles, packing, quality, secrets, sharding, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,22 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in each of their orders."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed whole into as few sequences of 2048 tokens as can be."""
+    return config_packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives for each of five positives of every fiftieth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +106,9 @@ QUERIES = {
         op8_jaccard_join,
         op9_decontaminate,
         op10_embedding_join,
+        op11_filter_audit,
+        op12_config_packing,
+        op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = oracles.ORACLES
