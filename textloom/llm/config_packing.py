@@ -17,9 +17,11 @@ numbered across the corpus, and each configuration takes a run of numbers.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ PACES = ((0.005, 0.0005, 0.25), (0.3, 0.01, 0.1), (1.5, 0.03, 0.1))
 #: A plan so near its bound is not tried to be bettered.
 GOOD = 1.001
 #: Words whose ids a worker remembers, and ids kept before it starts afresh.
-CACHE_WORDS, CACHE_IDS = 1 << 19, 1 << 23
+CACHE_WORDS, CACHE_IDS = 1 << 20, 1 << 23
 
 # --------------------------------------------------------------------------
 # Ids
@@ -53,10 +55,11 @@ class WordIds:
     ids are those of its words in a row.  Words are remembered by their bytes.
     """
 
-    #: Signs that a run of letters may stand between; either is a piece of its own.
+    #: Signs that a run of letters may stand between: it is a piece of its own there.
     SIGNS = b".,;:!?()\"-"
 
     def __init__(self, file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel as they are
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -66,53 +69,68 @@ class WordIds:
         self.index: dict[bytes, int] = {}
         self.flat, self.edges, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
 
-    def _room(self, ids: int, words: int) -> None:
-        while self.used + ids > len(self.flat):
+    def _put(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while words + 1 > len(self.edges):
+        while n + len(words) >= len(self.edges):
             self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
-
-    def _put(self, word: bytes, ids: list[int]) -> None:
-        n = len(self.index)
-        self._room(len(ids), n + 1)
         self.flat[self.used : self.used + len(ids)] = ids
+        self.edges[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
         self.used += len(ids)
-        self.index[word], self.edges[n + 1] = n, self.used
+        self.index.update(zip(words, range(n, n + len(words))))
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, edges) of known words."""
+        begin, size = self.edges[at], self.edges[at + 1] - self.edges[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto
 
     def _learn(self, words: set[bytes]) -> None:
-        """Words of letters with signs around them are put together from their parts; these are small letters."""
-        parts, wholes, needed = {}, [], set()
+        """Words of letters with signs around them are put together from their parts, and letters count as small ones."""
+        parts: dict[bytes, list[bytes]] = {}
+        wholes: set[bytes] = set()
         for w in words:
             core = w.strip(self.SIGNS)
-            if core is not w and core.isalpha() and core.isascii():
-                a = w.index(core)
-                parts[w] = [p for p in (w[:a], core.lower(), w[a + len(core) :]) if p]
-                needed.update(parts[w])
+            if core.isalpha() and core.isascii():
+                small = core.lower()
+                if small == w:
+                    wholes.add(w)
+                elif core is w or len(core) == len(w):
+                    parts[w] = [small]
+                else:
+                    a = w.index(core)
+                    parts[w] = [p for p in (w[:a], small, w[a + len(core) :]) if p]
             else:
-                wholes.append(w)
-        wholes = sorted(w for w in {*wholes, *needed} if w not in self.index and w not in parts)
-        for a in range(0, len(wholes), 4096):
-            for w, e in zip(wholes[a : a + 4096], self.tokenizer.encode_batch_fast([w.decode() for w in wholes[a : a + 4096]], add_special_tokens=False)):
-                self._put(w, e.ids)
-        for w, p in parts.items():
-            found = [self.index[x] for x in p]
-            self._put(w, [i for k in found for i in self.flat[self.edges[k] : self.edges[k + 1]].tolist()])
+                wholes.add(w)
+        for p in parts.values():
+            wholes.update(p)
+        some = [w for w in wholes if w not in self.index]
+        for a in range(0, len(some), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some[a : a + 4096]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._put(some[a : a + 4096], sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        if parts:
+            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts.values())), np.int64)
+            ids, upto = self._ids(at)
+            edges = upto[np.cumsum([0, *map(len, parts.values())])]
+            self._put(list(parts), np.diff(edges), ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, edges) of texts given as bytes and offsets."""
         if len(self.index) > CACHE_WORDS or self.used > CACHE_IDS:
             self._clear()
         raw = data.tobytes()
-        words = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        new = {w for text in words for w in text if w not in self.index}
+        texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        words = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            self._learn(new)
-        per_text = np.array([len(w) for w in words], np.int64)
-        at = np.fromiter((self.index[w] for text in words for w in text), np.int64, int(per_text.sum()))
-        begin, size = self.edges[at], self.edges[at + 1] - self.edges[at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
-        return ids, upto[np.concatenate([[0], np.cumsum(per_text)])]
+            missed = [words[k] for k in new]
+            self._learn(set(missed))
+            at[new] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
+        ids, upto = self._ids(at)
+        return ids, upto[np.cumsum([0, *map(len, texts)])]
 
 
 _WORDS: dict[str, WordIds] = {}
