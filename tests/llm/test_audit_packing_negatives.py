@@ -109,7 +109,7 @@ def whole(docs, rows, tokenizer, capacity):
     return len(bins), -(-sum(x[3] for x in want) // capacity)
 
 
-ODD = [None, "", " ", "\n\t", "Hello, WORLD!  it's 42% <|endoftext|>x <|STARTOFTEXT|>", "a b\u0085c\x1cd", "é ́ ΟΔΟΣ İ", "(quoted) 'd 'll", "漢字かな x-y", "\U0001f600 \x00 -- .,;", "zz" * 3000, "w " * 5000]
+ODD = [None, "", " ", "\n\t", "Hello, WORLD!  it's 42% <|endoftext|>x <|STARTOFTEXT|>", "a b\u0085c\x1cd", "é ́ ΟΔΟΣ İ", "(quoted) 'd 'll", "漢字かな x-y", "\U0001f600 \x00 -- .,;", "<|endoftext|> |endoftext| (<|endoftext|>) ((ÄB)) é́, ##x## a'b' 'S, ŒUVRE! ǅ.", "zz" * 3000, "w " * 5000]
 
 
 @pytest.mark.parametrize("capacity", [7, 64, 2048])

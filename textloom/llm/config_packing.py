@@ -56,7 +56,7 @@ class WordIds:
     """
 
     #: Signs that a run of letters may stand between: it is a piece of its own there.
-    SIGNS = b".,;:!?()\"-"
+    SIGNS = b".,;:!?()\"-#$%&*+/=@[]^_`{}~|"
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel as they are
@@ -86,14 +86,19 @@ class WordIds:
         upto = np.concatenate([[0], np.cumsum(size)])
         return self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto
 
+    @staticmethod
+    def _latin(word: bytes) -> bool:
+        letters = word.decode()
+        return letters.isalpha() and max(letters) < "\u0250"
+
     def _learn(self, words: set[bytes]) -> None:
         """Words of letters with signs around them are put together from their parts, and letters count as small ones."""
         parts: dict[bytes, list[bytes]] = {}
         wholes: set[bytes] = set()
         for w in words:
             core = w.strip(self.SIGNS)
-            if core.isalpha() and core.isascii():
-                small = core.lower()
+            if core.isalpha() and core.isascii() or core is not w and self._latin(core):
+                small = core.lower() if core.isascii() else core
                 if small == w:
                     wholes.add(w)
                 elif core is w or len(core) == len(w):
