@@ -215,7 +215,7 @@ def test_hard_negatives(spark, monkeypatch, kind):
     if kind == "huge":
         x *= 1e12
     rows = [(i, v.astype(np.float32).tolist(), int(y)) for i, (v, y) in enumerate(zip(x, r.integers(0, 3, 300)))]
-    rows += [(50, None, 1), (None, [1.0] * 6, 1), (301, [1.0] * 6, None), (302, [1.0, None, 0, 0, 0, 0], 1), (303, [math.inf] * 6, 1), (304, [math.nan] * 6, 1), (305, [0.0] * 6, 2), (350, [0.0] * 6, 2), (306, [1.0, 2.0], 1), (400, [], 0), *rows[40:60], *[(900 + k % 2, [0.5] * 6, k % 3) for k in range(60)]]
+    rows += [(50, None, 1), (None, [1.0] * 6, 1), (301, [1.0] * 6, None), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (303, [math.inf] * 6, 1), (304, [math.nan] * 6, 1), (305, [0.0] * 6, 2), (350, [0.0] * 6, 2), (306, [1.0, 2.0], 1), (400, [], 0), *rows[40:60], *[(900 + k % 2, [0.5] * 6, k % 3) for k in range(60)]]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumns({"id": F.lit("x"), "score": F.lit(1), "v": F.lit(2)})
     got = [tuple(x) for x in hard_negatives.mine(df, F.col("vec_id") % 50 == 0).select(NEGATIVE).collect()]
     assert len(got) == len(set(got)) and set(got) == mined(rows)

@@ -86,6 +86,12 @@ def test_jaccard_join(spark, seed, monkeypatch):
     assert got == brute(rows)
 
 
+def test_unlike_words_link_nothing(spark):
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, first), (2, first.translate({97: "b", 98: "a"})), (3, "w x y z " + first), (4, "w x y z " + first.translate({97: "b", 98: "a"}))]
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {(i, i) for i in (1, 2, 3, 4)}
+
+
 def test_jaccard_edges(spark):
     schema = "doc_id bigint, text string"
     assert jaccard.link_documents(spark.createDataFrame([], schema)).collect() == []

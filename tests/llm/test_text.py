@@ -13,13 +13,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import MEDIUM, SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textloom.llm import decontaminate, html_extract, packing, secrets, sharding, util, warc
-from textloom.llm.queries import PATTERN, QUERIES, RANKS
+from textloom.llm.queries import PATTERN, QUERIES, RANKS, SPECIALS
 from textloom.llm.util import scratch
 
 # ------------------------------------------------------------------------ WARC
@@ -266,10 +267,20 @@ def test_many_matches_in_one_text_and_one_value_in_many_texts(spark, monkeypatch
 # --------------------------------------------------------------------- packing
 
 
+def twins():
+    """Two words of 1,024 letters, unlike in every place, that sums of powers modulo 2^64 can't tell apart."""
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return [first, first.translate({97: "b", 98: "a"})]
+
+
+def test_words_built_to_collide_hash_apart():
+    column = pa.array([*twins(), *("x y " + t for t in twins())])
+    h = util.word_hashes(*util.text_bytes(column))[0]
+    assert len(set(h.tolist())) == 4
+
+
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check_packing(rows, texts, most_padding=None):
@@ -301,7 +312,7 @@ def check_packing(rows, texts, most_padding=None):
 def test_packing_edges(spark):
     texts = {1: None, 2: "", 3: " two  blanks ", 4: "a\n \nb\t c 's 123 <|endoftext|>", 5: "word " * 5000, 6: "中文é  x", 7: "x" * 20_000}
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in texts.items()], "doc_id bigint, text string, start int, length int")
-    check_packing(packing.pack_documents(df, RANKS, PATTERN).collect(), texts)
+    check_packing(packing.pack_documents(df, RANKS, PATTERN, specials=SPECIALS).collect(), texts)
     assert packing.pack_documents(df.limit(0), RANKS, PATTERN).collect() == []
     twice = packing.pack_documents(spark.createDataFrame([(None, "a"), (None, "a")], "doc_id bigint, text string"), RANKS, PATTERN, with_ids=True).collect()
     assert [r["doc_id"] for r in twice] == [None, None] and all(r["ids"][-1] == 0 for r in twice)
@@ -312,7 +323,7 @@ def test_packing_of_blanks_beside_other_white_space(spark):
     bits = [" ", " ", "\u00a0", "\u00a0", "\n", "\t", "\x1c", "\x85", "\u2003", "\u3000", "\u202f", "\u2028", "foo", "bar", "é", "中", "\u2014", "\u201cx\u201d", "\u00e0", "'s", "12"]
     texts = dict(enumerate(["foo \u00a0 \u00a0 bar", " \u00a0 \u00a0\u00a0 foo", "a \u00a0", "\u00a0 \u00a0 \u00a0 \u00a0", "foo\u00a0 \u00a0bar"] + ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(3000)]))
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    check_packing(packing.pack_documents(df, RANKS, PATTERN).collect(), texts)
+    check_packing(packing.pack_documents(df, RANKS, PATTERN, specials=SPECIALS).collect(), texts)
 
 
 def test_packing_of_all_documents(spark):

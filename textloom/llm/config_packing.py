@@ -21,7 +21,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.packing import WordMemory
 from textloom.llm.util import Workspace, slices, small_batches, staged
 
 END_ID = 0
@@ -40,21 +41,20 @@ ROUNDS = 40
 PACES = ((0.005, 0.0005, 0.25), (0.3, 0.01, 0.1), (1.5, 0.03, 0.1))
 #: A plan so near its bound is not tried to be bettered.
 GOOD = 1.001
-#: Words whose ids a worker remembers, and ids kept before it starts afresh.
-CACHE_WORDS, CACHE_IDS = 1 << 20, 1 << 23
 
 # --------------------------------------------------------------------------
 # Ids
 # --------------------------------------------------------------------------
 
 
-class WordIds:
+class WordIds(WordMemory):
     """Ids of whole texts by a tokenizer that parts at white space and drops it.
 
     Nothing such a tokenizer does reaches across white space, so that a text's
     ids are those of its words in a row.  Words are remembered by their bytes.
     """
 
+    most = 1 << 20  # this tokenizer takes several times as long for a word as a byte-level one
     #: Signs that a run of letters may stand between: it is a piece of its own there.
     SIGNS = b".,;:!?()\"-#$%&*+/=@[]^_`{}~|"
 
@@ -63,28 +63,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.edges, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
-
-    def _put(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.index)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) >= len(self.edges):
-            self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.edges[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += len(ids)
-        self.index.update(zip(words, range(n, n + len(words))))
-
-    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, edges) of known words."""
-        begin, size = self.edges[at], self.edges[at + 1] - self.edges[at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto
+        super().__init__()
 
     @staticmethod
     def _latin(word: bytes) -> bool:
@@ -123,18 +102,9 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, edges) of texts given as bytes and offsets."""
-        if len(self.index) > CACHE_WORDS or self.used > CACHE_IDS:
-            self._clear()
         raw = data.tobytes()
         texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        words = list(chain.from_iterable(texts))
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            missed = [words[k] for k in new]
-            self._learn(set(missed))
-            at[new] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
-        ids, upto = self._ids(at)
+        ids, upto = self.ids(list(chain.from_iterable(texts)))
         return ids, upto[np.cumsum([0, *map(len, texts)])]
 
 

@@ -17,22 +17,22 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from textloom.llm.util import slices, word_hashes
+from textloom.llm.util import slices
 
 END_ID = 0
 CAPACITY = 1024
 CLASSES = 16
 FILL = 0.96
 #: Words whose ids a worker remembers, and ids kept before it starts afresh.
-CACHE_SLOTS, CACHE_IDS = 1 << 21, 1 << 23
+CACHE_WORDS, CACHE_IDS = 1 << 18, 1 << 23
 AS_IS = np.arange(256, dtype=np.uint8)
-BLANK = AS_IS == 32
 #: Bytes that are white space or control, and bytes that may begin or end wider white space.
 CONTROL = (AS_IS < 32) | (AS_IS == 127)
 WIDE = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
@@ -51,52 +51,90 @@ def beside_white(data: np.ndarray) -> np.ndarray:
     return at[found]
 
 
-class WordEncoder:
+class WordMemory:
+    """Ids of words met before, by the words' bytes; what is missing is learned by the batch."""
+
+    most = CACHE_WORDS
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.edges, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
+
+    def _put(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) >= len(self.edges):
+            self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.edges[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.index.update(zip(words, range(n, n + len(words))))
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, edges) of known words."""
+        begin, size = self.edges[at], self.edges[at + 1] - self.edges[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto
+
+    def _learn(self, words: set[bytes]) -> None:
+        raise NotImplementedError
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, edges) of words, known or not."""
+        if len(self.index) > self.most or self.used > CACHE_IDS:
+            self._clear()
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            missed = [words[k] for k in new]
+            self._learn(set(missed))
+            at[new] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
+        return self._ids(at)
+
+
+class WordEncoder(WordMemory):
     """Ids of whole texts by a byte-level BPE, through a bounded memory of words.
 
     A blank between other characters than white space always begins a new piece
     of the pattern, and nothing merges across pieces, so that a text whose blanks
     all stand so is the sequence of its words, each with the blank before it.
-    Words are hashed by the batch; a direct-mapped table keeps the ids of words
-    met before.  Texts with a blank next to other white space (of any kind) or a
-    control byte, or at the end, are encoded in one piece.
+    Texts with a blank next to other white space (of any kind) or a control
+    byte, at the end, or with a special token's name, which stands for its id,
+    are encoded in one piece.
     """
 
-    def __init__(self, ranks_file: str, pattern: str):
+    #: Before the first word of a text, which has no blank before it; no other word begins so.
+    FIRST = b"\n"
+
+    def __init__(self, ranks_file: str, pattern: str, specials: dict[str, int]):
         import tiktoken
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.blank = np.zeros(max(ranks.values()) + 1, bool)
+        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
+        self.names = [name.encode() for name in specials]
+        self.blank = np.zeros(max([*ranks.values(), *specials.values()]) + 1, bool)
         self.blank[[i for b, i in ranks.items() if b[:1] == b" "]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.zeros(CACHE_SLOTS, np.uint64)
-        self.at = np.zeros(CACHE_SLOTS, np.int32)
-        self.size = np.zeros(CACHE_SLOTS, np.int32)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _keep(self, ids: np.ndarray) -> int:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
-
-    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place, size) of the ids of words with a blank before them."""
-        ids = np.array(self.bpe.encode_ordinary((b" " + b" ".join(words)).decode()), np.uint32)
-        first = np.flatnonzero(self.blank[ids])
-        return first + self._keep(ids), np.diff(np.append(first, len(ids)))
+        super().__init__()
+
+    def _learn(self, words: set[bytes]) -> None:
+        heads = [w for w in words if w.startswith(self.FIRST)]
+        inner = [w for w in words if not w.startswith(self.FIRST)]
+        if inner:
+            ids = np.array(self.bpe.encode_ordinary((b" " + b" ".join(inner)).decode()), np.uint32)
+            first = np.flatnonzero(self.blank[ids])
+            self._put(inner, np.diff(np.append(first, len(ids))), ids)
+        for w in heads:
+            ids = np.array(self.bpe.encode_ordinary(w[1:].decode()), np.uint32)
+            self._put([w], np.array([len(ids)]), ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, edges) of texts given as bytes and offsets."""
         n = len(offsets) - 1
-        if self.used > CACHE_IDS:
-            self._clear()
         is_blank = data == 32
         odd = np.zeros(n, bool)
         two = np.flatnonzero(is_blank[1:] & is_blank[:-1])
@@ -104,49 +142,34 @@ class WordEncoder:
         odd[np.searchsorted(offsets, beside_white(data), "right") - 1] = True
         last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
         odd[np.searchsorted(offsets, last[is_blank[last]], "right") - 1] = True
-        h, doc, starts, ends = word_hashes(data, offsets, BLANK, AS_IS)
-        head = starts == offsets[doc]
-        h = np.where(head, ~h, h)
-        keep = ~odd[doc]
-        h, doc, starts, ends, head = h[keep], doc[keep], starts[keep], ends[keep], head[keep]
-        slot = (h >> np.uint64(11)).astype(np.int64) & (CACHE_SLOTS - 1)
-        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
-        missed = np.flatnonzero(self.keys[slot] != h)
-        if len(missed):
-            raw = data.tobytes()
-            _, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
-            some = missed[first]
-            new_at, new_size = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-            inner, outer = np.flatnonzero(~head[some]), np.flatnonzero(head[some])
-            if len(inner):
-                new_at[inner], new_size[inner] = self._learn([raw[a:b] for a, b in zip(starts[some[inner]].tolist(), ends[some[inner]].tolist())])
-            for k in outer.tolist():
-                ids = np.array(self.bpe.encode_ordinary(raw[starts[some[k]] : ends[some[k]]].decode()), np.uint32)
-                new_at[k], new_size[k] = self._keep(ids), len(ids)
-            at[missed], size[missed] = new_at[back], new_size[back]
-            self.keys[slot[some]], self.at[slot[some]], self.size[slot[some]] = h[some], new_at, new_size
-        upto = np.cumsum(size)
-        ids = self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(at - (upto - size), size)]
-        per_doc = np.bincount(doc, weights=size, minlength=n).astype(np.int64)
-        if odd.any():
-            edges = np.concatenate([[0], np.cumsum(per_doc)])
-            parts = []
-            for i in range(n):
-                part = ids[edges[i] : edges[i + 1]]
-                if odd[i]:
-                    part = np.array(self.bpe.encode_ordinary(data[offsets[i] : offsets[i + 1]].tobytes().decode()), np.uint32)
-                parts.append(part)
-            ids, per_doc = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        return ids, np.concatenate([[0], np.cumsum(per_doc)])
-
-
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
-
-
-def encoder(ranks_file: str, pattern: str) -> WordEncoder:
-    if (ranks_file, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_file, pattern] = WordEncoder(ranks_file, pattern)
-    return _ENCODERS[ranks_file, pattern]
+        raw, texts, wholes = data.tobytes(), [], {}
+        named = any(name in raw for name in self.names)
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            text = raw[a:b]
+            if odd[i] or named and any(name in text for name in self.names):
+                wholes[i] = np.array(self.bpe.encode(text.decode(), allowed_special="all"), np.uint32)
+                texts.append([])
+            elif text:
+                first, *rest = text.split(b" ")
+                texts.append([self.FIRST + first, *rest])
+            else:
+                texts.append([])
+        ids, upto = self.ids(list(chain.from_iterable(texts)))
+        edges = upto[np.cumsum([0, *map(len, texts)])]
+        if not wholes:
+            return ids, edges
+        parts = [wholes[i] if i in wholes else ids[edges[i] : edges[i + 1]] for i in range(n)]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(ranks_file: str, pattern: str, specials: dict[str, int]) -> WordEncoder:
+    key = repr((ranks_file, pattern, specials))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(ranks_file, pattern, specials)
+    return _ENCODERS[key]
 
 
 def cuts(n: int, capacity: int, classes: int, fill: float) -> list[tuple[int, int]]:
@@ -173,6 +196,7 @@ class Bins:
     def __init__(self, capacity: int, classes: int, first_id: int):
         self.capacity, self.classes, self.next = capacity, classes, first_id
         self.open: dict[int, list[tuple]] = {}
+        self.filled = 0  # tokens in the open bin of small rests
 
     def _close(self, rows: list[tuple]) -> list[tuple]:
         out, offset = [], 0
@@ -185,9 +209,11 @@ class Bins:
     def put(self, kind: int, row: tuple) -> list[tuple]:
         """row: (document, start, length, ...)"""
         rows, closed = self.open.setdefault(kind, []), []
-        if kind > self.classes and sum(r[2] for r in rows) + row[2] > self.capacity:
-            closed, self.open[kind] = self._close(rows), []
-            rows = self.open[kind]
+        if kind > self.classes:
+            if self.filled + row[2] > self.capacity:
+                closed, self.open[kind], self.filled = self._close(rows), [], 0
+                rows = self.open[kind]
+            self.filled += row[2]
         rows.append(row)
         if kind <= self.classes and len(rows) == kind:
             closed = self._close(self.open.pop(kind))
@@ -203,7 +229,7 @@ class Bins:
                     break
             else:
                 bins.append([row])
-        self.open = {}
+        self.open, self.filled = {}, 0
         return [x for b in bins for x in self._close(b)]
 
 
@@ -217,12 +243,14 @@ def pack_documents(
     classes: int = CLASSES,
     fill: float = FILL,
     with_ids: bool = False,
+    specials: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     ``start`` counts its document's ids before the piece, ``offset`` those
     before it in the sequence; ``ids_crc32`` covers the ids as little-endian
-    unsigned 32-bit numbers.  Null and empty texts are their end id alone.
+    unsigned 32-bit numbers.  ``specials`` are names that stand for an id of their
+    own wherever a text has them.  Null and empty texts are their end id alone.
     Equal rows are packed each on its own, a null id stays null, further
     columns are ignored, and an empty table gives an empty table.
     """
@@ -242,7 +270,7 @@ def pack_documents(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         bins = Bins(capacity, classes, (task.partitionId() if task else 0) << 33)
-        enc = encoder(ranks_file, pattern)
+        enc = encoder(ranks_file, pattern, specials or {})
         for batch in batches:
             names = batch.column(0).to_pylist()
             for i, j, data, offsets in slices(batch.column(1), 300_000):

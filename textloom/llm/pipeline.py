@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, jaccard, packing, quality, secrets
-from textloom.llm.queries import PATTERN, RANKS, table
+from textloom.llm.queries import PATTERN, RANKS, SPECIALS, table
 from textloom.llm.util import discard, scope, scratch, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -68,7 +68,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens; a null text is empty, equal rows are packed each."""
-    return packing.pack_documents(docs, RANKS, PATTERN)
+    return packing.pack_documents(docs, RANKS, PATTERN, specials=SPECIALS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

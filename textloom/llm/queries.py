@@ -10,6 +10,8 @@ from textloom.llm import config_packing, decontaminate, embedding, filter_audit,
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: Fixed value: the name and id of the vocabulary's end of text.
+SPECIALS = {"<|endoftext|>": 50256}
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -54,7 +56,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 1024 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN, specials=SPECIALS)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

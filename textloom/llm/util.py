@@ -312,6 +312,10 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, fold: np.n
     else:
         np.minimum(at, longest - 1, out=at)
     values *= _POWERS[at]
+    # each byte's share is mixed before shares are added up: sums of powers alone are equal for words built for it
+    values ^= values >> np.uint64(29)
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(32)
     values[~ink[starts[0] :]] = 0
     h = np.add.reduceat(values, starts - starts[0])
     h = mix(h + (ends - starts).astype(np.uint64))
