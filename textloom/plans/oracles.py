@@ -36,6 +36,11 @@ hits AS (
 """
 
 
+#: What index_changes leaves.
+CHANGED = """SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'moved/' || source ELSE source END AS source, CASE WHEN doc_id % 10 = 2 THEN 'written anew ' || reverse(text) ELSE text END AS text
+  FROM main.documents WHERE doc_id % 10 NOT IN (1, 5)"""
+
+
 def lexical(k: int, name: str = "lex") -> str:
     return f"""{BM25}, {name} AS (
   SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM hits) WHERE rank <= {k})"""
@@ -90,6 +95,8 @@ ORACLES = {
     "term_stats": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({words('text')}) AS term FROM documents) GROUP BY term",
     "query_terms": f"SELECT item_id, nullif(array_to_string({terms('text')}, ' '), '') AS terms FROM benchmark",
     "bm25_topk": f"WITH {lexical(10)} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM lex",
+    "bm25_short": f"""WITH {lexical(10).replace(f"unnest({terms('text')}) AS term", f"unnest({terms('text')}[1:3]) AS term")} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM lex""",
+    "index_changes": f"WITH documents AS ({CHANGED}), {lexical(5)} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM lex",
     "knn_exact": f"WITH {knn('vec_id % 100 = 0', 10)} SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM vec",
     "knn_threshold": f"WITH {knn('vec_id % 100 = 0', 20, least=0.3)} SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM vec",
     "hybrid_rrf": f"""WITH {lexical(20)}, {knn('vec_id IN (SELECT item_id FROM benchmark)', 20)},

@@ -7,11 +7,15 @@ the path.  ``embeddings`` are taken as those of the documents with the same id,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import paths, text
 from textloom.operators import bm25, chunk, fuse, knn, reconcile, records
+from textloom.operators.lexical_index import LexicalIndex
+from textloom.storage import fingerprint, shared_root
 from textloom.streaming import jobs
 
 
@@ -30,8 +34,15 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _lexical(spark: SparkSession, d: str, k: int, queries: DataFrame | None = None) -> DataFrame:
-    return bm25.search(table(spark, d, "documents"), "doc_id", _columns(), queries or _queries(spark, d), "query_id", "query", k)
+def _index(spark: SparkSession, d: str) -> LexicalIndex:
+    """The stored index of the documents, built when it is first asked for."""
+    index = LexicalIndex(spark, f"{shared_root(spark)}/lexical-{fingerprint(spark, f'{d}/documents.parquet')}", "doc_id", _columns())
+    index.backfill(table(spark, d, "documents"))
+    return index
+
+
+def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return _index(spark, d).search(_queries(spark, d), "query_id", "query", k)
 
 
 # ---------------------------------------------------------------- retrieval
@@ -50,6 +61,36 @@ def bm25_topk(spark, d):
     return _lexical(spark, d, 10)
 
 
+def index_changes(spark, d):
+    """Best five after a tenth of the documents went, a tenth was written anew, a tenth moved, and a tenth came later."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    index = LexicalIndex(spark, f"{shared_root(spark)}/changes-{uuid.uuid4().hex}", "doc_id", _columns())
+    index.backfill(docs.where("doc_id % 10 <> 4"))
+    index.delete(docs.where("doc_id % 10 = 1"))
+    index.replace(docs.where("doc_id % 10 = 2").withColumn("text", F.concat(F.lit("written anew "), F.reverse("text"))))
+    index.replace(docs.where("doc_id % 10 = 3").withColumn("source", F.concat(F.lit("moved/"), F.col("source"))))
+    index.insert(docs.where("doc_id % 10 = 4"))
+    index.merge()
+    index.delete(docs.where("doc_id % 10 = 5"))
+    return index.search(_queries(spark, d), "query_id", "query", 5)
+
+
+def _short_queries(spark, d):
+    """Three terms of each benchmark item."""
+    terms = text.query_terms(F.col("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(terms, 1, 3), " ").alias("query"))
+
+
+def bm25_short(spark, d):
+    """Ten best documents of short queries, from the ranges whose bounds reach their thresholds."""
+    return _index(spark, d).search(_short_queries(spark, d), "query_id", "query", 10)
+
+
+def index_reads(spark, d):
+    """Blocks of each short query's terms, and how many of them its ten best documents take."""
+    return _index(spark, d).reads(_short_queries(spark, d), "query_id", "query", 10)
+
+
 def _vector_queries(spark, d):
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
@@ -80,9 +121,7 @@ def hybrid_rrf(spark, d):
 
 def cross_scope_rrf(spark, d):
     """Languages as scopes: five of each, fused."""
-    docs = table(spark, d, "documents")
-    hits = _lexical(spark, d, 1 << 30).drop("rank").join(docs.select("doc_id", "lang"), "doc_id")
-    ranked = bm25.top(hits, ["query_id", "lang"], [F.col("score"), F.col("doc_id")], 5)
+    ranked = _index(spark, d).search_scopes(_queries(spark, d), "query_id", "query", table(spark, d, "documents"), "lang", 5)
     return fuse.across_scopes(ranked, "query_id", "lang", "doc_id", 5).select("query_id", "rank", "lang", "doc_id", "fusion_score")
 
 
@@ -347,7 +386,7 @@ def hourly_counts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, query_terms, bm25_topk, knn_exact, knn_threshold, knn_lsh, hybrid_rrf, cross_scope_rrf, rerank_local, rerank_fallback,
+        term_stats, query_terms, bm25_topk, bm25_short, index_changes, index_reads, knn_exact, knn_threshold, knn_lsh, hybrid_rrf, cross_scope_rrf, rerank_local, rerank_fallback,
         candidate_pool, context_block, hard_split, recursive_chunk, html_chunk, html_text, html_headings, breadcrumbs, image_refs, image_shell,
         content_hash16, image_uid, mask_key, epoch_ms, glob_filter, chunk_formats, reconcile_plan, need_hash, move_pairs, prune_guard,
         plan_samples, doctor_ghost, doctor_missing, doctor_orphan, doctor_report, doctor_repair, file_status_page, file_status_counts,
