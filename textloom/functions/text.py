@@ -201,6 +201,7 @@ def data_url(c: Column) -> Column:
 
 
 _REF = "struct<raw:string,start:int,end:int,alt:string,target:string,kind:string>"
+# Patterns of image references in Markdown, wiki links and HTML.
 MD_IMAGE = r"""!\[([^\]]*)\]\(\s*(<[^>]*>|[^)\s]+)(?:\s+(?:"[^"]*"|'[^']*'))?\s*\)"""
 WIKI_IMAGE = r"!\[\[([^\]|#^]+)(?:#[^\]|]*)?(?:\|([^\]]+))?\]\]"
 HTML_IMAGE = r"""(?i)<img\b[^>]*?\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*>"""

@@ -114,7 +114,7 @@ t AS (SELECT item_id AS query_id, {terms('text')} AS terms FROM benchmark),
 s AS (SELECT query_id, doc_id, lex.rank AS pool, round(len(list_intersect(terms, {words('d.text')}))::DOUBLE / len(terms), 6) AS rerank_score FROM lex JOIN t USING (query_id) JOIN documents d USING (doc_id))
 SELECT query_id, rank::INTEGER AS rank, doc_id, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pool) AS rank FROM s) WHERE rank <= 5""",
     "rerank_fallback": f"WITH {lexical(5)} SELECT query_id, doc_id, rank::INTEGER AS rank, NULL::DOUBLE AS rerank_score FROM lex",
-    "candidate_pool": "SELECT range AS k, least(greatest(range * 4, 20), 100)::BIGINT AS pool FROM range(1, 101)",
+    "candidate_pool": f"SELECT conv_id, turn, k, least(greatest(k * 4, 20), 100)::BIGINT AS pool FROM (SELECT conv_id, turn, len({words('text')}) AS k FROM conversations)",
     "context_block": f"""WITH {lexical(3)}
 SELECT query_id, string_agg('[' || rank || '] 来源：' || lang || ' · ' || source || '/' || doc_id || '.txt' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM lex JOIN documents USING (doc_id) GROUP BY query_id""",

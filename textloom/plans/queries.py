@@ -144,7 +144,9 @@ def rerank_fallback(spark, d):
 
 
 def candidate_pool(spark, d):
-    return spark.range(1, 101).select(F.col("id").alias("k"), fuse.pool_column(F.col("id")).alias("pool"))
+    """Candidates of a recall for as many results as a conversation's turn has words."""
+    k = F.size(text.words(F.col("text"))).cast("long")
+    return table(spark, d, "conversations").select("conv_id", "turn", k.alias("k"), fuse.pool_column(k).alias("pool"))
 
 
 def context_block(spark, d):
