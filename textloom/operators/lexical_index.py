@@ -35,6 +35,8 @@ RANGE_DOCS, BUCKETS, FIRST = 32, 16, 8
 SLACK = 2e-6
 #: Terms of a query up to which bounds are tried.
 FEW_TERMS = 6
+#: Ranges whose blocks of one folder go to one task.
+RANGES_OF_A_SLICE = 4096
 
 
 def _bucket(term: Column) -> Column:
@@ -103,10 +105,9 @@ class LexicalIndex:
         weighted = lambda c: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(self.weights[c]).alias("w")))
         each = tokened.select(F.col("__key").alias("key"), "length", F.explode(F.concat(*map(weighted, self.columns))).alias("t"))
         rows = each.select("t.term", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), "key", "length", "t.w")
-        # one shuffle: a term's postings of a range meet, however often the term is used elsewhere
-        summed = rows.repartition("term", "range").groupBy("term", "range", "key").agg(F.sum("w").alias("tf"), F.first("length").cast("int").alias("length"))
-        blocks = summed.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("p"))
-        _stored(blocks, length / n if length else 1.0).write.partitionBy("bucket").parquet(f"{path}/blocks")
+        # one shuffle: all that a block needs meets where its folder is written
+        summed = _dealt(rows, ranges).groupBy("bucket", "slice", "term", "range", "key").agg(F.sum("w").alias("tf"), F.first("length").cast("int").alias("length"))
+        _stored(summed, length / n if length else 1.0).write.partitionBy("bucket").parquet(f"{path}/blocks")
         self.folder.drop(f"{name}/tokens")
         return name, n, int(length)
 
@@ -158,8 +159,8 @@ class LexicalIndex:
         self.lengths(state).select("key", "length").write.parquet(f"{path}/lengths")
         ranges = max(1, state["docs"] // RANGE_DOCS)
         rows = self._alive(self._postings(self._blocks(state)), state)
-        placed = rows.select("term", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), "key", "tf", "length").repartition("term", "range")
-        _stored(placed.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("p")), self.mean(state)).write.partitionBy("bucket").parquet(f"{path}/blocks")
+        placed = rows.select("term", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), "key", "tf", "length")
+        _stored(_dealt(placed, ranges), self.mean(state)).write.partitionBy("bucket").parquet(f"{path}/blocks")
         self.folder.commit(number, state | {"segments": [{"name": name, "at": state["next"], "mean": self.mean(state)}], "dead": [], "next": state["next"] + 1})
         for x in [*state["segments"], *state["dead"]]:
             self.folder.drop(x["name"])
@@ -251,10 +252,17 @@ class LexicalIndex:
 BLOCK = "term string, range int, n int, best double, first bigint, gaps array<bigint>, tfs array<double>, lengths array<int>, bucket int"
 
 
-def _stored(blocks: DataFrame, mean: float) -> DataFrame:
-    """Blocks (term, range, p: sorted postings) as they are written, with bounds for this mean length."""
-    best = F.array_max(F.transform("p", lambda x: impact(x["tf"], x["length"], F.lit(mean or 1.0))))
+def _dealt(rows: DataFrame, ranges: int) -> DataFrame:
+    """Rows (term, range, ...) dealt by folder and slice of ranges, so that a frequent term is in many tasks."""
+    slices = max(4, ranges // RANGES_OF_A_SLICE)
+    return rows.withColumns({"bucket": _bucket(F.col("term")), "slice": F.pmod("range", F.lit(slices))}).repartition("bucket", "slice")
+
+
+def _stored(postings: DataFrame, mean: float) -> DataFrame:
+    """Postings (bucket, slice, term, range, key, tf, length) as blocks, with bounds for this mean length."""
+    blocks = postings.groupBy("bucket", "slice", "term", "range").agg(F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("p"))
     of = lambda c: F.transform("p", lambda x: x[c])
+    best = F.array_max(F.transform("p", lambda x: impact(x["tf"], x["length"], F.lit(mean or 1.0))))
     gaps = F.transform("p", lambda x, i: x["key"] - F.element_at(of("key"), F.greatest(i, F.lit(1))))
-    rows = blocks.select("term", "range", F.size("p").alias("n"), best.alias("best"), F.col("p")[0]["key"].alias("first"), gaps.alias("gaps"), of("tf").alias("tfs"), of("length").alias("lengths"), _bucket(F.col("term")).alias("bucket"))
-    return rows.repartition("bucket", F.pmod("range", F.lit(4))).sortWithinPartitions("bucket", "term", "range")
+    rows = blocks.select("term", "range", F.size("p").alias("n"), best.alias("best"), F.col("p")[0]["key"].alias("first"), gaps.alias("gaps"), of("tf").alias("tfs"), of("length").alias("lengths"), "bucket")
+    return rows.sortWithinPartitions("bucket", "term", "range")
