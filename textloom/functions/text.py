@@ -16,13 +16,16 @@ STOP_WORDS = (
 #: Accented Latin letters and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-HAN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+#: Han and kana; and letters and digits without them.  ASCII is told by ranges first: scripts are looked up slowly.
+HAN = r"\x{80}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+LETTERS = r"a-z0-9[\x{80}-\x{10FFFF}&&[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]]"
 SPACE = r"(?U)\s+"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents; texts without any aren't translated."""
+    low = F.lower(c)
+    return F.when(low.rlike(f"[{ACCENTED}]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
 
 
 def strip(c: Column) -> Column:
@@ -35,7 +38,7 @@ def words(c: Column) -> Column:
 
     Null gives no terms.
     """
-    runs = F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(rf"[{HAN}]+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"), F.lit(0))
+    runs = F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(rf"[{LETTERS}]+|[{HAN}]+"), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
     has_han = F.coalesce(c, F.lit("")).rlike(f"[{HAN}]")
     return F.when(has_han, F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^[{HAN}]"), pairs(w)).otherwise(F.array(w))))).otherwise(runs)

@@ -19,8 +19,13 @@ rows are the same either way.
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +42,46 @@ SLACK = 2e-6
 FEW_TERMS = 6
 #: Ranges whose blocks of one folder go to one task.
 RANGES_OF_A_SLICE = 4096
+#: Terms that are counted at once.
+SLICE_TERMS = 500_000
 
 
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def impact(tf: Column, length: Column, mean: Column) -> Column:
+def impact(tf, length, mean):
     """A term's share of a score, without its idf: grows with tf and falls with the length."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _counted(weights: list[float]):
+    """key, length and each term of a document once, with the sum of the weights of its uses, from rows with an array
+    of terms for each weight.  Documents are counted together up to SLICE_TERMS terms."""
+
+    def count(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n, columns = rows.num_rows, rows.columns[2:]
+        sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in columns]
+        owner = np.concatenate([np.repeat(np.arange(n), x) for x in sizes])
+        weight = np.repeat(weights, [int(x.sum()) for x in sizes])
+        named = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+        every = max(1, len(named.dictionary))
+        pair, back = np.unique(owner * every + named.indices.to_numpy(), return_inverse=True)
+        used = pa.StructArray.from_arrays([named.dictionary.take(pa.array(pair % every)), pa.array(np.bincount(back, weight, len(pair)))], names=["term", "w"])
+        ends = pa.array(np.searchsorted(pair // every, np.arange(n + 1)), pa.int32())
+        return pa.RecordBatch.from_arrays([*rows.columns[:2], pa.ListArray.from_arrays(ends, used)], names=["key", "length", "used"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, a = np.cumsum(batch.column(1).to_numpy().astype(np.int64)), 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(terms, (terms[a - 1] if a else 0) + SLICE_TERMS, "right")))
+                yield count(batch.slice(a, b - a))
+                a = b
+
+    return run
+
+
 class LexicalIndex:
     """Numbers of documents are whole (``key``); ``columns`` are texts with the weights of their names."""
 
@@ -97,17 +131,15 @@ class LexicalIndex:
         """Write a segment: its name, documents and their terms."""
         name = f"segment-{uuid.uuid4().hex}"
         path = f"{self.folder.path}/{name}"
-        tokens(docs.where(F.col(self.key).isNotNull()).withColumn("__key", F.col(self.key).cast("long")), "__key", self.columns).write.parquet(f"{path}/tokens")
-        tokened = self.spark.read.parquet(f"{path}/tokens")
-        tokened.select(F.col("__key").alias("key"), F.col("length").cast("int").alias("length")).write.parquet(f"{path}/lengths")
+        tokened = tokens(docs.where(F.col(self.key).isNotNull()).withColumn("__key", F.col(self.key).cast("long")), "__key", self.columns)
+        arrays = tokened.select(F.col("__key").alias("key"), F.col("length").cast("int").alias("length"), *self.columns)
+        arrays.mapInArrow(_counted([self.weights[c] for c in self.columns]), COUNTED).write.option("compression", "zstd").parquet(f"{path}/tokens")
+        tokened = self.spark.read.schema(COUNTED).parquet(f"{path}/tokens")
+        tokened.select("key", "length").write.parquet(f"{path}/lengths")
         n, length = self.spark.read.parquet(f"{path}/lengths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         ranges = max(1, n // RANGE_DOCS)
-        weighted = lambda c: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(self.weights[c]).alias("w")))
-        each = tokened.select(F.col("__key").alias("key"), "length", F.explode(F.concat(*map(weighted, self.columns))).alias("t"))
-        rows = each.select("t.term", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), "key", "length", "t.w")
-        # one shuffle: all that a block needs meets where its folder is written
-        summed = _dealt(rows, ranges).groupBy("bucket", "slice", "term", "range", "key").agg(F.sum("w").alias("tf"), F.first("length").cast("int").alias("length"))
-        _stored(summed, length / n if length else 1.0).write.partitionBy("bucket").parquet(f"{path}/blocks")
+        each = tokened.select("key", "length", F.explode("used").alias("t"))
+        _stored(each.select("t.term", "key", "length", F.col("t.w").alias("tf")), ranges, length / n if length else 1.0, f"{path}/blocks")
         self.folder.drop(f"{name}/tokens")
         return name, n, int(length)
 
@@ -159,8 +191,7 @@ class LexicalIndex:
         self.lengths(state).select("key", "length").write.parquet(f"{path}/lengths")
         ranges = max(1, state["docs"] // RANGE_DOCS)
         rows = self._alive(self._postings(self._blocks(state)), state)
-        placed = rows.select("term", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), "key", "tf", "length")
-        _stored(_dealt(placed, ranges), self.mean(state)).write.partitionBy("bucket").parquet(f"{path}/blocks")
+        _stored(rows, ranges, self.mean(state), f"{path}/blocks")
         self.folder.commit(number, state | {"segments": [{"name": name, "at": state["next"], "mean": self.mean(state)}], "dead": [], "next": state["next"] + 1})
         for x in [*state["segments"], *state["dead"]]:
             self.folder.drop(x["name"])
@@ -249,20 +280,62 @@ class LexicalIndex:
         return blocks.join(kept, [query_id, "at", "range"], "left").groupBy(query_id).agg(F.count("*").alias("blocks"), F.count("read").alias("read"))
 
 
+COUNTED = "key bigint, length int, used array<struct<term string, w double>>"
 BLOCK = "term string, range int, n int, best double, first bigint, gaps array<bigint>, tfs array<double>, lengths array<int>, bucket int"
 
 
-def _dealt(rows: DataFrame, ranges: int) -> DataFrame:
-    """Rows (term, range, ...) dealt by folder and slice of ranges, so that a frequent term is in many tasks."""
+def _formed(mean: float):
+    """Blocks from rows (term, range, key, length, tf) that come in this order; rows of one term and key are added up."""
+
+    def form(term: pa.Array, part: np.ndarray, key: np.ndarray, length: np.ndarray, tf: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh[starts] = True
+        at = np.flatnonzero(fresh)
+        tf, key, length = np.add.reduceat(tf, at), key[at], length[at]
+        block = np.searchsorted(at, starts)  # where each block's postings begin
+        gaps = np.diff(key, prepend=key[:1])
+        gaps[block] = 0
+        ends = pa.array(np.append(block, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((gaps, pa.int64()), (tf, pa.float64()), (length, pa.int32()))]
+        best = np.maximum.reduceat(impact(tf, length, mean), block)
+        columns = [term.take(pa.array(starts)), pa.array(part[starts], pa.int32()), pa.array(np.diff(np.append(block, len(at))), pa.int32()), pa.array(best), pa.array(key[block]), *lists]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "best", "first", "gaps", "tfs", "lengths"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # the block that the last batch ended in
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches(rest + ([batch] if batch else [])).combine_chunks() if rest or batch else None
+            if rows is None:
+                return
+            term, part = rows.column("term").combine_chunks(), rows.column("range").to_numpy()
+            other = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) | (part[1:] != part[:-1])
+            starts = np.concatenate([[0], np.flatnonzero(other) + 1])
+            whole = rows.num_rows if batch is None else int(starts[-1])
+            if whole:
+                c = [rows.column(x).to_numpy()[:whole] for x in ("range", "key", "length", "tf")]
+                yield form(term[:whole], *c, starts[starts < whole])
+            rest = rows.slice(whole).to_batches()
+
+    return run
+
+
+def _stored(rows: DataFrame, ranges: int, mean: float, path: str) -> None:
+    """Write rows (term, key, length, tf) as blocks with bounds for this mean length.
+
+    One shuffle deals them by folder and slice of ranges, so that a frequent
+    term is in many tasks and all that a block needs meets in one.
+    """
     slices = max(4, ranges // RANGES_OF_A_SLICE)
-    return rows.withColumns({"bucket": _bucket(F.col("term")), "slice": F.pmod("range", F.lit(slices))}).repartition("bucket", "slice")
+    dealt = rows.select("term", "key", "length", "tf").repartition(_bucket(F.col("term")), F.pmod(_range(ranges), F.lit(slices)))
+    placed = dealt.select("term", _range(ranges).alias("range"), "key", "length", "tf")
+    # one number tells most rows apart, so that few words are compared: a term's rows are together, range by range
+    number = F.shiftleft(F.hash("term").cast("long"), 32) + F.col("range")
+    ordered = placed.withColumn("number", number).sortWithinPartitions("number", "term", "key").drop("number")
+    blocks = ordered.mapInArrow(_formed(mean), BLOCK.removesuffix(", bucket int")).withColumn("bucket", _bucket(F.col("term")))
+    blocks.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
-def _stored(postings: DataFrame, mean: float) -> DataFrame:
-    """Postings (bucket, slice, term, range, key, tf, length) as blocks, with bounds for this mean length."""
-    blocks = postings.groupBy("bucket", "slice", "term", "range").agg(F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("p"))
-    of = lambda c: F.transform("p", lambda x: x[c])
-    best = F.array_max(F.transform("p", lambda x: impact(x["tf"], x["length"], F.lit(mean or 1.0))))
-    gaps = F.transform("p", lambda x, i: x["key"] - F.element_at(of("key"), F.greatest(i, F.lit(1))))
-    rows = blocks.select("term", "range", F.size("p").alias("n"), best.alias("best"), F.col("p")[0]["key"].alias("first"), gaps.alias("gaps"), of("tf").alias("tfs"), of("length").alias("lengths"), "bucket")
-    return rows.sortWithinPartitions("bucket", "term", "range")
+def _range(ranges: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int")
