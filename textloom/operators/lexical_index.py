@@ -36,7 +36,7 @@ from textloom.storage import Folder, shared_root
 #: Raised when what is stored changes its form: older indexes are then built anew.
 FORMAT = 1
 #: Documents of a range on average, folders of term hashes, and ranges of a query that are scored for its threshold.
-RANGE_DOCS, BUCKETS, FIRST = 32, 16, 8
+RANGE_DOCS, BUCKETS, FIRST = 256, 16, 8
 SLACK = 2e-6
 #: Terms of a query up to which bounds are tried.
 FEW_TERMS = 6
