@@ -7,10 +7,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import embedding, jaccard
+from textloom.llm import embedding, jaccard, util
 from textloom.llm.util import Workspace, components
 
 
@@ -160,6 +161,26 @@ def test_every_link_is_a_candidate_of_the_prefixes(spark):
     assert sum(by_prefix[i] != i for i in sets) > sum(whole[i] != i for i in sets) / 2
 
 
+def test_flood_of_equal_texts_makes_bounded_rows(spark):
+    """Two million rows of one text, or of none, are handed on in rows of bounded length."""
+    for text in ("a b c d e f g", None):
+        made = (pa.RecordBatch.from_arrays([pa.array(range(i, i + 10_000), pa.int64()), pa.array([text] * 10_000, pa.string())], names=["doc", "text"]) for i in range(0, 2_000_000, 10_000))
+        lengths = [len(docs) for batch in jaccard.screened(made) for docs in batch.column(4).to_pylist() if docs]
+        assert sum(lengths) == 2_000_000 and max(lengths) <= jaccard.SLICE_DOCS + 10_000
+
+
+def test_jaccard_hot_text_and_tokens(spark, monkeypatch):
+    """Texts and passages that all slices have: spread joins and tokens read ahead give what brute force does."""
+    monkeypatch.setattr(jaccard, "AHEAD", 1)
+    monkeypatch.setattr(jaccard, "OFTEN", 2)
+    monkeypatch.setattr(jaccard, "CELL_DOCS", 3)
+    monkeypatch.setattr(util, "HOT_ROWS", 3)
+    rows = near_copies(7, 3, 30)
+    rows += [(1000 + i, "one text that a third of all rows hold " + "again " * 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16)
+    assert {tuple(x) for x in jaccard.link_documents(df).collect()} == brute(rows)
+
+
 def test_jaccard_id_with_two_texts(spark):
     """The texts of one id join what each of them is linked with; other columns are ignored."""
     a, b = "a b c d e f g h", "p q r s t u v w"

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.util import Workspace, components, mix, slices, small_batches, spread_join, staged, word_hashes
+from textloom.llm.util import HOT_KEYS, Workspace, components, mix, slices, small_batches, spread_join, staged, word_hashes
 
 WORDS = 5
 #: Similarity from which documents link, in hundredths.
@@ -50,6 +50,10 @@ SEEDS = 3
 CELL_DOCS, CELL_BYTES = 400, 8 << 20
 #: Prefix tokens that a task gathers before it merges what its documents share; tokens in one row.
 SLICE_TOKENS, ROW_TOKENS = 500_000, 20_000
+#: Documents that a task gathers before it hands them on, equal ones among them.
+SLICE_DOCS = 100_000
+#: One in so many rows is read ahead for tokens that very many slices have, and how often such a token is seen there.
+AHEAD, OFTEN = 64, 8
 #: Survivors up to which their ids are broadcast (eight bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -116,7 +120,7 @@ def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held: dict[tuple, list[int]] = {}
     prefixes: dict[tuple, np.ndarray] = {}
-    size = 0
+    size = number = 0
 
     def done() -> Iterator[pa.RecordBatch]:
         keys = list(held)
@@ -146,15 +150,16 @@ def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in slices(batch.column(1)):
             for doc, s in zip(ids[i:j].tolist(), sets(data, offsets)):
                 key = (len(s), *_sums(s))
+                number += 1
                 if key in held:
                     held[key].append(doc)
                     continue
                 held[key] = [doc]
                 prefixes[key] = s[: len(s) - overlap(len(s)) + extra(len(s))].copy()
                 size += len(prefixes[key])
-            if size >= SLICE_TOKENS:
+            if size >= SLICE_TOKENS or number >= SLICE_DOCS:
                 yield from done()
-                held, prefixes, size = {}, {}, 0
+                held, prefixes, size, number = {}, {}, 0, 0
     if held:
         yield from done()
 
@@ -164,9 +169,18 @@ def survivors(first: DataFrame) -> DataFrame:
 
     A partner may have three quarters of the tokens, and then as much shorter a
     prefix: what such a partner adds to its own is what must be found.
+
+    Tokens that very many slices have are told by reading some rows ahead: what
+    is seen there several times occurs elsewhere for certain, so that its rows
+    are found without being gathered.  All other tokens are counted exactly.
     """
     tokens = first.select("doc", "s1", F.explode("tokens").alias("token"))
-    found = tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1 and doc is not null")
+    some = first.where(F.pmod(F.xxhash64("doc", F.get("tokens", F.lit(0))), F.lit(AHEAD)) == 0)
+    often = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    often = F.broadcast(often.orderBy(F.desc("n"), "token").limit(HOT_KEYS).select("token", F.lit(True).alias("seen")))
+    told = tokens.join(often, "token", "left")
+    rest = told.where("seen is null").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
+    found = told.where("seen").select("doc", "s1").unionAll(rest.select("doc", "s1")).where("doc is not null")
     elsewhere = found.groupBy("doc", "s1").agg(F.count("*").alias("shared")).select("doc", "s1", F.lit(0).alias("n"), "shared")
     here = first.where("n > 0").select("doc", "s1", "n", F.col("here").cast("long").alias("shared"))
     total = here.unionAll(elsewhere).groupBy("doc", "s1").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
@@ -395,12 +409,14 @@ def links_between(posting: DataFrame, known: DataFrame, part: DataFrame, space:
     whole = by_part.groupBy("cell").agg(F.max(F.struct("d", "b", "part")).alias("m"), F.sum("d").alias("d"), F.sum("b").alias("b"))
     blocks = lambda d, b: F.greatest(F.ceil(d / CELL_DOCS), F.ceil(b / CELL_BYTES)).cast("int")
     plan = whole.select("cell", F.col("m.part").alias("most"), blocks(F.col("d") - F.col("m.d"), F.col("b") - F.col("m.b")).alias("ni"), blocks(F.col("d"), F.col("b")).alias("nj"), F.col("d").alias("n"))
-    dealt = spread_join(cells.drop("b"), plan, ["cell"], ["doc"])
+    dealt = space.staged(spread_join(cells.drop("b"), plan, ["cell"], ["doc"]), "dealt")
+    # a document of many cells, or of cells of many blocks, has its tokens copied by several tasks
+    times = dealt.groupBy("doc").agg(F.sum(F.when(F.col("part") != F.col("most"), F.col("nj")).otherwise(0) + F.col("ni")).alias("times"))
     at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.where("part <> most").select("cell", at("ni").alias("bi"), every("nj").alias("bj"), F.lit(0).alias("side"), "doc", "part")
     right = dealt.select("cell", every("ni").alias("bi"), at("nj").alias("bj"), F.lit(1).alias("side"), "doc", "part")
-    rows = left.unionAll(right).join(known.select("doc", "n", "k", "tokens"), "doc").select("cell", "bi", "bj", "side", "part", "n", "k", "tokens")
+    rows = spread_join(left.unionAll(right), known.select("doc", "n", "k", "tokens"), ["doc"], ["cell", "bi", "bj"], times, "times", most=500).select("cell", "bi", "bj", "side", "part", "n", "k", "tokens")
     return rows.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj").mapInArrow(cell_links, "x bigint, y bigint")
 
 
@@ -422,9 +438,12 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     here = docs.where("doc is not null")
     with Workspace(df.sparkSession, "jaccard") as space:
         first = space.staged(here.mapInArrow(screened, SCREEN_DDL), "screened")
-        # one document stands for each class of equal sets
-        rep = F.when(F.col("n") > 0, F.min("doc").over(Window.partitionBy("n", "s1", "s2"))).otherwise(F.col("doc"))
-        member = space.staged(first.where("doc is not null").select("doc", "n", "s1", "s2", "docs").withColumn("rep", rep), "members")
+        # one document stands for each class of equal sets, which has a row for each slice that holds it
+        rows = first.where("doc is not null").select("doc", "n", "s1", "s2", "docs")
+        classes = space.staged(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")), "classes")
+        placed = spread_join(rows.where("n > 0"), classes.drop("rows"), ["n", "s1", "s2"], ["doc"], classes, "rows", most=500)
+        empty = rows.where("n = 0").withColumn("rep", F.col("doc"))
+        member = space.staged(placed.unionByName(empty), "members")
         left = survivors(first).join(member.where("n > 0 and doc = rep").select("doc", "s1"), ["doc", "s1"], "left_semi")
         left = space.staged(left, "survivors")
         few = left.count()
