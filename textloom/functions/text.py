@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,20 +35,24 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def pairs(w: Column) -> Column:
+    """Overlapping pairs of a run's characters; a single one stays."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+
+
 def words(c: Column) -> Column:
     """Terms of a text in order: runs of letters and digits, folded; Han and kana as pairs.
 
-    Null gives no terms.
+    Null gives no terms.  ``operators.segment`` cuts Han by a dictionary instead.
     """
     runs = F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(rf"[{LETTERS}]+|[{HAN}]+"), F.lit(0))
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
     has_han = F.coalesce(c, F.lit("")).rlike(f"[{HAN}]")
     return F.when(has_han, F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^[{HAN}]"), pairs(w)).otherwise(F.array(w))))).otherwise(runs)
 
 
-def query_terms(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Distinct informative terms in order of first use; null if there are none."""
-    kept = F.array_distinct(F.filter(words(c), lambda w: ~w.isin(*stop)))
+def query_terms(c: Column, stop: tuple[str, ...] = STOP_WORDS, cut: Callable[[Column], Column] = words) -> Column:
+    """Distinct informative terms in order of first use; null if there are none.  ``cut`` gives a text's terms."""
+    kept = F.array_distinct(F.filter(cut(c), lambda w: ~w.isin(*stop)))
     return F.when(F.size(kept) > 0, kept)
 
 

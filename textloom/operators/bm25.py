@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"title": 4.0, "path": 2.0, "content": 1.0}
 
 
-def tokens(docs: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+def tokens(docs: DataFrame, key: str, columns: dict[str, Column], cut: Callable[[Column], Column] = words) -> DataFrame:
     """key, length (terms in all columns) and an array of terms for each column; texts go no further."""
-    arrays = docs.select(key, *(words(c).alias(n) for n, c in columns.items()))
+    arrays = docs.select(key, *(cut(c).alias(n) for n, c in columns.items()))
     return arrays.withColumn("length", sum((F.size(n) for n in columns), F.lit(0)))
 
 
@@ -43,20 +45,21 @@ def term_stats(tokened: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return each.groupBy("term", key).agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
-def terms_of(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+def terms_of(queries: DataFrame, query_id: str, text: str, cut: Callable[[Column], Column] = words) -> DataFrame:
     """query_id and its informative terms, one a row; queries without any have no row."""
-    return queries.select(query_id, F.explode(query_terms(F.col(text))).alias("term"))
+    return queries.select(query_id, F.explode(query_terms(F.col(text), cut=cut)).alias("term"))
 
 
-def search(docs: DataFrame, key: str, columns: dict[str, Column], queries: DataFrame, query_id: str, query_text: str, k: int, weights: dict[str, float] = WEIGHTS, only: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, key: str, columns: dict[str, Column], queries: DataFrame, query_id: str, query_text: str, k: int, weights: dict[str, float] = WEIGHTS, only: DataFrame | None = None, cut: Callable[[Column], Column] = words) -> DataFrame:
     """query_id, rank, key and score of the ``k`` best documents of each query.
 
     A document matches if it has any of the terms.  Scores are below zero and
     the least is the best; equal scores are ranked by key.  ``only`` (keys)
-    limits what is returned and not what is counted.
+    limits what is returned and not what is counted.  ``cut`` gives the terms of
+    texts and queries alike (``segment.segmenter`` for Han).
     """
-    tokened = tokens(docs, key, columns)
-    asked = terms_of(queries, query_id, query_text)
+    tokened = tokens(docs, key, columns, cut)
+    asked = terms_of(queries, query_id, query_text, cut)
     posted = postings(tokened, key, {n: weights[n] for n in columns}, asked)
     often = posted.groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(tokened))  # one row
