@@ -7,13 +7,14 @@ for runs, ``conversations`` for messages.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import paths, text
-from textloom.operators import fuse, maintain, reconcile, records
+from textloom.operators import fuse, images, maintain, reconcile, records
 from textloom.plans.oracles import PLAN
 from textloom.plans.queries import PATH, _plan, _runs, _seen, table
 
@@ -388,3 +389,37 @@ def applied_notes(spark, d):
     planned = _plan(spark, d)
     done = reconcile.apply_plan(planned, planned.limit(0).selectExpr("new_path as rel_path"), F.lit(False))
     return reconcile.applied_notes(notes(spark, d).withColumnRenamed("file_path", "rel_path"), done, _seen(spark, d)).select("rel_path")
+
+
+#: What each document refers to, and what is stored beside it.
+REFS = """refs AS (SELECT doc_id, source AS vault, lang || '/' || doc_id || '.md' AS note, CASE doc_id % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'wiki' ELSE 'html' END AS kind,
+  CASE doc_id % 7 WHEN 0 THEN 'img/' || doc_id || '.png' WHEN 1 THEN '' || doc_id WHEN 2 THEN '../' || doc_id || '.png' WHEN 3 THEN '../../' || doc_id || '.png' WHEN 4 THEN doc_id || '%20a.png' WHEN 5 THEN './' || doc_id || '.png' ELSE '../' || lang || '/img/' || doc_id END AS target, lang FROM documents),
+files AS (SELECT vault, unnest(CASE doc_id % 5 WHEN 0 THEN [lang || '/img/' || doc_id || '.png'] WHEN 1 THEN ['attachments/' || doc_id || '.jpg', lang || '/' || doc_id || ' a.png'] WHEN 2 THEN [doc_id || '.png', 'media/' || doc_id || ' a.png']
+  WHEN 3 THEN ['assets/' || doc_id || '.webp', 'media/' || doc_id || '.gif', lang || '/' || doc_id || '.png'] ELSE [lang || '/' || doc_id || '.tiff', lang || '/' || doc_id || '%20a.png'] END) AS path FROM refs)"""
+
+
+@query(f"""WITH {REFS}, based AS (SELECT *, unnest(CASE WHEN kind = 'wiki' THEN [lang, '', 'attachments', 'assets', 'images', 'img', 'media', 'files'] ELSE [lang] END) AS base, unnest(range(8)) AS b FROM refs),
+named AS (SELECT *, unnest([target, replace(target, '%20', ' ')]) AS name, unnest([0, 1]) AS n FROM based WHERE base IS NOT NULL),
+tried AS (SELECT *, name || unnest(CASE WHEN name LIKE '%.png' THEN [''] ELSE ['', '.png', '.jpg', '.jpeg', '.gif', '.webp', '.bmp', '.tif', '.tiff'] END) AS file, unnest(range(9)) AS e FROM named),
+placed AS (SELECT doc_id, vault, 1000 * b + 100 * n + e AS place, CASE WHEN file LIKE '../../%' OR (file LIKE '../%' AND base = '') THEN NULL WHEN file LIKE '../%' THEN substr(file, 4) ELSE ltrim(base || '/' || replace(file, './', ''), '/') END AS path FROM tried WHERE file IS NOT NULL),
+found AS (SELECT doc_id, arg_min(path, place) AS resolved FROM placed JOIN (SELECT DISTINCT * FROM files) USING (vault, path) GROUP BY doc_id)
+SELECT doc_id, note, kind, target, resolved FROM refs LEFT JOIN found USING (doc_id)""")
+def image_paths(spark, d):
+    """Files that references planted beside each document mean."""
+    docs = table(spark, d, "documents")
+    s = F.col("doc_id").cast("string")
+    pick = lambda n, *of: functools.reduce(lambda w, i: w.when(F.col("doc_id") % n == i, of[i]), range(1, n), F.when(F.col("doc_id") % n == 0, of[0]))
+    at = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    lang = F.col("lang")
+    target = pick(7, at("img/", s, ".png"), s, at("../", s, ".png"), at("../../", s, ".png"), at(s, "%20a.png"), at("./", s, ".png"), at("../", lang, "/img/", s))
+    refs = docs.select("doc_id", F.col("source").alias("vault"), at(lang, "/", s, ".md").alias("note"), pick(3, F.lit("md"), F.lit("wiki"), F.lit("html")).alias("kind"), target.alias("target"))
+    stored = pick(
+        5,
+        F.array(at(lang, "/img/", s, ".png")),
+        F.array(at("attachments/", s, ".jpg"), at(lang, "/", s, " a.png")),
+        F.array(at(s, ".png"), at("media/", s, " a.png")),
+        F.array(at("assets/", s, ".webp"), at("media/", s, ".gif"), at(lang, "/", s, ".png")),
+        F.array(at(lang, "/", s, ".tiff"), at(lang, "/", s, "%20a.png")),
+    )
+    files = docs.select(F.col("source").alias("vault"), F.explode(stored).alias("path"))
+    return images.resolve(refs, files).select("doc_id", "note", "kind", "target", "resolved")

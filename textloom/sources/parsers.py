@@ -233,17 +233,38 @@ def read_files(spark, root: str) -> DataFrame:
 
 
 def image_size(data: bytes) -> tuple[str, int, int] | None:
-    """(mime, width, height) from the header of a PNG, GIF or JPEG."""
+    """(mime, width, height) from the header of a PNG, GIF, JPEG, WebP, BMP or TIFF."""
+    big, little = (lambda a, n: int.from_bytes(data[a : a + n], "big")), (lambda a, n: int.from_bytes(data[a : a + n], "little"))
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return "image/png", int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+        return "image/png", big(16, 4), big(20, 4)
     if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
-        return "image/gif", int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+        return "image/gif", little(6, 2), little(8, 2)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return "image/webp", little(24, 3) + 1, little(27, 3) + 1
+        if data[12:16] == b"VP8L" and data[20] == 0x2F:
+            return "image/webp", (little(21, 4) & 0x3FFF) + 1, (little(21, 4) >> 14 & 0x3FFF) + 1
+        if data[12:16] == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+            return "image/webp", little(26, 2) & 0x3FFF, little(28, 2) & 0x3FFF
+        return None
+    if data[:2] == b"BM" and len(data) >= 26:
+        if little(14, 4) == 12:
+            return "image/bmp", little(18, 2), little(20, 2)
+        return "image/bmp", little(18, 4), abs(int.from_bytes(data[22:26], "little", signed=True))  # rows from the top count down
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        number = little if data[:2] == b"II" else big
+        at, sides = number(4, 4), {}
+        for k in range(number(at, 2)):
+            entry = at + 2 + 12 * k
+            if entry + 12 <= len(data) and number(entry, 2) in (256, 257):
+                sides[number(entry, 2)] = number(entry + 8, 2 if number(entry + 2, 2) == 3 else 4)
+        return ("image/tiff", sides[256], sides[257]) if len(sides) == 2 else None
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 < len(data) and data[at] == 0xFF:
-            mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            mark, size = data[at + 1], big(at + 2, 2)
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                return "image/jpeg", int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+                return "image/jpeg", big(at + 7, 2), big(at + 5, 2)
             at += 2 + size
     return None
 
