@@ -46,3 +46,26 @@ def test_bounds_of_lists_and_pools(spark):
         records.newest(spark.range(3), ["id"], 201)
     assert [r["id"] for r in records.newest(spark.range(3), ["id"], 2).collect()] == [2, 1]
     assert fuse.vector_pool(5, False, False) == 5 and fuse.vector_pool(5, True, False) == 20
+
+
+def test_guarded_steps(spark):
+    """Against a machine that takes one step after another; nulls, repeats and unknown steps are rejected."""
+    import random
+
+    r = random.Random(5)
+    kinds = ["create", "start", "progress", "cancel", "success", "failed", "odd", None]
+    log = [(r.choice((1, 2, 3, 4, None)), i, r.choices(kinds, (3, 3, 2, 2, 1, 1, 1, 1))[0]) for i in range(150)]
+    state, want = {}, {}
+    for run, i, step in log:
+        now = state.get(run)
+        active = now in ("queued", "running")
+        ok = run is not None and {"create": now is None, "start": now == "queued", "progress": now is not None, "cancel": active, "success": now is not None, "failed": now is not None}.get(step, False)
+        want[i] = ok
+        if ok and step not in ("progress", "cancel"):
+            state[run] = {"create": "queued", "start": "running"}.get(step, step)
+    df = spark.createDataFrame(log, "run int, at int, step string").repartition(5)
+    done = records.guarded_steps(df, "run", ["at"], "step")
+    assert {x["at"]: x["accepted"] for x in done.collect()} == want and any(want.values())
+    timed = done.withColumn("ts", F.timestamp_seconds("at"))
+    assert {x["run"]: x["status"] for x in records.states_of_steps(timed, "run", ["at"], "step", "ts").collect()} == state
+    assert records.guarded_steps(df.limit(0), "run", ["at"], "step").count() == 0

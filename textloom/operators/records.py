@@ -211,3 +211,47 @@ def compatible(vaults: DataFrame, profile_id: int) -> DataFrame:
 
 def active_keys(keys: DataFrame) -> DataFrame:
     return keys.where(F.col("revoked_at").isNull()).orderBy(F.desc("id"))
+
+
+#: Steps that end a run, each the status that it leaves.
+ENDS = ("success", "partial", "failed", "cancelled", "aborted")
+
+
+def guarded_steps(log: DataFrame, run: str, order: list[str], step: str) -> DataFrame:
+    """``log`` with ``accepted``: whether each step was allowed in the state that its run was in.
+
+    Steps are create, start, progress, cancel and those of ENDS, taken in the
+    order of the columns ``order``, which must tell them apart.  Only the first
+    create makes a run, and nothing counts before it; a start counts once, as
+    long as the run is queued; a cancel until the run ends; progress and ends
+    always.  Null runs and unknown or null steps are rejected.  A run may have
+    any number of steps: first places are aggregated, no run's log is gathered.
+    """
+    place = F.struct(*order)
+    is_end = F.col(step).isin(*ENDS)
+    made = log.where(F.col(step) == "create").groupBy(run).agg(F.min(place).alias("__made"))
+    later = log.where(is_end | (F.col(step) == "start")).join(made, run).where(place > F.col("__made"))
+    first = later.groupBy(run).agg(F.min(F.when(is_end, place)).alias("__ended"), F.min(F.when(F.col(step) == "start", place)).alias("__started"))
+    known = log.join(made.join(first, run, "left"), run, "left")
+    after = place > F.col("__made")
+    going = F.col("__ended").isNull() | (place < F.col("__ended"))
+    allowed = F.when(F.col(step) == "create", place == F.col("__made")).when(F.col(step) == "start", (place == F.col("__started")) & going).when(F.col(step) == "cancel", after & going).when(is_end | (F.col(step) == "progress"), after)
+    return known.withColumn("accepted", F.coalesce(allowed, F.lit(False))).drop("__made", "__ended", "__started")
+
+
+def states_of_steps(steps: DataFrame, run: str, order: list[str], step: str, at: str) -> DataFrame:
+    """run, status, started_at, finished_at, elapsed_ms and cancel_requested from accepted steps; the last end counts.
+
+    A run starts with its creation, as its time in the queue is part of it.
+    """
+    place, is_end = F.struct(*order), F.col(step).isin(*ENDS)
+    one = steps.where("accepted").groupBy(run).agg(
+        F.max_by(F.when(is_end, F.col(step)), F.when(is_end, place)).alias("ended"),
+        F.max(F.col(step) == "start").alias("begun"),
+        F.min(F.when(F.col(step) == "create", F.col(at))).alias("started_at"),
+        F.max_by(F.when(is_end, F.col(at)), F.when(is_end, place)).alias("finished_at"),
+        F.max(F.col(step) == "cancel").alias("cancel_requested"),
+    )
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    elapsed = F.floor((micros("finished_at") - micros("started_at")) / 1000)
+    return one.select(run, F.coalesce("ended", F.when(F.col("begun"), "running").otherwise("queued")).alias("status"), "started_at", "finished_at", F.coalesce(elapsed, F.lit(0)).cast("long").alias("elapsed_ms"), "cancel_requested")

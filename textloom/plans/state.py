@@ -423,3 +423,31 @@ def image_paths(spark, d):
     )
     files = docs.select(F.col("source").alias("vault"), F.explode(stored).alias("path"))
     return images.resolve(refs, files).select("doc_id", "note", "kind", "target", "resolved")
+
+
+#: Events as steps of runs, a user's as those of one run, and which of them count.
+STEPS = """e AS (SELECT user_id AS run_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'cancel' END AS step FROM events),
+b AS (SELECT *, count(*) FILTER (step = 'create') OVER p > 0 AS made FROM e WINDOW p AS (PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, count(*) FILTER (made AND step IN ('success', 'failed')) OVER p AS ends, count(*) FILTER (made AND step = 'start') OVER p AS starts FROM b
+  WINDOW p AS (PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+steps AS (SELECT run_id, event_id, ts, step, CASE step WHEN 'create' THEN NOT made WHEN 'start' THEN made AND ends = 0 AND starts = 0 WHEN 'cancel' THEN made AND ends = 0 ELSE made END AS accepted FROM c)"""
+
+
+def _steps(spark, d):
+    names = F.create_map(*(F.lit(x) for pair in (("signup", "create"), ("click", "start"), ("purchase", "success"), ("error", "failed"), ("view", "cancel")) for x in pair))
+    log = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts", names[F.col("event_type")].alias("step"))
+    return records.guarded_steps(log, "run_id", ["ts", "event_id"], "step")
+
+
+@query(f"WITH {STEPS} SELECT run_id, event_id, step, accepted FROM steps")
+def run_steps(spark, d):
+    """Which steps of each run's log were allowed in the state that it was in."""
+    return _steps(spark, d).select("run_id", "event_id", "step", "accepted")
+
+
+@query(f"""WITH {STEPS}, s AS (SELECT run_id, arg_max(step, (ts, event_id)) FILTER (step IN ('success', 'failed')) AS ended, bool_or(step = 'start') AS begun, min(ts) FILTER (step = 'create') AS started_at,
+  arg_max(ts, (ts, event_id)) FILTER (step IN ('success', 'failed')) AS finished_at, bool_or(step = 'cancel') AS cancel_requested FROM steps WHERE accepted GROUP BY run_id)
+SELECT run_id, coalesce(ended, CASE WHEN begun THEN 'running' ELSE 'queued' END) AS status, started_at, finished_at, coalesce((epoch_us(finished_at) - epoch_us(started_at)) // 1000, 0) AS elapsed_ms, cancel_requested FROM s""")
+def run_states(spark, d):
+    """State of each run after its allowed steps."""
+    return records.states_of_steps(_steps(spark, d), "run_id", ["ts", "event_id"], "step", "ts")
