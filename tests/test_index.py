@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions.text import words
 from textloom.operators import bm25, lexical_index
 from textloom.operators.lexical_index import LexicalIndex
 from textloom.storage import Folder, shared_root
@@ -89,3 +91,66 @@ def test_one_writer_for_each_state(spark):
     with pytest.raises(RuntimeError):
         folder.commit(0, {"a": 2})
     assert folder.state() == (1, {"a": 1})
+
+
+def test_tasks_follow_the_postings(spark, index, monkeypatch):
+    """What one task sorts or adds up is bounded: more postings make more tasks, while indexing and while searching."""
+    monkeypatch.setattr(lexical_index, "TASK_POSTINGS", 40)
+    monkeypatch.setattr(lexical_index, "RANGE_DOCS", 1)
+    alive = docs(spark, 4, range(400))
+    index.backfill(alive)
+    state = index.state()
+    asked = index.asked(queries(spark), "q", "query", state)
+    total = asked.agg(F.sum("df")).first()[0]
+    found = index.scored(index._all(asked, state), "q", 4, state, index._reads(asked))
+    assert total > 400 and found.rdd.getNumPartitions() >= total // 40
+    files = index._blocks(state).withColumn("file", F.input_file_name())
+    postings, most = files.groupBy("file").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    assert postings > 1000 and most > lexical_index.BUCKETS
+    same(spark, index, alive)
+
+
+def test_scopes(spark, index, monkeypatch):
+    monkeypatch.setattr(lexical_index, "RANGE_DOCS", 5)
+    alive = docs(spark, 6, range(200))
+    index.backfill(alive)
+    index.delete(alive.where("id % 5 = 1"))
+    alive = alive.where("id % 5 <> 1")
+    # a scope may be null, a document may be in two and in none
+    scopes = alive.where("id % 7 <> 0").selectExpr("id", "if(id % 3 = 0, null, concat('s', id % 3)) as scope")
+    scopes = scopes.unionByName(alive.where("id % 4 = 0").selectExpr("id", "'more' as scope"))
+    hits = bm25.search(alive, "id", columns(), queries(spark), "q", "query", 1000).drop("rank").join(scopes, "id")
+    want = bm25.top(hits, ["q", "scope"], [F.col("score"), F.col("id")], 3)
+    key = lambda df: sorted((tuple(x) for x in df.select("q", "scope", "rank", "id", "score").collect()), key=repr)
+    assert key(index.search_scopes(queries(spark), "q", "query", scopes, "scope", 3)) == key(want)
+
+
+def test_latin_terms_are_those_of_words(spark):
+    r = random.Random(2)
+    pool = [chr(i) for i in range(1, 256)] + list("\u2010\u2013\u2019\u2026\u20ac") + [" "] * 40 + list("aZ0\u00c9\u00df") * 8
+    rows = [(i, "".join(r.choices(pool, k=r.randrange(60)))) for i in range(300)] + [(300, None), (301, "")]
+    rows += [(302 + i, f"x{c}Y") for i, c in enumerate(pool)]
+    found = spark.createDataFrame(rows, "id bigint, t string").select("id", words(F.col("t")), F.coalesce(F.col("t"), F.lit("")).rlike(lexical_index.OTHER)).orderBy("id").collect()
+    sizes, terms = lexical_index.latin_terms([t for _, t in rows])
+    flat = [t.decode("latin-1") for t in terms.to_pylist()]
+    ends = [0, *sizes.cumsum().tolist()]
+    assert not any(x[2] for x in found)
+    assert [flat[a:b] for a, b in zip(ends, ends[1:])] == [x[1] for x in found]
+    other = spark.createDataFrame([(c,) for c in "\u0100\u200f\u2028\u20ab\u20ad\u4e2d\U0001f600"], "t string")
+    assert all(x[0] for x in other.select(F.col("t").rlike(lexical_index.OTHER)).collect())
+
+
+def test_other_texts_beside_latin_ones(spark, index):
+    rows = [(1, "\u0130stanbul w1", "w1 \u4e2d\u6587 w3"), (2, "W1", "\u00c9t\u00e9 w1"), (3, None, "\u03a3\u03bf\u03c6\u03cc\u03c2 w3"), (4, "\u4e2d\u6587", None)]
+    alive = spark.createDataFrame(rows, "id bigint, title string, text string")
+    index.backfill(alive)
+    same(spark, index, alive)
+    asked = spark.createDataFrame([(1, "\u4e2d\u6587"), (2, "ETE"), (3, "\u03c3\u03bf\u03c6\u03cc\u03c2")], "q bigint, query string")
+    want = bm25.search(alive, "id", columns(), asked, "q", "query", 4)
+    assert sorted(map(tuple, index.search(asked, "q", "query", 4).select("q", "rank", "id", "score").collect())) == sorted(map(tuple, want.select("q", "rank", "id", "score").collect()))
+
+
+def test_range_is_that_of_spark(spark):
+    keys = [0, 1, -1, 7, 1 << 62, -(1 << 63), (1 << 63) - 1, *range(1000, 1100)]
+    want = [x[0] for x in spark.createDataFrame([(k,) for k in keys], "key bigint").select(F.pmod(F.xxhash64("key"), F.lit(37))).collect()]
+    assert lexical_index.range_of(np.array(keys), 37).tolist() == want
