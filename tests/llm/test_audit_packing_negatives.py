@@ -230,3 +230,42 @@ def test_buckets_out_of_reach_are_not_scored():
     counts = {}
     hard_negatives.searched(asked, side, [(np.full(20, -np.inf), np.full(20, np.inf))], 5, True, counts)
     assert counts["pairs"] < 0.3 * 20 * 4000
+
+
+# ------------------------------------------------ words that are encoded together
+
+
+class _Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def _encoded(texts):
+    words = config_packing.WordIds(WORD_TOKENIZER)
+    words.tokenizer = counting = _Counting(words.tokenizer)
+    raw = [t.encode() for t in texts]
+    ids, edges = words.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return counting.texts, [ids[a:b].tolist() for a, b in zip(edges, edges[1:])]
+
+
+def test_words_of_letters_are_encoded_together():
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefgh\u00e9\u00c9\u00f1", k=r.randrange(1, 9))) for _ in range(200)) for _ in range(20)]
+    texts += ["", " ", "ab", "cd\x0bef\x1cgh \u00a0 x", "end ", "\tfirst"]
+    whole = Tokenizer.from_file(WORD_TOKENIZER)
+    calls, found = _encoded(texts)
+    assert found == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls < len({w for t in texts for w in t.split()}) / 20
+
+
+def test_letters_of_several_pieces_fall_back():
+    """A capital I with a dot becomes a letter and a mark, which are two pieces."""
+    texts = ["abc \u0130stanbul d\u0130 efg", "abcdefg \u0149a h"]
+    whole = Tokenizer.from_file(WORD_TOKENIZER)
+    assert _encoded(texts)[1] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

@@ -34,6 +34,10 @@ from textloom.llm.util import Workspace, slices, small_batches, staged
 
 END_ID = 0
 CAPACITY = 2048
+#: Words of letters that are encoded in one text, and bytes of text whose words are looked up at once.
+TOGETHER, SLICE_BYTES = 64, 1_000_000
+#: Bytes that part words, as ``bytes.split`` parts them.
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Rounds of weights; a configuration for each length in each round is the most that a plan has.
 ROUNDS = 40
 #: How fast weights fall, how much worse than the best a configuration may be, and the share of a length that a round may
@@ -63,6 +67,11 @@ class WordIds(WordMemory):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        #: Ids that end a piece, where the tokenizer marks them; each piece has one, at its end.
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
         super().__init__()
 
     @staticmethod
@@ -70,6 +79,22 @@ class WordIds(WordMemory):
         letters = word.decode()
         return letters.isalpha() and max(letters) < "\u0250"
 
+    def _encoded(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._put(words, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+
+    def _encoded_together(self, words: list[bytes]) -> None:
+        """Words of letters alone, which are mostly one piece each: many in one text, parted by the ids that end pieces."""
+        texts = [b" ".join(words[a : a + TOGETHER]).decode() for a in range(0, len(words), TOGETHER)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.last[ids])
+        # a word has a piece at least: as many pieces as words are one for each
+        if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+            self._put(words, np.diff(ends, prepend=-1), ids)
+        else:
+            self._encoded(words)
+
     def _learn(self, words: set[bytes]) -> None:
         """Words of letters with signs around them are put together from their parts, and letters count as small ones."""
         parts: dict[bytes, list[bytes]] = {}
@@ -90,10 +115,11 @@ class WordIds(WordMemory):
         for p in parts.values():
             wholes.update(p)
         some = [w for w in wholes if w not in self.index]
-        for a in range(0, len(some), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some[a : a + 4096]], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._put(some[a : a + 4096], sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        letters = [w.isalpha() if w.isascii() else self._latin(w) for w in some] if self.last.any() else [False] * len(some)
+        for encoded, kind in ((self._encoded_together, True), (self._encoded, False)):
+            of = [w for w, x in zip(some, letters) if x == kind]
+            for a in range(0, len(of), 4096):
+                encoded(of[a : a + 4096])
         if parts:
             at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts.values())), np.int64)
             ids, upto = self._ids(at)
@@ -102,10 +128,18 @@ class WordIds(WordMemory):
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, edges) of texts given as bytes and offsets."""
-        raw = data.tobytes()
-        texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        ids, upto = self.ids(list(chain.from_iterable(texts)))
-        return ids, upto[np.cumsum([0, *map(len, texts)])]
+        used = ~WHITE[data]
+        before, after = np.append(False, used[:-1]), np.append(used[1:], False)
+        before[offsets[:-1][offsets[:-1] < len(data)]] = False  # words end with their text
+        after[offsets[1:][offsets[1:] > 0] - 1] = False
+        begin, end = np.flatnonzero(used & ~before), np.flatnonzero(used & ~after) + 1
+        ends = np.append(0, np.cumsum(end - begin)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data[used])]).dictionary_encode()
+        _, ends, raw = words.dictionary.buffers()
+        raw, ends = raw.to_pybytes() if raw else b"", np.frombuffer(ends, np.int32, len(words.dictionary) + 1).tolist()
+        at = self._at([raw[a:b] for a, b in zip(ends, ends[1:])])
+        ids, upto = self._ids(at[words.indices.to_numpy()])
+        return ids, upto[np.searchsorted(begin, offsets)]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -309,7 +343,7 @@ def cut_documents(file: str, capacity: int, with_ids: bool):
         encoder = word_ids(file)
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for i, j, data, offsets in slices(batch.column(1), 300_000):
+            for i, j, data, offsets in slices(batch.column(1), SLICE_BYTES):
                 all_ids, edges = encoder.encode(data, offsets)
                 rows, held = [], []
                 for name, a, b in zip(docs[i:j], edges[:-1].tolist(), edges[1:].tolist()):

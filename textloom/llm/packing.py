@@ -85,6 +85,10 @@ class WordMemory:
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, edges) of words, known or not."""
+        return self._ids(self._at(words))
+
+    def _at(self, words: list[bytes]) -> np.ndarray:
+        """Places of words in the memory; those that aren't there are learned."""
         if len(self.index) > self.most or self.used > CACHE_IDS:
             self._clear()
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
@@ -93,7 +97,7 @@ class WordMemory:
             missed = [words[k] for k in new]
             self._learn(set(missed))
             at[new] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
-        return self._ids(at)
+        return at
 
 
 class WordEncoder(WordMemory):
