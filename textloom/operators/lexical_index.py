@@ -549,8 +549,11 @@ class LexicalIndex:
             marks = self._keys(gone, DEAD, state), *marks
         for m in marks:
             rows = rows.unionByName(m, allowMissingColumns=True)
-        # given by number, tasks are not merged
-        return rows.repartition(tasks, "at", "slice").sortWithinPartitions("at", "slice", "kind", by)
+        # slices are numbered over the segments and dealt in turn, so that tasks have the same number of them but for one
+        sizes = [-(-s["ranges"] // SLICE) for s in state["segments"]]
+        before = F.create_map(*[F.lit(x) for s, n in zip(state["segments"], np.cumsum([0, *sizes]).tolist()) for x in (s["at"], n)])
+        tasks = min(tasks, sum(sizes))
+        return rows.repartitionById(tasks, ((before[F.col("at")] + F.col("slice")) % tasks).cast("int")).sortWithinPartitions("at", "slice", "kind", by)
 
     def asked(self, queries: DataFrame, query_id: str, query_text: str, state: dict) -> DataFrame:
         """query, term, bucket, idf, df and whether the query has many terms; terms that no document has are left out.
