@@ -187,3 +187,36 @@ def test_jaccard_id_with_two_texts(spark):
     rows = [(5, a, 0), (5, b, 0), (3, a, 0), (9, b, 0), (7, "x y z", 0)]
     got = sorted(tuple(x) for x in jaccard.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string, part int")).collect())
     assert got == [(3, 4, 3), (5, 4, 3), (5, 4, 3), (7, 1, 7), (9, 4, 3)]
+
+
+def test_no_plan_grows_by_joins_within_joins(spark, monkeypatch):
+    """What the driver plans at once stays small: no stage holds both stars of a round, and without edges there is none."""
+    sizes, stage = [], util._stage
+
+    def counted(df, path):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return stage(df, path)
+
+    monkeypatch.setattr(util, "_stage", counted)
+    components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a bigint, b bigint"), "a", "b").collect()
+    assert max(sizes) < 60
+    sizes.clear()
+    assert components(spark.createDataFrame([(5, 5), (None, 1)], "a bigint, b bigint"), "a", "b").collect() == []
+    assert len(sizes) == 1
+    sizes.clear()
+    rows = near_copies(3, 2, 8)
+    got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {tuple(x) for x in got} == brute(rows)
+    assert max(sizes) < 100
+
+
+def test_hot_keys_beyond_their_bound(spark, monkeypatch):
+    """Facts of a hot key that isn't among the spread ones meet each row once."""
+    monkeypatch.setattr(util, "HOT_ROWS", 2)
+    monkeypatch.setattr(util, "HOT_KEYS", 1)
+    rows = spark.createDataFrame([(k, i) for k in range(3) for i in range(4 + 3 * k)], "k bigint, i bigint")
+    facts = rows.groupBy("k").agg(F.max("i").alias("top"), F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = util.spread_join(rows, facts, ["k"], ["i"], how=how)
+        assert sorted(map(tuple, got.select("k", "i", "top").collect())) == [(k, i, 3 + 3 * k) for k in range(3) for i in range(4 + 3 * k)]
+        assert "n" not in got.columns

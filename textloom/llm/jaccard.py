@@ -260,7 +260,7 @@ def profiled(known: DataFrame, space: Workspace) -> DataFrame:
     """Profiles of the sets (doc, s1, n, set); a token's frequency is counted over all of them."""
     tokens = known.select("doc", "s1", "n", F.explode("set").alias("token"))
     often = space.staged(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "frequencies")
-    told = spread_join(tokens, often, ["token"], ["doc"], often.withColumnRenamed("often", "n"))
+    told = spread_join(tokens, often.withColumn("times", F.col("often")), ["token"], ["doc"], n="times")
     ordered = told.select("doc", "s1", "n", "often", "token").repartition("doc", "s1").sortWithinPartitions("doc", "s1", "often", "token")
     return space.staged(ordered.mapInArrow(profiles, PROFILE_DDL), "profiles")
 
@@ -441,7 +441,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # one document stands for each class of equal sets, which has a row for each slice that holds it
         rows = first.where("doc is not null").select("doc", "n", "s1", "s2", "docs")
         classes = space.staged(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")), "classes")
-        placed = spread_join(rows.where("n > 0"), classes.drop("rows"), ["n", "s1", "s2"], ["doc"], classes, "rows", most=500)
+        placed = spread_join(rows.where("n > 0"), classes, ["n", "s1", "s2"], ["doc"], n="rows", most=500)
         empty = rows.where("n = 0").withColumn("rep", F.col("doc"))
         member = space.staged(placed.unionByName(empty), "members")
         left = survivors(first).join(member.where("n > 0 and doc = rep").select("doc", "s1"), ["doc", "s1"], "left_semi")
@@ -458,7 +458,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         posting = space.staged(profile.select(F.explode("prefix").alias("token"), "doc", "k"), "prefixes")
         near = verify(space.staged(met(posting), "pairs"), profile)
         part = space.staged(components(near, "x", "y", space).select(F.col("node").alias("doc"), F.col("component").alias("part")), "parts")
-        between = links_between(posting, profile, part, space)
+        between = space.staged(links_between(posting, profile, part, space), "between")
         # an id with several texts is in several classes
         each = member.where("n > 0").select("rep", F.explode("docs").alias("doc"))
         several = each.groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")

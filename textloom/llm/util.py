@@ -145,11 +145,14 @@ def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str
     rows each key has.  Rows of a hot key are dealt to salts by the columns
     ``by``; its facts are copied to each salt.
     """
-    few = F.broadcast(hot_keys(facts if counted is None else counted, keys, n, most or HOT_ROWS))  # HOT_KEYS bounds it
+    rows_each = most or HOT_ROWS
+    few = F.broadcast(hot_keys(facts if counted is None else counted, keys, n, rows_each))  # HOT_KEYS bounds it
     salt = F.when(F.col("__copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__copies"))).cast("int")
     left = rows.join(few, keys, "left").withColumn("__salt", salt).drop("__copies")
-    right = facts.join(few, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__copies"), F.lit(1)) - 1))).drop("__copies")
-    return left.join(right.drop(n) if counted is None else right, [*keys, "__salt"], how).drop("__salt")
+    # facts that tell their own rows need no join for their copies; beyond HOT_KEYS, copies but the first meet nothing
+    right = facts.join(few, keys, "left") if counted is not None else facts.withColumn("__copies", F.when(F.col(n) > rows_each, F.ceil(F.col(n) / rows_each).cast("int"))).drop(n)
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__copies"), F.lit(1)) - 1))).drop("__copies")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 # --------------------------------------------------------------------------
@@ -162,34 +165,42 @@ def components(edges: DataFrame, a: str, b: str, space: Workspace | None = None)
 
     Alternating large-star and small-star rounds; each is a grouping on node
     ids with map-side ``min``, whose counts tell the hot nodes, the centres of
-    large stars.  The state is staged after each round and the one before it
-    deleted; the loop ends when a round changes nothing.  Rounds grow with the
-    logarithm of the number of nodes.  Null ends and self loops are ignored.
-    What is given back is read from ``space``, if there is one.
+    large stars.  The state is staged after each star and the one before it
+    deleted, so that no plan holds more than one of them: a plan of both has
+    nine copies of the first, which the driver pays for however few the edges.
+    The loop ends when a round changes nothing, and doesn't begin without edges.
+    Rounds grow with the logarithm of the number of nodes.  Null ends and self
+    loops are ignored.  What is given back is read from ``space``, if there is one.
     """
     spark = edges.sparkSession
     fresh = space.fresh if space else lambda name: scratch(spark, name)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    state = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     path = fresh("components")
-    e, before = _stage(e, path), None
-    while True:
+    e = _stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), path)
+
+    def moved(to: DataFrame) -> DataFrame:
+        nonlocal path
+        old, path = path, fresh("components")
+        to = _stage(to, path)
+        discard(spark, old)
+        return to
+
+    before = state(e)
+    while before["n"]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
         # large star: greater neighbours move to the smallest node around
-        e = spread_join(both, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = moved(spread_join(both, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: smaller neighbours and the node itself do
         low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        e = (
+        e = moved(
             spread_join(e, low, ["u"], ["v"])
             .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
             .select("s.u", "s.v")
             .where("u <> v")
             .distinct()
         )
-        old, path = path, fresh("components")
-        e = _stage(e, path)
-        discard(spark, old)
-        after = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        after = state(e)
         if after == before:
             break
         before = after
