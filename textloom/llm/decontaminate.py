@@ -213,6 +213,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         lines = space.staged(lines.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift"), "words_n").distinct(), "lines")
         per_row = lines.groupBy("row").agg(F.collect_list(F.struct("item", "shift", "words_n")).alias("lines"))
         cut = rows.select("row", "doc", "words").join(per_row, "row").select("row", "doc", "words", "lines").mapInArrow(stretches, STRETCHES)
+        # between the two Python steps, or each task would keep two workers, and executors never give them back meanwhile
+        cut = cut.repartition("row", "item", "shift")
         both = spread_join(cut, bench.select("item", "item_words"), ["item"], ["row", "shift"], lines.groupBy("item").agg(F.count("*").alias("n")))
         told = both.select("row", "doc", "item", "shift", "low", "words", "item_words").mapInArrow(overlaps, "row bigint, doc bigint, item bigint, matched bigint, item_words bigint, start bigint, end bigint")
         best = told.groupBy("row", "item").agg(F.max_by(F.struct("doc", "matched", "item_words", "start", "end"), F.struct("matched", (-F.col("start")).alias("s"))).alias("b"))
